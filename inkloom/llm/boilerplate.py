@@ -25,8 +25,8 @@ from inkloom.llm.common import UNSPACED, files_with_blocks, table, unnest
 
 SAMPLE_FILES = 20_000
 MAX_FEATURES = 50_000
+BIAS = 0.8  # log-odds that subject words gain from teasers to other pages
 LEAST_FILES = 4  # files that a feature must occur in
-FOLLOWERS = 5
 
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-ÞА-Я][\w'-]+")
 _LATIN = re.compile(r"[A-Za-z][\w'-]*")
@@ -46,6 +46,11 @@ def is_prose(text: str) -> bool:
     return len(text) >= 40 or len(text) >= 12 and bool(UNSPACED.search(text))
 
 
+def is_long(text: str) -> bool:
+    """Prose of a length that teasers and notices don't have."""
+    return is_prose(text) and (len(text) >= 150 or len(text) >= 45 and bool(UNSPACED.search(text)))
+
+
 def features(text: str, level: int) -> list[str]:
     """What the classifier sees: the wording with names and digits blanked, its words, the heading level, and navigation marks."""
     low = text.lower()
@@ -61,7 +66,7 @@ def features(text: str, level: int) -> list[str]:
         out += set(_WORD.findall(low))
     if level:
         out.append(f"#{level}")
-    if _NAV.search(text):
+    if _NAV.search(text) and not is_prose(text):
         out.append("#nav")
     return out
 
@@ -70,14 +75,15 @@ class Model:
     """Log-odds of features between web pages and other files, and how much prose follows a wording."""
 
     def __init__(self, rows: list[tuple], pages: int, others: int):
-        self.odds = {f: math.log((h + 0.5) / (pages + 1)) - math.log((n + 0.5) / (others + 1)) for f, h, n, *_ in rows}
-        self.openers = {f for f, _, _, k, prose in rows if f[0] == "=" and k >= LEAST_FILES and prose <= 0.36 * k * FOLLOWERS and self.odds[f] > 1.5}
+        self.odds = {f: math.log((h + 1) / (pages + 1)) - math.log((n + 1) / (others + 1)) for f, h, n, *_ in rows}
+        self.openers = {f for f, _, _, k, prose in rows if f[0] == "=" and k >= LEAST_FILES and prose <= 0.45 * k and self.odds[f] > 1.2}
 
     def cost(self, feats: list[str]) -> float:
         """Positive: speaks for boilerplate."""
-        known = [self.odds[f] for f in feats if f[0] not in "=#" and f in self.odds]
+        known = sorted((self.odds[f] for f in feats if f[0] not in "=#" and f in self.odds), reverse=True)
+        top = known[: max(2, len(known) // 3)]
         marks = [self.odds[f] for f in feats if f[0] in "=#" and f in self.odds]
-        return max([sum(known) / len(known) if known else 0.0, *marks])
+        return max([sum(top) / len(top) - 0.3 if top else 0.0, *marks])
 
 
 def minimum_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -146,7 +152,7 @@ def label(model: Model, page: list[Block]) -> list[bool]:
     for i, (text, kind, level) in enumerate(page):
         kind = (kind or "").lower()
         odds = model.cost(feats[i])
-        u = 1.3 * min(max(odds, -1.0), 4.5) - 0.4
+        u = 1.8 * min(max(odds - BIAS, 0.0), 3.5) - 0.4
         if main is not None and i < main:
             u += 5.0
         if kind == "title":
@@ -155,18 +161,20 @@ def label(model: Model, page: list[Block]) -> list[bool]:
             u -= 12.0
         elif prose[i] and odds < 1.2:
             u -= 2.0
-        elif level == 2 and odds < 1.2:
-            u -= 2.0
+        elif level == 2 and odds < 2.5:
+            u = min(u, 0.0) - 2.5
+        elif odds < BIAS:
+            u -= 0.5
         unary.append(u)
         if i:
-            w = 0.9 if prose[i] != prose[i - 1] or main in (i, i - 1) else 1.6
-            edges[i - 1, i] = w
+            last = (page[i - 1][1] or "").lower()
+            edges[i - 1, i] = 0.7 if prose[i] != prose[i - 1] or main in (i, i - 1) else 1.5 if kind == last else 1.0
         # blocks under the opener of a section stand near it in the page's tree
         if level in (1, 2):
             reach = None
         if reach is not None and odds < 1.5:
-            edges[reach, i] = edges.get((reach, i), 0.0) + 4.0
-        if i != main and feats[i][0] in model.openers:
+            edges[reach, i] = edges.get((reach, i), 0.0) + (0.5 if is_long(text) else 4.0)
+        if main is not None and i > main and feats[i][0] in model.openers:
             reach = i
     return minimum_cut(unary, edges)
 
@@ -192,11 +200,16 @@ def fit(files: DataFrame, blocks: DataFrame, sample_files: int = SAMPLE_FILES) -
                 seen.add("")
                 (html if fmt == "html" else other).update(seen)
                 if fmt == "html":
-                    prose = [is_prose(t) for t in texts]
-                    for i, fs in enumerate(feats):
-                        if fs[0][0] == "=":
+                    # whether an article's prose still follows, for blocks behind the page's heading
+                    prose = [is_long(t) for t in texts]
+                    left = sum(prose)
+                    behind = False
+                    for t, fs, p, i in zip(texts, feats, prose, order):
+                        left -= p
+                        if behind and fs[0][0] == "=":
                             follow[fs[0]] += 1
-                            after[fs[0]] += sum(prose[i + 1 : i + 1 + FOLLOWERS])
+                            after[fs[0]] += left > 0
+                        behind = behind or cols["head_level"][i] == 1
             keys = list(html.keys() | other.keys())
             yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (html, other, follow, after))], ["feature", "html", "other", "follow", "after"])
 
