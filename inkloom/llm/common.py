@@ -74,33 +74,31 @@ FUNCTION_WORDS = {
     "es": "el los las y un una unos del es en para que con por no se al lo su como más este esta desde según sin nuestro sigue cada cerca durante hasta".split(),
 }
 _LATIN = {w: lang for lang, ws in FUNCTION_WORDS.items() for w in ws if sum(w in v for v in FUNCTION_WORDS.values()) == 1}
-_SCRIPTS = re.compile(r"(?P<kana>[぀-ヿ])|(?P<han>[一-鿿])|(?P<thai>[฀-๿])|(?P<deva>[ऀ-ॿ])|(?P<arab>[؀-ۿ])|(?P<cyr>[Ѐ-ӿ])|(?P<latin>[A-Za-zÀ-ɏ])")
-_BY_SCRIPT = {"kana": "ja", "han": "zh", "thai": "th", "deva": "hi", "arab": "ar", "cyr": "ru"}
+# Code points of the scripts, first and last.
+_RANGES = (("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("th", 0x0E00, 0x0E7F), ("hi", 0x0900, 0x097F), ("ar", 0x0600, 0x06FF), ("ru", 0x0400, 0x04FF))
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def language(text: str) -> str:
     """ISO code of the language of a text by script, and by function words within Latin script; '' where neither tells."""
-    if text.isascii():
-        n = {"latin": 1}
-    else:
-        n = {}
-        for m in _SCRIPTS.finditer(text):
-            n[m.lastgroup] = n.get(m.lastgroup, 0) + 1
-    other = {k: v for k, v in n.items() if k != "latin"}
-    # names in Latin letters are common within other scripts
-    if other and sum(other.values()) >= 0.3 * n.get("latin", 0):
-        top = max(other, key=other.get)
-        if top == "han" and other.get("kana", 0) * 20 >= other["han"]:
-            top = "kana"
-        return _BY_SCRIPT[top]
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = points[points > 0xFF]
+        if len(points):
+            n = {lang: int(np.count_nonzero((points >= a) & (points <= b))) for lang, a, b in _RANGES}
+            total = sum(n.values())
+            # names in Latin letters are common within other scripts
+            if total and total >= 0.3 * len(_ASCII_LETTERS.findall(text)):
+                top = max(n, key=n.get)
+                return "ja" if top == "zh" and n["ja"] * 20 >= n["zh"] else top
     votes: dict[str, int] = {}
-    for w in _WORDS.findall(text.lower()):
-        if lang := _LATIN.get(w):
-            votes[lang] = votes.get(lang, 0) + 1
-    return max(votes, key=votes.get) if votes else ""
+    for w in _LATIN.keys() & set(_WORDS.findall(text.lower())):
+        lang = _LATIN[w]
+        votes[lang] = votes.get(lang, 0) + 1
+    return max(sorted(votes), key=votes.get) if votes else ""
 
 
+_ASCII_LETTERS = re.compile(r"[A-Za-z]")
 UNSPACED = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 _SPREAD = re.compile(r"([぀-ヿ一-鿿฀-๿])")
 

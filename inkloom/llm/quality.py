@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from inkloom.llm.mixing import durable
 STATS = ("size", "word_length", "longest", "symbols", "digits", "vowels", "ended", "common", "cells", "kind_odds")
 CUTOFF = 29.59  # 99.9 % point of chi square with ten degrees of freedom
 _FLOOR = (0.3, 0.4, 0.15, 0.02, 0.04, 0.05, 0.15, 0.08, 0.1, 0.3)  # least standard deviation of each statistic: a constant one must not decide alone
-_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？।؟۔]+[”’」』）»]*")
+_LAST_END = re.compile(r"(?s).*(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？।؟۔]+[”’」』）»]*)")
 _LETTERS = re.compile(r"[^\W\d_]")
 _SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-–—%/|“”‘’«»„¿¡…。、，！？；：「」『』（）।؟،؛*•·#&+°§$€£ๆ̀-ͯऀ-ःऺ-ॏ॑-ॗั-๎ً-ْ]")
 _MOJIBAKE = re.compile(r"[ÂÃ].|â€|ï¿½|å¤|Ñ€|Ð°|ã€|â[^\sa-zà-ÿ]|�")  # UTF-8 read as another encoding
@@ -37,9 +38,13 @@ _COMMA_CELLS = re.compile(r"\s*,\s*")
 _VALUE = re.compile(r"[-+]?[\d.,]+%?|n/a|-|–|")
 _MARKER = re.compile(r"\s*(?:[-*+•▪◦·]|\d{1,3}[.)]|\(?[a-z]\))\s+")
 _UNSPACED = re.compile(r"[぀-ヿ一-鿿฀-๿]")
+_DIGITS = re.compile(r"\d")
+_ASCII = bytes(range(128))
+_NO_LETTERS, _NO_VOWELS, _NO_DIGITS, _NO_SYMBOLS = (bytes(c for c in _ASCII if not p.match(chr(c))) for p in (_LATIN, _VOWELS, _DIGITS, _SYMBOLS))
 _PLAIN = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
 
+@lru_cache(4096)
 def kind_of(kind: str | None) -> str:
     """Heading, list, table or text, from the kinds as they are written."""
     k = re.sub(r"[\W_]+", "", (kind or "").lower())
@@ -54,12 +59,14 @@ def kind_of(kind: str | None) -> str:
 
 def cells_of(text: str) -> int:
     """Number of cells of a table row; 1 for other text."""
-    cells = [c for c in _CELLS.split(text.strip().strip("|"))]
-    if len(cells) >= 3 and sum(map(len, cells)) / len(cells) <= 24 and max(map(len, cells)) <= 60:
-        return len(cells)
-    cells = _COMMA_CELLS.split(text.strip())
-    if len(cells) >= 3 and sum(bool(_VALUE.fullmatch(c)) for c in cells) * 2 >= len(cells) - 1:
-        return len(cells)
+    if "\t" in text or "|" in text or ";" in text or "  " in text:
+        cells = _CELLS.split(text.strip().strip("|"))
+        if len(cells) >= 3 and sum(map(len, cells)) / len(cells) <= 24 and max(map(len, cells)) <= 60:
+            return len(cells)
+    if text.count(",") >= 2:
+        cells = _COMMA_CELLS.split(text.strip())
+        if len(cells) >= 3 and sum(bool(_VALUE.fullmatch(c)) for c in cells) * 2 >= len(cells) - 1:
+            return len(cells)
     return 1
 
 
@@ -70,14 +77,18 @@ def measure(text: str, kind: str) -> tuple[str, list[float], int]:
     unspaced = len(_UNSPACED.findall(text)) if not text.isascii() else 0
     words = text.split()
     count = max(1, len(words)) if unspaced * 2 < n else max(1, unspaced // 2)
-    letters = len(_LATIN.findall(text)) if lang in ("en", "de", "fr", "es") else 0
-    vowels = len(_VOWELS.findall(text)) / letters if letters >= 4 else 0.4
-    symbols = (len(_SYMBOLS.findall(text)) + (0 if text.isascii() else 2 * len(_MOJIBAKE.findall(text)))) / n
-    digits = sum(c.isdigit() for c in text) / n
-    last = 0
-    for m in _END.finditer(text):
-        last = m.end()
-    ended = last / n
+    latin = lang in ("en", "de", "fr", "es")
+    if text.isascii():
+        raw = text.encode()
+        letters, n_vowels = len(raw.translate(None, _NO_LETTERS)) if latin else 0, len(raw.translate(None, _NO_VOWELS))
+        symbols, digits = len(raw.translate(None, _NO_SYMBOLS)) / n, len(raw.translate(None, _NO_DIGITS)) / n
+    else:
+        letters, n_vowels = len(_LATIN.findall(text)) if latin else 0, len(_VOWELS.findall(text)) if latin else 0
+        symbols = (len(_SYMBOLS.findall(text)) + 2 * len(_MOJIBAKE.findall(text))) / n
+        digits = len(_DIGITS.findall(text)) / n
+    vowels = n_vowels / letters if letters >= 4 else 0.4
+    m = _LAST_END.match(text)
+    ended = m.end() / n if m else 0.0
     plain = _PLAIN.get(lang)
     common = sum(w.lower().strip(".,;:") in plain for w in words) / max(1, len(words)) if plain else 0.0
     length = (n - len(words) + 1) / count if not unspaced else 2.0
