@@ -33,6 +33,10 @@ def names(body: Column) -> Column:
     return F.filter(F.flatten(rest), lambda w: ~w.isin(*L.NOT_NAMES))
 
 
+def _named(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token"))
+
+
 def features(pairs: DataFrame, side: str) -> DataFrame:
     """(pair_id, kind, token, n): the multisets of claims of one side; the text is in a column named as the side."""
     c = F.coalesce(F.col(side), F.lit(""))
@@ -53,7 +57,7 @@ def features(pairs: DataFrame, side: str) -> DataFrame:
         "negation": small(L.NEGATION),
         "hedge": small(L.HEDGE),
     }
-    each = F.flatten(F.array(*(F.transform(t, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("token"))) for k, t in tokens.items())))
+    each = F.flatten(F.array(*(F.transform(t, _named(k)) for k, t in tokens.items())))
     return d.select("pair_id", F.explode(each).alias("x")).groupBy("pair_id", "x.kind", "x.token").agg(F.count("*").alias("n"))
 
 

@@ -83,6 +83,10 @@ def _decorated() -> str:
 
 
 B, D = _blocks(), _blocks(_decorated())
+CLOSING = _blocks("CASE WHEN kind = 'paragraph' AND (file_id + pos) % 3 = 0 THEN text || ' So it holds for all of them.' ELSE text END")
+NUMBERED = _blocks("CASE WHEN kind = 'heading' THEN 'Step ' || ((pos * 7 + file_id) % 9 + 1) || ': ' || text ELSE text END")
+VERSIONED = _blocks("CASE WHEN kind = 'heading' THEN CASE pos % 3 WHEN 0 THEN '1.' || (file_id % 5) || '.' || (pos % 7) || ' - 2026-01-0' || (pos % 9 + 1) WHEN 1 THEN 'Added' ELSE 'Other' END ELSE text END")
+BOLDED = _blocks("CASE WHEN pos % 2 = 0 THEN '**' || text || '**' ELSE text END")
 S = f"s AS MATERIALIZED (SELECT doc_id, pos, line, col, kind, dump, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS sent_no FROM (SELECT *, {sentences('text')} AS l FROM b WHERE prose)), sn AS (SELECT *, {words('sentence')} AS n FROM s)"
 NOT_DECK = "doc_id IN (SELECT doc_id FROM f WHERE format IS NULL OR format <> 'pptx')"
 
@@ -114,6 +118,7 @@ _SECTIONS = r"""
 """.replace("@STRIP@", strip("body")).replace("@WS@", WS)
 
 _PEERS = f"WITH {B}, {_SECTIONS}, p AS (SELECT *, count(*) OVER (PARTITION BY doc_id, level) AS n_level FROM secs WHERE title IS NOT NULL AND NOT divider), pp AS (SELECT *, min(level) OVER (PARTITION BY doc_id) AS peer_level FROM p WHERE n_level >= 4)"
+_PAIRED = _PEERS.replace("n_level >= 4", "n_level >= 2")
 
 
 def _gate_counts() -> str:
@@ -142,6 +147,21 @@ _TOKENS = f"t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(L.REG
 _FIRST = "first AS (SELECT doc_id, min(pos) AS pos, arg_min(line, pos) AS line, arg_min(col, pos) AS col FROM b WHERE @COND@ GROUP BY 1)"
 _PAIRS = "p AS (SELECT * FROM (SELECT doc_id AS pair_id, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS source, text AS rewrite FROM documents WHERE text IS NOT NULL) WHERE source IS NOT NULL)"
 
+_PART = f"{strip('body')}"
+_HYPHEN = L.PREDICATE_HYPHEN.replace("(?=", "(?:")
+
+
+def _opening(x: str) -> str:
+    outer = "[,;:.\"'()“”‘’]+"
+    return f"regexp_replace(array_to_string(list_slice(regexp_split_to_array({strip('lower(' + x + ')')}, {q(WS + '+')}), 1, 2), ' '), {q('^' + outer + '|' + outer + '$')}, '', 'g')"
+
+
+def _has_run(units: str) -> str:
+    """Whether three units in a row open alike; the first may merely contain the key."""
+    key = lambda i: _opening(f"({units})[{i}]")
+    return f"len(list_filter(range(3, len({units}) + 1), lambda i: {key('i')} <> '' AND {key('i')} = {key('i - 1')} AND ({key('i - 1')} = {key('i - 2')} OR contains(' ' || lower(({units})[i - 2]) || ' ', ' ' || {key('i - 1')} || ' ')))) > 0"
+
+
 ORACLE_SQL = {
     "word_stats": f"WITH {B} SELECT doc_id, count(*) AS blocks, CAST(sum(words) AS BIGINT) AS words, CAST(sum(length(text) // 4 + 1) AS BIGINT) AS tokens, CAST(sum(CASE WHEN prose THEN words ELSE 0 END) AS BIGINT) AS prose_words FROM b GROUP BY 1",
     "sentence_split": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, line_no, {sentences('line')} AS s FROM l) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(len(s) AS BIGINT) AS n, array_to_string(s, '|') AS joined FROM x WHERE len(s) > 0",
@@ -154,15 +174,15 @@ ORACLE_SQL = {
     "clr004": f"WITH {D}, x AS (SELECT *, sum(words) OVER (PARTITION BY doc_id) AS total, sum(h) OVER (PARTITION BY doc_id) AS n FROM (SELECT *, len(regexp_extract_all(text, {q(L.CONTRAST)})) AS h FROM b WHERE prose AND NOT dump)), e AS (SELECT *, unnest(range(h)) FROM x WHERE n >= 3 AND n * 1000 / total > 2.5) SELECT {_cols('n * 1000 / total')} FROM e",
     "clr005": f"WITH {B}, {S}, {_FIRST.replace('@COND@', 'prose')}, x AS (SELECT doc_id, stddev_pop(n) / avg(n) AS cv FROM sn WHERE NOT dump AND n > 0 GROUP BY 1 HAVING count(*) >= 25 AND stddev_pop(n) / avg(n) < 0.45) SELECT {_cols('cv')} FROM x JOIN first USING (doc_id)",
     "clr006": f"WITH {B}, {_FIRST.replace('@COND@', 'prose AND words >= 15 AND NOT dump')}, x AS (SELECT doc_id, stddev_pop(words) / avg(words) AS cv FROM b WHERE prose AND words >= 15 AND NOT dump GROUP BY 1 HAVING count(*) >= 8 AND stddev_pop(words) / avg(words) < 0.40) SELECT {_cols('cv')} FROM x JOIN first USING (doc_id)",
-    "clr007": f"WITH {B}, p AS (SELECT *, list_extract(l, -1) AS last FROM (SELECT *, {sentences('text')} AS l FROM b WHERE prose AND words >= 40 AND NOT dump) WHERE len(l) >= 3), x AS (SELECT *, regexp_matches(last, {q(L.CLOSER)}) AS hit, count(*) OVER (PARTITION BY doc_id) AS n, sum(CAST(regexp_matches(last, {q(L.CLOSER)}) AS INT)) OVER (PARTITION BY doc_id) AS hits FROM p) SELECT {_cols('hits / n')} FROM x WHERE hit AND n >= 6 AND hits >= 3 AND hits / n >= 0.15",
-    "clr008": f"{_PEERS.replace('FROM secs WHERE', 'FROM secs WHERE ' + NOT_DECK + ' AND')}, x AS (SELECT doc_id, min(title_pos) AS pos, stddev_pop(prose_words) / avg(prose_words) AS cv FROM pp WHERE level = peer_level GROUP BY 1 HAVING sum(prose_words) >= 500 AND min(prose_words) > 0 AND stddev_pop(prose_words) / avg(prose_words) < 0.30) SELECT {_cols('cv')} FROM x JOIN (SELECT doc_id, pos, line, col FROM b) USING (doc_id, pos)",
+    "clr007": f"WITH {CLOSING}, p AS (SELECT *, list_extract(l, -1) AS last FROM (SELECT *, {sentences('text')} AS l FROM b WHERE prose AND words >= 40 AND NOT dump) WHERE len(l) >= 3), x AS (SELECT *, regexp_matches(last, {q(L.CLOSER)}) AS hit, count(*) OVER (PARTITION BY doc_id) AS n, sum(CAST(regexp_matches(last, {q(L.CLOSER)}) AS INT)) OVER (PARTITION BY doc_id) AS hits FROM p) SELECT {_cols('hits / n')} FROM x WHERE hit AND n >= 6 AND hits >= 3 AND hits / n >= 0.15",
+    "clr008": f"{_PEERS.replace('FROM secs WHERE', 'FROM secs WHERE ' + NOT_DECK + ' AND')}, y AS (SELECT doc_id, min(title_pos) AS pos, stddev_pop(prose_words) / avg(prose_words) AS cv FROM pp WHERE level = peer_level GROUP BY 1 HAVING sum(prose_words) >= 500 AND min(prose_words) > 0 AND stddev_pop(prose_words) / avg(prose_words) < 0.30) SELECT {_cols('cv')} FROM y JOIN (SELECT doc_id, pos, line, col FROM b) USING (doc_id, pos)",
     "clr009": f"WITH {B} SELECT {_cols('n')} FROM (SELECT *, len({sentences('text')}) AS n FROM b WHERE kind = 'paragraph') WHERE n > 8",
     "clr011": f"WITH {B}, {_FIRST.replace('@COND@', 'true')}, x AS (SELECT doc_id, sum(words) AS total FROM b GROUP BY 1 HAVING sum(words) >= 400 AND NOT bool_or(kind IN ('heading', 'list_item'))) SELECT {_cols('total')} FROM x JOIN first USING (doc_id)",
     "clr013": f"WITH {D}, {_TOKENS}, {_FIRST.replace('@COND@', chr(107) + 'ind = ' + q('paragraph') + ' AND NOT dump')}, x AS (SELECT doc_id, 100 * count(*) FILTER (WHERE list_contains({list(L.REGISTER)}, w)) / count(*) AS v FROM t GROUP BY 1 HAVING count(*) >= 150 AND 100 * count(*) FILTER (WHERE list_contains({list(L.REGISTER)}, w)) / count(*) > 1.0) SELECT {_cols('v')} FROM x JOIN first USING (doc_id)",
-    "rif001": f"WITH {D}, c AS (SELECT *, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS at FROM b WHERE regexp_matches(text, {q(L.DECORATIVE)})), m AS (SELECT * FROM c WHERE regexp_matches(ch, {q(L.DECORATIVE)}) AND NOT (regexp_matches(ch, '[‘’“”]') AND (({strip('text')} <> '' AND regexp_replace(text, '[“”‘’ \\n]', '', 'g') = '') OR (regexp_full_match(text, {q(f'(?s){WS}*[“‘][^“”]*[”’]{WS}*')}) AND at IN (length(text) - length(regexp_replace(text, {q(f'^{WS}+')}, '')), length(regexp_replace(text, {q(f'{WS}+$')}, '')) - 1))))) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_at('at')}, CAST(NULL AS DOUBLE) AS value FROM m",
+    "rif001": f"WITH {D}, c AS (SELECT *, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS place FROM b WHERE regexp_matches(text, {q(L.DECORATIVE)})), m AS (SELECT * FROM c WHERE regexp_matches(ch, {q(L.DECORATIVE)}) AND NOT (regexp_matches(ch, '[‘’“”]') AND (({strip('text')} <> '' AND regexp_replace(text, '[“”‘’ \\n]', '', 'g') = '') OR (regexp_full_match(text, {q(f'(?s){WS}*[“‘][^“”]*[”’]{WS}*')}) AND place IN (length(text) - length(regexp_replace(text, {q(f'^{WS}+')}, '')), length(regexp_replace(text, {q(f'{WS}+$')}, '')) - 1))))) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_at('place')}, CAST(NULL AS DOUBLE) AS value FROM m",
     "rif002": f"WITH {B}, x AS (SELECT *, regexp_extract_all(text, {q(T.WORD)}) AS ws FROM b WHERE kind IN ('heading', 'title')), y AS (SELECT *, list_filter(ws, lambda w: NOT list_contains({list(L.MINOR_WORDS)}, lower(w)) AND NOT (upper(w) = w AND regexp_matches(w, '[A-Za-z]'))) AS major FROM x) SELECT {_cols()} FROM y WHERE len(ws) >= 4 AND len(major) >= 3 AND len(list_filter(major, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0",
     "rif003": f"WITH {B}, x AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum(CAST(bold AS INT)) OVER (PARTITION BY doc_id) AS k FROM b WHERE kind = 'list_item') SELECT {_cols('k / n')} FROM x WHERE n >= 3 AND k / n >= 0.6 AND bold",
-    "rif004": f"WITH {D}, m AS (SELECT *, unnest({places('text', L.REVISION_NOTE)}) AS at FROM b WHERE regexp_matches(text, {q(L.REVISION_NOTE)})) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_at('at')}, CAST(NULL AS DOUBLE) AS value FROM m",
+    "rif004": f"WITH {D}, m AS (SELECT *, unnest({places('text', L.REVISION_NOTE)}) AS place FROM b WHERE regexp_matches(text, {q(L.REVISION_NOTE)})) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_at('place')}, CAST(NULL AS DOUBLE) AS value FROM m",
     "rif006": f"""WITH {B}, {_SECTIONS}, hd AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b WHERE kind = 'heading' AND {NOT_DECK}),
         ones AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM hd WHERE level = 1)
         SELECT {_cols('level')} FROM hd WHERE level > before + 1 UNION ALL SELECT {_cols('1')} FROM ones WHERE k > 1
@@ -173,14 +193,15 @@ ORACLE_SQL = {
     "paragraph_rhythm": f"WITH {B} SELECT doc_id, count(*) AS paragraphs, round(stddev_pop(words) / avg(words), 6) AS variation FROM b WHERE prose AND words >= 15 AND NOT dump GROUP BY 1 HAVING count(*) >= 4",
     "sections": f"WITH {B}, {_SECTIONS} SELECT doc_id, CAST(sec_no AS BIGINT) AS sec_no, CAST(level AS BIGINT) AS level, CAST(own_start AS BIGINT) AS own_start, CAST(own_end AS BIGINT) AS own_end, CAST(sub_end AS BIGINT) AS sub_end, CAST(prose_words AS BIGINT) AS prose_words, CAST(children AS BIGINT) AS children, coalesce(title, '') AS title, CAST(coalesce(parent_pos, -1) AS BIGINT) AS parent_pos FROM secs",
     "dividers": f"WITH {B}, {_SECTIONS} SELECT doc_id, CAST(sec_no AS BIGINT) AS sec_no, title FROM secs WHERE title IS NOT NULL AND divider",
-    "peer_sections": f"{_PEERS} SELECT doc_id, CAST(max(peer_level) AS BIGINT) AS peer_level, count(*) AS sections, CAST(sum(prose_words) AS BIGINT) AS words FROM pp WHERE level = peer_level GROUP BY 1",
+    "section_rhythm": f"{_PAIRED} SELECT doc_id, count(*) AS sections, round(stddev_pop(prose_words) / avg(prose_words), 6) AS variation FROM pp WHERE level = peer_level GROUP BY 1 HAVING sum(prose_words) > 0",
+    "peer_sections": f"{_PAIRED} SELECT doc_id, CAST(max(peer_level) AS BIGINT) AS peer_level, count(*) AS sections, CAST(sum(prose_words) AS BIGINT) AS words FROM pp WHERE level = peer_level GROUP BY 1",
     "rules_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {str(o).lower()}, CAST({n} AS BIGINT))" for (k, s, o), n in sorted(__import__("collections").Counter((r.kind, r.scope, r.default) for r in catalog()).items())) + ") AS t(kind, scope, is_default, rules)",
     "rule_applies": _gate_counts(),
     "doc_types": f"WITH {B} SELECT CASE WHEN format = 'pptx' THEN 'presentation' ELSE coalesce(doc_type, '') END AS doc_type, CASE WHEN format = 'pptx' THEN 'format' WHEN doc_type IS NOT NULL THEN 'given' ELSE 'unresolved' END AS doc_type_source, count(*) AS documents FROM f GROUP BY ALL",
     "custom_phrase": f"WITH {B}, m AS (SELECT doc_id, pos, len(regexp_extract_all(text, {q(f'(?i)(?:^|[^' + chr(92) + 'p{L}' + chr(92) + f'p{{N}}_-])(?:near{WS}+the{WS}+gate|side{WS}+room|don[' + chr(39) + '’]t)(?:$|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_-])')})) AS n FROM b WHERE prose) SELECT doc_id, CAST(sum(n) AS BIGINT) AS hits, CAST(min(pos) AS BIGINT) AS first_pos FROM m WHERE n > 0 GROUP BY 1",
-    "custom_regex": f"WITH {B}, m AS (SELECT *, unnest({places('text', '[0-9]+ (?:months|minutes)')}) AS at FROM b WHERE regexp_matches(text, '[0-9]+ (?:months|minutes)')), x AS (SELECT doc_id, pos, {_at('at')} FROM m) SELECT doc_id, CAST(pos AS BIGINT) AS pos, col FROM x",
+    "custom_regex": f"WITH {B}, m AS (SELECT *, unnest({places('text', '[0-9]+ (?:months|minutes)')}) AS place FROM b WHERE regexp_matches(text, '[0-9]+ (?:months|minutes)')), x AS (SELECT doc_id, pos, {_at('place')} FROM m) SELECT doc_id, CAST(pos AS BIGINT) AS pos, col FROM x",
     "plan_block_units": _block_units(),
-    "share_below": f"WITH {B}, x AS (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN ((doc_id * 31 + pos * 17 + 13) % 100) / 100 >= 0.65 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM b WHERE prose AND words >= 8 AND NOT dump GROUP BY 1) SELECT doc_id, n, hits FROM x WHERE n >= 8 AND hits / n <= 0.1",
+    "share_below": f"WITH {B}, x AS (SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN ((doc_id * 31 + pos * 17 + 13) % 100) / 100 >= 0.95 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM b WHERE prose AND words >= 8 AND NOT dump GROUP BY 1) SELECT doc_id, n, hits FROM x WHERE n >= 8 AND hits / n <= 0.1",
     "txt_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
         i AS (SELECT *, {strip('line')} = '' AS blank, sum(CAST({strip('line')} = '' AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS isle FROM l),
         p AS (SELECT doc_id, isle, min(n) AS line, sum({words('line')}) AS words FROM i WHERE NOT blank GROUP BY 1, 2)
@@ -193,4 +214,35 @@ ORACLE_SQL = {
             UNION ALL SELECT pair_id, 'superlative', unnest(list_transform(regexp_extract_all(body, {q(L.SUPERLATIVE)}), lambda x: lower(x))) FROM k UNION ALL SELECT pair_id, 'hedge', unnest(list_transform(regexp_extract_all(body, {q(L.HEDGE)}), lambda x: lower(x))) FROM k
             UNION ALL SELECT pair_id, 'negation', unnest(list_transform(regexp_extract_all(body, {q(L.NEGATION)}), lambda x: lower(x))) FROM k UNION ALL SELECT pair_id, 'scope', unnest(list_transform(regexp_extract_all(body, {q(L.SCOPE)}), lambda x: regexp_replace(lower(x), {q(WS + '+')}, ' ', 'g'))) FROM k)
         SELECT pair_id, kind, count(*) AS n, count(DISTINCT token) AS distinct_tokens FROM t GROUP BY ALL""",
+    "clr010": f"WITH {BOLDED}, {_FIRST.replace('@COND@', 'prose')}, x AS (SELECT doc_id, sum(list_sum(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '\\*\\*.+?\\*\\*|__.+?__'), lambda m: {words('m')}))) / sum(words) AS v FROM b WHERE prose AND doc_id IN (SELECT doc_id FROM f WHERE format = 'md') GROUP BY 1 HAVING sum(words) >= 500) SELECT {_cols('v')} FROM x JOIN first USING (doc_id) WHERE v > 0.30",
+    "clr012": f"""WITH {B}, {_SECTIONS},
+        sl AS (SELECT doc_id, min(pos) FILTER (WHERE kind IN ('heading', 'title')) AS pos, line, 1 AS col, string_agg(text, ' ' ORDER BY pos) FILTER (WHERE kind IN ('heading', 'title')) AS title, sum(CASE WHEN prose THEN words ELSE 0 END) AS pw, sum(CAST(kind = 'list_item' AS INT)) AS bullets
+               FROM b WHERE doc_id IN (SELECT doc_id FROM f WHERE format = 'pptx') GROUP BY doc_id, line),
+        tops AS (SELECT s.doc_id, s.title_pos AS pos, t.line, t.col, s.title, s.prose_words AS pw, (SELECT count(*) FROM b WHERE b.doc_id = s.doc_id AND b.pos BETWEEN s.own_start AND s.sub_end AND b.kind = 'list_item') AS bullets
+               FROM secs s JOIN b t ON t.doc_id = s.doc_id AND t.pos = s.title_pos WHERE s.title IS NOT NULL AND s.parent_pos IS NULL AND s.{NOT_DECK}),
+        al AS (SELECT * FROM sl WHERE title IS NOT NULL UNION ALL SELECT * FROM tops)
+        SELECT {_cols('CASE WHEN pw > 40 THEN pw ELSE bullets END')} FROM al WHERE pw > 40 OR bullets > 5
+        UNION ALL SELECT {_cols(words('title'))} FROM al WHERE {words('title')} > 0 AND {words('title')} NOT BETWEEN 3 AND 20""",
+    "clr014": f"""WITH {D}, {S}, t AS (SELECT doc_id, pos, line, col, sent_no, regexp_extract_all(lower(sentence), {q(L.ECHO_WORD)}) AS w FROM s WHERE kind = 'paragraph' AND NOT dump),
+        pr AS (SELECT * FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id, pos ORDER BY sent_no) AS a FROM t) WHERE a IS NOT NULL AND least(len(a), len(w)) >= 6),
+        x AS (SELECT doc_id, pos, line, col, sent_no, least(len(a), len(w)) AS short, w, unnest(a) AS aw, generate_subscripts(a, 1) AS i FROM pr),
+        y AS (SELECT *, unnest(w) AS bw, generate_subscripts(w, 1) AS j FROM x), m AS (SELECT *, i - j AS d FROM y WHERE aw = bw),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, pos, sent_no, d ORDER BY i) AS g FROM m), r AS (SELECT doc_id, pos, line, col, sent_no, short, count(*) AS run FROM g GROUP BY doc_id, pos, line, col, sent_no, short, d, g),
+        best AS (SELECT doc_id, pos, line, col, sent_no, short, max(run) AS run FROM r GROUP BY ALL)
+        SELECT {_cols('run / short')} FROM best WHERE run >= 5 AND run * 2 >= short QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY sent_no) = 1""",
+    "clr015": f"""WITH {D}, t AS MATERIALIZED (SELECT doc_id, pos, line, col, {sentences('text')} AS l FROM b WHERE kind = 'paragraph' AND NOT dump),
+        un AS (SELECT doc_id, pos, line, col, 0 AS k, l AS units FROM t UNION ALL SELECT doc_id, pos, line, col, k, list_filter(list_transform(regexp_split_to_array(x, '[,;]\\s+'), lambda z: {strip('z')}), lambda z: z <> '') FROM (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM t)),
+        h AS (SELECT doc_id, pos, line, col, min(k) AS k FROM un WHERE len(units) >= 3 AND {_has_run('units')} GROUP BY ALL) SELECT {_cols('k')} FROM h""",
+    "rif005": f"""WITH {NUMBERED}, {_SECTIONS}, w AS (SELECT *, title || ' ' || array_to_string(list_slice(regexp_split_to_array({_PART}, {q(WS + '+')}), 1, 8), ' ') AS wh FROM secs WHERE title IS NOT NULL AND {NOT_DECK}),
+        n AS (SELECT doc_id, sec_no, title_pos AS pos, CAST(regexp_extract(wh, {q(L.PART)}, 2) AS INT) AS n, rtrim(lower(regexp_extract(wh, {q(L.PART)}, 1)), 's') AS what FROM w WHERE regexp_matches(wh, {q(L.PART)})),
+        r AS (SELECT *, max(n) OVER (PARTITION BY doc_id, what ORDER BY sec_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM n) SELECT {_cols('n')} FROM r JOIN (SELECT doc_id, pos, line, col FROM b) USING (doc_id, pos) WHERE n < seen""",
+    "rif008": f"""WITH {VERSIONED}, {_SECTIONS}, t AS (SELECT doc_id, sec_no, title_pos AS pos, parent_pos, title, own_start, own_end, regexp_replace({strip('title')}, '^#+', '') AS hd FROM secs WHERE title IS NOT NULL AND {NOT_DECK}),
+        v AS (SELECT *, regexp_matches({strip('hd')}, {q(L.VERSION)}) AS is_version, regexp_extract({strip('hd')}, {q(L.VERSION)}, 1) AS version, regexp_extract({strip('hd')}, {q(L.VERSION)}, 2) AS dated, contains(lower(hd), 'unreleased') AS unrel FROM t),
+        d AS (SELECT *, count(*) FILTER (WHERE is_version) OVER (PARTITION BY doc_id) AS versions FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec_no) AS k FROM d WHERE versions >= 2 AND (is_version OR unrel)),
+        o AS (SELECT *, list_transform(string_split(version, '.'), lambda x: CAST(x AS INT)) AS key FROM r WHERE is_version), p AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY sec_no) AS before FROM o),
+        gr AS (SELECT g.*, (SELECT count(*) FROM b WHERE b.doc_id = g.doc_id AND b.pos BETWEEN g.own_start AND g.own_end AND b.kind NOT IN ('heading', 'title')) AS own FROM d g JOIN r ON r.doc_id = g.doc_id AND r.pos = g.parent_pos),
+        al AS (SELECT doc_id, pos, 1 AS n FROM r WHERE NOT is_version AND k > 1 UNION ALL SELECT doc_id, pos, 2 FROM p WHERE key > before
+               UNION ALL SELECT doc_id, pos, 3 FROM o WHERE dated <> '' AND NOT regexp_full_match(trim(dated, '() '), '\\d{{4}}-\\d{{2}}-\\d{{2}}') UNION ALL SELECT doc_id, pos, CASE WHEN list_contains({list(L.CHANGE_GROUPS)}, {strip('lower(title)')}) THEN 5 ELSE 4 END FROM gr WHERE own = 0 OR NOT list_contains({list(L.CHANGE_GROUPS)}, {strip('lower(title)')}))
+        SELECT {_cols('n')} FROM al JOIN (SELECT doc_id, pos, line, col FROM b) USING (doc_id, pos)""",
+    "rif010": f"WITH {D}, m AS (SELECT *, unnest({places('text', _HYPHEN)}) AS place, unnest(regexp_extract_all(text, {q(_HYPHEN)}, 1)) AS hit FROM b WHERE prose AND regexp_matches(text, {q(_HYPHEN)})), x AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE NOT regexp_matches(hit, {q(L.KEEPS_HYPHEN)})) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_at('place')}, CAST(n AS DOUBLE) AS value FROM x WHERE n >= 2",
 }

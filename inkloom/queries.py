@@ -55,6 +55,35 @@ def decorated(spark: SparkSession, d: str) -> Corpus:
     return Corpus.of_tables(read(spark, d, "files"), b.withColumn("text", F.when((F.col("kind") == "paragraph") & (extra != ""), F.concat("text", F.lit(" "), extra)).otherwise(F.col("text"))))
 
 
+def _retexted(spark: SparkSession, d: str, text: Column) -> Corpus:
+    return Corpus.of_tables(read(spark, d, "files"), read(spark, d, "blocks").withColumn("text", F.coalesce(text, F.col("text"))))
+
+
+def closing(spark: SparkSession, d: str) -> Corpus:
+    """The corpus with a takeaway behind every third paragraph."""
+    return _retexted(spark, d, F.when((F.col("kind") == "paragraph") & ((F.col("file_id") + F.col("pos")) % 3 == 0), F.concat("text", F.lit(" So it holds for all of them."))))
+
+
+def numbered(spark: SparkSession, d: str) -> Corpus:
+    """The corpus with numbered headings."""
+    return _retexted(spark, d, F.when(F.col("kind") == "heading", F.concat(F.lit("Step "), ((F.col("pos") * 7 + F.col("file_id")) % 9 + 1).cast("string"), F.lit(": "), "text")))
+
+
+def versioned(spark: SparkSession, d: str) -> Corpus:
+    """The corpus with version headings and groups of changes."""
+    k, i = F.col("pos") % 3, F.col("file_id")
+    version = F.concat(F.lit("1."), (i % 5).cast("string"), F.lit("."), (F.col("pos") % 7).cast("string"), F.lit(" - 2026-01-0"), (F.col("pos") % 9 + 1).cast("string"))
+    return _retexted(spark, d, F.when(F.col("kind") == "heading", F.when(k == 0, version).when(k == 1, "Added").otherwise("Other")))
+
+
+def bolded(spark: SparkSession, d: str) -> Corpus:
+    """The corpus with every other block bold."""
+    return _retexted(spark, d, F.when(F.col("pos") % 2 == 0, F.concat(F.lit("**"), "text", F.lit("**"))))
+
+
+SOURCES = {"CLR007": closing, "CLR010": bolded, "RIF005": numbered, "RIF008": versioned, **dict.fromkeys(("CLR004", "CLR013", "CLR014", "CLR015", "RIF001", "RIF004", "RIF010"), decorated)}
+
+
 def _six(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -116,7 +145,7 @@ def _rule(code: str, source, extra=lambda f: [], **options):
 
 
 for _code in sorted(CHECKS):
-    _rule(_code, decorated if _code in ("CLR004", "CLR013", "CLR014", "CLR015", "RIF001", "RIF004", "RIF010") else corpus, **({"max_sentence_words": 30} if _code == "CLR001" else {"max_reading_grade": 12.0} if _code == "CLR002" else {}))
+    _rule(_code, SOURCES.get(_code, corpus), **({"max_sentence_words": 30} if _code == "CLR001" else {"max_reading_grade": 12.0} if _code == "CLR002" else {}))
 
 
 @query
@@ -148,7 +177,13 @@ def dividers(spark, d):
 
 @query
 def peer_sections(spark, d):
-    return peers(corpus(spark, d).sections).groupBy("doc_id").agg(F.max("peer_level").cast("bigint").alias("peer_level"), F.count("*").alias("sections"), F.sum("prose_words").alias("words"))
+    return peers(corpus(spark, d).sections, 2).groupBy("doc_id").agg(F.max("peer_level").cast("bigint").alias("peer_level"), F.count("*").alias("sections"), F.sum("prose_words").alias("words"))
+
+
+@query
+def section_rhythm(spark, d):
+    p = peers(corpus(spark, d).sections, 2).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("prose_words").alias("total"), _six(F.stddev_pop("prose_words") / F.avg("prose_words")).alias("variation"))
+    return p.where("total > 0").drop("total")
 
 
 @query
@@ -239,7 +274,7 @@ def run_stats(spark, d):
 def share_below(spark, d):
     """Blocks of which few pass a threshold, by an integer stand-in for probabilities."""
     b = corpus(spark, d).prose.where("words >= 8 and not dump").withColumn("p", ((F.col("doc_id") * 31 + F.col("pos") * 17 + 13) % 100) / 100)
-    s = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("p") >= 0.65).cast("int")).alias("hits"))
+    s = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("p") >= 0.95).cast("int")).alias("hits"))
     return s.where("n >= 8 and hits / n <= 0.1").select("doc_id", "n", "hits")
 
 

@@ -7,6 +7,7 @@ import urllib.request
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ from inkloom.sources.parsers import FORMATS, parse
 
 BLOCK = "doc_id bigint, pos int, text string, raw string, kind string, line int, col int, label string, level int, bold boolean, error string"
 
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in map(str.split, BLOCK.split(", "))])
+
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(doc_id, path, format, content) of the files under a path; doc_id is a hash of the path; files of other formats have a null format."""
@@ -28,12 +32,11 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 def blocks_of(documents: DataFrame, main_content: bool = False) -> DataFrame:
     """Blocks of documents (doc_id, format, content). A document that can't be read gives one row with its error and no text."""
-    columns = [c.split()[0] for c in BLOCK.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for doc_id, fmt, content in zip(pdf["doc_id"], pdf["format"], pdf["content"]):
+            for doc_id, fmt, content in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "format", "content"))):
                 if content is None:
                     continue
                 try:
@@ -41,9 +44,9 @@ def blocks_of(documents: DataFrame, main_content: bool = False) -> DataFrame:
                         rows.append({"doc_id": doc_id, "pos": pos, **b, "error": None})
                 except Exception as e:  # noqa: BLE001 - one document must not end the job
                     rows.append({"doc_id": doc_id, "pos": 0, "line": 0, "col": 1, "level": 0, "bold": False, "error": f"{type(e).__name__}: {e}"[:300]})
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    return documents.where("doc_id is not null").select("doc_id", "format", "content").mapInPandas(run, BLOCK)
+    return documents.where("doc_id is not null").select("doc_id", "format", "content").mapInArrow(run, BLOCK)
 
 
 def corpus_of(documents: DataFrame, main_content: bool = False) -> tuple[Corpus, DataFrame]:

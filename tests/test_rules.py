@@ -44,7 +44,7 @@ CASES = {
     "CLR004": ("We use one instead of many. This rather than that. It is not large, but loud.", "We use one instead of many. " + words(30), 3),
     "CLR005": (" ".join(["The dog ran to the old house."] * 30), " ".join(["The dog ran to the old house."] * 5), 1),
     "CLR006": ("\n\n".join([words(40) + "."] * 9), "\n\n".join(words(n) + "." for n in (15, 80, 20, 200, 16, 90, 30, 150, 18)), 1),
-    "CLR007": ("\n\n".join([words(20) + ". " + words(20) + ". So it goes."] * 6), "\n\n".join([words(20) + ". " + words(20) + ". It goes."] * 6), 6),
+    "CLR007": ("\n\n".join(["A " + words(20) + ". A " + words(20) + ". So it goes."] * 6), "\n\n".join(["A " + words(20) + ". A " + words(20) + ". It goes."] * 6), 6),
     "CLR008": (sections(150, 160, 140, 155), sections(400, 60, 250, 30), 1),
     "CLR009": (" ".join(["It ran."] * 9), " ".join(["It ran."] * 8), 1),
     "CLR010": ("**" + words(200) + "** " + words(300), "**" + words(100) + "** " + words(450), 1),
