@@ -225,7 +225,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFra
                 ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
                 for a, b in parts(texts):
                     doc, item, share = search(pats, texts[a:b], least)
-                    yield pa.record_batch([ids.slice(a, b - a).take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
+                    yield pa.record_batch([ids.slice(a, b - a).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
 
         return docs.mapInArrow(run, "doc_id bigint, item_id bigint, share double")
 

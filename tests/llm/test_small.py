@@ -241,7 +241,8 @@ def test_learning(spark):
     rows = []
     for i in range(400):
         n = [rnd.choice(names) for _ in range(3)]
-        rows.append((i, f"The mill of Dr. {n[0]} was sold to him by the town of {n[1]}. It is on the hill in the old part of the place. She saw it with Dr. {n[2]} at the gate."))
+        parts = [f"The mill of Dr. {n[0]} was sold to him by the town of {n[1]}.", "It is on the hill in the old part of the place.", f"She saw it with Dr. {n[2]} at the gate."]
+        rows.append((i, " ".join(parts[i % 3 :] + parts[: i % 3])))
     b = spark.createDataFrame(rows + [(None, "x"), (9000, None), (9001, ""), (0, rows[0][1])], "block_id bigint, text string").withColumn("n", F.lit(0)).withColumn("lang", F.lit(0))
     m = sentences.learn(b)
     assert ("en", "dr") in m.abbreviations and ("en", "place") not in m.abbreviations
