@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.common import UNSPACED, files_with_blocks, table, unnest
 
-SAMPLE_FILES = 20_000
+SAMPLE_FILES = 30_000
 MAX_FEATURES = 50_000
-BIAS = 0.8  # log-odds that subject words gain from teasers to other pages
+BIAS = 1.0  # log-odds that subject words gain from teasers to other pages
 LEAST_FILES = 4  # files that a feature must occur in
 
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-ÞА-Я][\w'-]+")
@@ -75,13 +75,14 @@ class Model:
     """Log-odds of features between web pages and other files, and how much prose follows a wording."""
 
     def __init__(self, rows: list[tuple], pages: int, others: int):
-        self.odds = {f: math.log((h + 1) / (pages + 1)) - math.log((n + 1) / (others + 1)) for f, h, n, *_ in rows}
-        self.openers = {f for f, _, _, k, prose in rows if f[0] == "=" and k >= LEAST_FILES and prose <= 0.45 * k and self.odds[f] > 1.2}
+        self.odds = {f: math.log((h + 2) / (pages + 2)) - math.log((n + 2) / (others + 2)) for f, h, n, *_ in rows}
+        self.openers = {f for f, _, _, k, prose in rows if f[0] == "=" and k >= LEAST_FILES and prose <= 0.45 * k and self.odds[f] > 2.0}
 
     def cost(self, feats: list[str]) -> float:
         """Positive: speaks for boilerplate."""
         known = sorted((self.odds[f] for f in feats if f[0] not in "=#" and f in self.odds), reverse=True)
-        top = known[: max(2, len(known) // 3)]
+        # notices are short: in a long text the odd word proves nothing
+        top = known[: max(2, len(known) // 3)] if len(known) <= 14 else known
         marks = [self.odds[f] for f in feats if f[0] in "=#" and f in self.odds]
         return max([sum(top) / len(top) - 0.3 if top else 0.0, *marks])
 
@@ -146,13 +147,14 @@ def label(model: Model, page: list[Block]) -> list[bool]:
     """True for the blocks of a page, in reading order, that are boilerplate."""
     feats = [features(t, lv) for t, _, lv in page]
     main = next((i for i, (_, kind, lv) in enumerate(page) if lv == 1 and (kind or "").lower() != "title"), None)
-    prose = [is_prose(t) for t, _, _ in page]
+    odds_of = [model.cost(f) for f in feats]
+    prose = [is_prose(t) or odds < BIAS and len(t) >= 12 and bool(_END.search(t)) and not _CUT_OFF.search(t) for (t, _, _), odds in zip(page, odds_of)]
     unary, edges = [], {}
     reach: int | None = None
     for i, (text, kind, level) in enumerate(page):
         kind = (kind or "").lower()
-        odds = model.cost(feats[i])
-        u = 1.8 * min(max(odds - BIAS, 0.0), 3.5) - 0.4
+        odds = odds_of[i]
+        u = 2.2 * min(max(odds - BIAS, 0.0), 3.5) - 0.4
         if main is not None and i < main:
             u += 5.0
         if kind == "title":
@@ -165,17 +167,21 @@ def label(model: Model, page: list[Block]) -> list[bool]:
             u = min(u, 0.0) - 2.5
         elif odds < BIAS:
             u -= 0.5
-        unary.append(u)
-        if i:
-            last = (page[i - 1][1] or "").lower()
-            edges[i - 1, i] = 0.7 if prose[i] != prose[i - 1] or main in (i, i - 1) else 1.5 if kind == last else 1.0
+        opens = main is not None and i > main and feats[i][0] in model.openers
+        if opens:
+            u += 6.0
         # blocks under the opener of a section stand near it in the page's tree
         if level in (1, 2):
             reach = None
-        if reach is not None and odds < 1.5:
-            edges[reach, i] = edges.get((reach, i), 0.0) + (0.5 if is_long(text) else 4.0)
-        if main is not None and i > main and feats[i][0] in model.openers:
+        if reach is not None and not opens and odds < 1.5:
+            edges[reach, i] = edges.get((reach, i), 0.0) + 4.0
+            u *= 0.6
+        if opens:
             reach = i
+        unary.append(u)
+        if i:
+            last = (page[i - 1][1] or "").lower()
+            edges[i - 1, i] = edges.get((i - 1, i), 0.0) + (0.7 if prose[i] != prose[i - 1] or main in (i, i - 1) else 1.5 if kind == last else 1.0)
     return minimum_cut(unary, edges)
 
 
