@@ -38,10 +38,11 @@ def location() -> Column:
 
 @dataclass
 class Corpus:
-    """docs: doc_id, path, format, doc_type. blocks: doc_id, pos, text, raw, kind, line, col, label, level, bold, visuals, words, prose, dump."""
+    """docs: doc_id, path, format, doc_type. blocks: doc_id, pos, text, raw, kind, line, col, label, level, bold, words, prose, dump."""
 
     docs: DataFrame
     blocks: DataFrame
+    visuals: DataFrame | None = None  # doc_id, line (slide), visuals: pictures and charts of decks
 
     @staticmethod
     def of(docs: DataFrame, blocks: DataFrame) -> Corpus:

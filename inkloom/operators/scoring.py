@@ -53,6 +53,51 @@ def http_scorer(url: str, model: str, key: str = "") -> Scorer:
     return ask
 
 
+def listed_questions(questions: Mapping[str, object]) -> list[dict]:
+    """Questions as a list of predicates and choices: a text or mapping is a predicate, a mapping with ``choices`` a choice. Mappings become text, the question first."""
+
+    def told(x) -> str:
+        if not isinstance(x, Mapping):
+            return str(x)
+        rest = [f"{k.replace('_', ' ').capitalize()}: {v}" for k, v in x.items() if k not in ("question", "choices")]
+        return "\n".join(([str(x["question"])] if "question" in x else []) + rest)
+
+    out = []
+    for name, x in questions.items():
+        one = {"type": "predicate", "name": name, "instructions": told(x)}
+        if isinstance(x, Mapping) and "choices" in x:
+            one |= {"type": "choice", "choices": [{"value": v, "description": told(t)} for v, t in x["choices"].items()]}
+        out.append(one)
+    return out
+
+
+def listed_answers(payload: Mapping, questions: Mapping[str, object]) -> dict[str, object]:
+    """name -> probability, or (choice, confidence); a refusal, a missing or an extra answer is an error."""
+    out: dict[str, object] = {}
+    for a in payload["answers"]:
+        if a["type"] == "refusal":
+            raise ValueError(f"refused: {a.get('name')}")
+        chosen = isinstance(questions[a["name"]], Mapping) and "choices" in questions[a["name"]]
+        if (a["type"] == "choice") != chosen:
+            raise ValueError(f"{a['name']} was answered as {a['type']}")
+        out[a["name"]] = (a["choice"], float(a["confidence"])) if chosen else float(a["probability"])
+    if out.keys() != questions.keys():
+        raise ValueError("the answers don't match the questions")
+    return out
+
+
+def listed_scorer(url: str, model: str, key: str = "") -> Scorer:
+    """A model that takes its questions as a list of predicates."""
+
+    def ask(state: str, questions: Mapping[str, str]) -> dict[str, float]:
+        body = json.dumps({"model": model, "input": state, "questions": listed_questions(questions)}).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(request, timeout=TIMEOUT) as response:
+            return listed_answers(json.load(response), questions)
+
+    return ask
+
+
 def resolve(name: str | None) -> Scorer:
     """A scorer by name: registered prefixes before a colon; without a name the stand-in."""
     if name is None or name == "hash":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkloom.functions import text as T
-from inkloom.operators.corpus import Corpus, slides
+from inkloom.operators.corpus import Corpus, is_divider, slides
 from inkloom.operators.gate import applies
 from inkloom.rules.catalog import Rule
 
@@ -41,11 +41,11 @@ def sections_of(c: Corpus) -> DataFrame:
     from inkloom.rules.static import titled
 
     deck = c.docs.where("format = 'pptx'")
-    h = titled(c).select("doc_id", "sec_no", "level", "title", "label", F.col("pos").alias("title_pos"), "body", "divider")
+    none = F.lit(None).cast("int")
+    h = titled(c).select("doc_id", "sec_no", "level", "title", "label", F.col("pos").alias("title_pos"), "body", "divider", none.alias("visuals"))
     s = slides(c.blocks.join(deck, "doc_id", "left_semi")).where("title is not null")
-    from inkloom.operators.corpus import is_divider
-
-    return h.unionByName(s.select("doc_id", "sec_no", "level", "title", "label", "title_pos", "body", is_divider(F.col("body"), F.col("title")).alias("divider")))
+    s = s.withColumn("visuals", none) if c.visuals is None else s.join(c.visuals.select("doc_id", "line", F.col("visuals").cast("int").alias("visuals")), ["doc_id", "line"], "left")
+    return h.unionByName(s.select("doc_id", "sec_no", "level", "title", "label", "title_pos", "body", is_divider(F.col("body"), F.col("title")).alias("divider"), "visuals"))
 
 
 UNIT = ("doc_id", "unit_scope", "view", "anchor_pos", "sec_no", "state", "codes", "snippet", "tokens")
@@ -74,7 +74,7 @@ def plan(c: Corpus, rules: list[Rule], min_words: int | None = None) -> DataFram
     out.append(_unit(judged.where(T.word_count("title") >= 2).withColumn("codes", codes(rules, "title", "text")), "title", "text", title_state, T.snippet(F.col("title"))))
     where = F.concat(F.when(F.col("deck"), "slide ").otherwise("section "), F.col("i"), F.lit(" of "), F.col("n"))
     bodies = judged.where(T.word_count("body") >= 2 * floor(F.col("format"), min_words)).withColumn("codes", codes(rules, "section", "text"))
-    out.append(_unit(bodies, "section", "text", F.to_json(F.struct(where.alias("position"), "title", "body")), T.snippet(F.col("title"))))
+    out.append(_unit(bodies, "section", "text", F.to_json(F.struct(where.alias("position"), "title", "body", F.when(F.col("visuals") > 0, F.concat(F.col("visuals").cast("string"), F.lit(" (not shown; only the text is)"))).alias("charts_or_images"))), T.snippet(F.col("title"))))
 
     anchor = c.blocks.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("prose"), F.col("pos"))), F.min("pos")).alias("anchor_pos"))
     text = c.prose.where("not dump").groupBy("doc_id").agg(T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")).alias("text"))

@@ -55,7 +55,12 @@ def json_report(run: Lint) -> DataFrame:
     f = run.findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("f"))
     cleaned = F.transform(F.coalesce("f", F.array().cast(f.schema["f"].dataType)), lambda x: F.struct(x["code"].alias("code"), x["message"].alias("message"), x["line"].alias("line"), x["col"].alias("col"), x["label"].alias("label"), x["snippet"].alias("snippet"), F.when(x["code"].startswith("JEV"), x["value"]).alias("probability"), x["severity"].alias("severity")))
     d = run.docs.join(f, "doc_id", "left")
-    return d.select("doc_id", F.to_json(F.struct("path", "format", "doc_type", "doc_type_confidence", "doc_type_source", cleaned.alias("findings")), {"ignoreNullFields": "false"}).alias("report"))
+    parts = ["path", "format", "doc_type", "doc_type_confidence", "doc_type_source", cleaned.alias("findings")]
+    if run.decisions is not None:
+        s = run.stats()
+        d = d.join(s.select("doc_id", F.struct(*(c for c in s.columns if c != "doc_id")).alias("stats")), "doc_id", "left")
+        parts.append("stats")
+    return d.select("doc_id", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def exit_code(run: Lint) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.operators.corpus import Corpus
-from inkloom.sources.parsers import FORMATS, parse
+from inkloom.sources.parsers import FORMATS, parse, visuals_of
 
 BLOCK = "doc_id bigint, pos int, text string, raw string, kind string, line int, col int, label string, level int, bold boolean, error string"
 
@@ -49,13 +49,39 @@ def blocks_of(documents: DataFrame, main_content: bool = False) -> DataFrame:
     return documents.where("doc_id is not null").select("doc_id", "format", "content").mapInArrow(run, BLOCK)
 
 
+def visuals(documents: DataFrame) -> DataFrame:
+    """(doc_id, line, visuals): pictures and charts of each slide of the decks that can be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rows += [{"doc_id": doc_id, "line": n, "visuals": k} for n, k in visuals_of(content).items()]
+                except Exception:  # noqa: BLE001, S112 - blocks_of reports it
+                    continue
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("visuals", pa.int32())]))
+
+    return documents.where("format = 'pptx' and content is not null").select("doc_id", "content").mapInArrow(run, "doc_id bigint, line int, visuals int")
+
+
+def texts_for_compare(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): Markdown and text as written, so that code and link targets survive; of other formats the texts of their blocks."""
+    plain = F.col("format").isNull() | F.col("format").isin("md", "txt")
+    raw = documents.where(plain).select("doc_id", F.decode("content", "UTF-8").alias("text"))
+    b = blocks_of(documents.where(~plain)).where("error is null").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return raw.unionByName(b)
+
+
 def corpus_of(documents: DataFrame, main_content: bool = False) -> tuple[Corpus, DataFrame]:
     """(corpus, errors) of documents with doc_id, format, content and perhaps path and doc_type."""
     have = set(documents.columns)
     docs = documents.select("doc_id", F.col("path") if "path" in have else F.lit("").alias("path"), "format", F.col("doc_type") if "doc_type" in have else F.lit(None).cast("string").alias("doc_type"))
     b = blocks_of(documents, main_content)
     errors = b.where("error is not null").select("doc_id", "error")
-    return Corpus.of(docs, b.where("error is null").drop("error")), errors
+    c = Corpus.of(docs, b.where("error is null").drop("error"))
+    c.visuals = visuals(documents)
+    return c, errors
 
 
 MAX_PAGE, PAGE_TIMEOUT = 10_000_000, 30
