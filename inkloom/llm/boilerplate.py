@@ -143,10 +143,10 @@ def minimum_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list
     return [bool(x) for x in side]
 
 
-def label(model: Model, page: list[Block]) -> list[bool]:
-    """True for the blocks of a page, in reading order, that are boilerplate."""
+def label(model: Model, page: list[Block], later: bool = False) -> list[bool]:
+    """True for the blocks of a page, in reading order, that are boilerplate; later: the page's heading stands in an earlier segment."""
     feats = [features(t, lv) for t, _, lv in page]
-    main = next((i for i, (_, kind, lv) in enumerate(page) if lv == 1 and (kind or "").lower() != "title"), None)
+    main = -1 if later else next((i for i, (_, kind, lv) in enumerate(page) if lv == 1 and (kind or "").lower() != "title"), None)
     odds_of = [model.cost(f) for f in feats]
     prose = [is_prose(t) or odds < BIAS and len(t) >= 12 and bool(_END.search(t)) and not _CUT_OFF.search(t) for (t, _, _), odds in zip(page, odds_of)]
     unary, edges = [], {}
@@ -199,7 +199,7 @@ def fit(files: DataFrame, blocks: DataFrame, sample_files: int = SAMPLE_FILES) -
             after: Counter = Counter()
             formats = batch.column("file_format").to_pylist()
             _, cols, groups = unnest(batch)
-            for fmt, order in zip(formats, groups):
+            for fmt, part, order in zip(formats, batch.column("segment").to_pylist(), groups):
                 texts = [cols["text"][i] for i in order]
                 feats = [features(t, cols["head_level"][i] or 0) for t, i in zip(texts, order)]
                 seen = {f for fs in feats for f in fs}
@@ -209,7 +209,7 @@ def fit(files: DataFrame, blocks: DataFrame, sample_files: int = SAMPLE_FILES) -
                     # whether an article's prose still follows, for blocks behind the page's heading
                     prose = [is_long(t) for t in texts]
                     left = sum(prose)
-                    behind = False
+                    behind = part > 0
                     for t, fs, p, i in zip(texts, feats, prose, order):
                         left -= p
                         if behind and fs[0][0] == "=":
@@ -236,8 +236,8 @@ def boilerplate(files: DataFrame, blocks: DataFrame) -> DataFrame:
     """(file_id, block_id, pos, removed) for every block of the html files: removed is true outside the main body.
 
     Repeated loads of a block count once; blocks with null text, null file or of an unknown file give no row; of blocks with null pos the order is by block id, at the
-    end; null kinds and levels are taken as unknown. Without files that aren't pages the classifier is blind and only structure decides. A page is labelled in one
-    piece: it is the unit of the method, and holds no more than one document. Other columns are ignored.
+    end; null kinds and levels are taken as unknown. Without files that aren't pages the classifier is blind and only structure decides. A page is labelled in
+    segments of common.SEGMENT blocks, nearly always one; its heading is sought in the first. Other columns are ignored.
     """
     model = blocks.sparkSession.sparkContext.broadcast(fit(files, blocks))  # at most MAX_FEATURES
     pages = files_with_blocks(files.where(F.lower(F.trim("file_format")) == "html"), blocks)
@@ -246,12 +246,12 @@ def boilerplate(files: DataFrame, blocks: DataFrame) -> DataFrame:
         for batch in batches:
             ids, cols, groups = unnest(batch)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for file_id, order in zip(ids, groups):
+            for file_id, part, order in zip(ids, batch.column("segment").to_pylist(), groups):
                 page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
                 out[0].extend([file_id] * len(page))
                 out[1].extend(cols["block_id"][i] for i in order)
                 out[2].extend(cols["pos"][i] for i in order)
-                out[3].extend(label(model.value, page))
+                out[3].extend(label(model.value, page, part > 0))
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], ["file_id", "block_id", "pos", "removed"])
 
     return pages.mapInArrow(run, "file_id bigint, block_id bigint, pos int, removed boolean")

@@ -31,20 +31,28 @@ def parts(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
 BLOCK_FIELDS = ("pos", "block_id", "text", "kind", "head_level", "word_count")
 
 
+SEGMENT = 4096  # blocks of a file that are handled together
+
+
 def files_with_blocks(files: DataFrame, blocks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per file that has blocks: its format, the named extra columns of ``files``, and its blocks as a list of structs.
+    """One row per segment of a file that has blocks: its format, the named extra columns of ``files``, and its blocks as a list of structs.
 
-    One shuffle of the blocks by file; repeated loads of a block are left in (``Page.of`` drops them).
-    A repeated file_id in ``files`` counts once; blocks without a file are dropped, as nothing is known of them.
+    A segment is a run of SEGMENT positions, so that no task collects more, however large a file is; nearly every file is one segment. Segments, not files, are
+    spread over the tasks. One shuffle of the blocks; repeated loads of a block are left in (``unnest`` drops them).
+    A repeated file_id in ``files`` counts once; blocks without a file are dropped, as nothing is known of them; null positions belong to the first segment.
     """
-    b = (
-        blocks.where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
-        .select("file_id", F.struct(*BLOCK_FIELDS).alias("b"))
-        .groupBy("file_id")
-        .agg(F.collect_list("b").alias("blocks"))
-    )
+    there = blocks.where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
+    segment = F.coalesce(F.floor(F.col("pos") / SEGMENT), F.lit(0)).cast("int")
     f = files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max(F.lower(F.trim("file_format"))).alias("file_format"), *(F.max(c).alias(c) for c in extra))
-    return b.join(f, "file_id")
+    long = (there.agg(F.max("pos")).first()[0] or 0) >= SEGMENT
+    if long:
+        spans = there.groupBy("file_id").agg(F.min(segment).alias("a"), F.max(segment).alias("z"))
+        f = f.join(spans, "file_id").select("*", F.explode(F.sequence("a", "z")).alias("segment")).drop("a", "z")
+    else:
+        f = f.withColumn("segment", F.lit(0))
+    keys = ["file_id", "segment"] if long else ["file_id"]
+    b = there.select("file_id", *([segment.alias("segment")] if long else []), F.struct(*BLOCK_FIELDS).alias("b")).groupBy(*keys).agg(F.collect_list("b").alias("blocks"))
+    return b.join(f, keys)
 
 
 def unnest(batch: pa.RecordBatch) -> tuple[list[int], dict[str, list], np.ndarray]:

@@ -35,7 +35,7 @@ MIN_SENTENCES, MIN_WORDS, MIN_FIT = 3, 30, 200
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 _STOP = re.compile(r"(\S*?)([.!?]+)([\"'”’»)\]]*)(?=\s+[\"'“‘«(\[]*(\S)|\s*$)")
-_TERMINAL = re.compile(r"[.!?]+[\"'”’»)\]]*(?=\s|$)")
+_LAST = re.compile(r"(?s).*[.!?]+[\"'”’»)\]]*(?=\s|$)")
 _ODD = re.compile(r"[{}\[\]<>|^~=_\\Ââ�]")
 # Abbreviations of English after which a sentence goes on.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs e.g i.e u.s u.k inc ltd co corp no fig approx dept est vol al p pp cf sept rd".split())
@@ -57,10 +57,8 @@ def sentence_count(text: str) -> int:
 
 def is_running(text: str) -> bool:
     """Sentences, and not a row of cells or a dump."""
-    last = 0
-    for m in _TERMINAL.finditer(text):
-        last = m.end()
-    return last >= 0.5 * len(text) and len(_ODD.findall(text)) <= 0.05 * len(text) and cells_of(text) == 1 and " " in text.strip()
+    m = _LAST.match(text)
+    return m is not None and m.end() >= 0.5 * len(text) and len(_ODD.findall(text)) <= 0.05 * len(text) and cells_of(text) == 1 and " " in text.strip()
 
 
 def syllables(word: str) -> int:
@@ -72,7 +70,7 @@ PROSE = "file_id bigint, settings_id int, sentences bigint, words bigint, word a
 
 
 def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The English prose of each file that has enough of it, as words with counts."""
+    """The English prose of each segment of a file, as words with counts."""
     model = blocks.sparkSession.sparkContext.broadcast(bp.fit(files, blocks))  # at most bp.MAX_FEATURES
     pages = files_with_blocks(files, blocks, ("settings_id",))
     names = [x.split()[0] for x in PROSE.split(", ")]
@@ -81,19 +79,19 @@ def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cols, groups = unnest(batch)
-            formats, settings = batch.column("file_format").to_pylist(), batch.column("settings_id").to_pylist()
+            formats, settings, segments = (batch.column(c).to_pylist() for c in ("file_format", "settings_id", "segment"))
             rows = []
-            for file_id, fmt, setting, order in zip(ids, formats, settings, groups):
+            for file_id, fmt, setting, part, order in zip(ids, formats, settings, segments, groups):
                 kept = [i for i in order if kind_of(cols["kind"][i]) != "heading" and not cols["head_level"][i] and is_running(cols["text"][i])]
                 if not kept or language(" ".join(cols["text"][i] for i in kept)) not in ("en", ""):
                     continue
                 if fmt == "html":
-                    out = dict(zip(order, bp.label(model.value, [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order])))
+                    out = dict(zip(order, bp.label(model.value, [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order], part > 0)))
                     kept = [i for i in kept if not out[i]]
                 texts = [cols["text"][i] for i in kept]
                 counts = Counter(w for t in texts for w in _WORD.findall(t.lower()))
                 words, sentences = sum(counts.values()), sum(map(sentence_count, texts))
-                if words >= MIN_WORDS and sentences >= MIN_SENTENCES:
+                if words:
                     rows.append((file_id, setting, sentences, words, list(counts), list(counts.values())))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names)
 
@@ -101,17 +99,18 @@ def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def familiar(rows: DataFrame) -> set[str]:
-    """The list, from the document frequencies of all files."""
+    """The list, from the document frequencies of all files; a further segment of a long file counts as a file."""
     total = rows.count()
     letters = F.greatest(F.length("w") - PLAIN_LETTERS, F.lit(0))
     df = rows.select(F.explode("word").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     return {r[0] for r in df.where(F.log(F.col("df") / max(1, total)) >= RARE + LENGTH * letters).select("w").collect()}  # bounded, see the module's text
 
 
-MEASURES = "file_id bigint, settings_id int, sentences bigint, words bigint, unfamiliar double, sentence_words double, school_years double"
+MEASURES = "file_id bigint, settings_id int, sentences bigint, words bigint, unknown double, syllables double"
 
 
 def measures(rows: DataFrame, known: set[str]) -> DataFrame:
+    """unfamiliar (share of words outside the list, in percent), sentence_words and school_years (Flesch-Kincaid) of each file with enough prose."""
     sent = rows.sparkSession.sparkContext.broadcast(known)
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
@@ -128,11 +127,13 @@ def measures(rows: DataFrame, known: set[str]) -> DataFrame:
                 spoken[w] = syllables(w)
             syl = np.array([spoken.get(w) or syllables(w) for w in words], np.float64)
             add = lambda v: np.add.reduceat(v * times, offsets[:-1]) if len(v) else np.zeros(0)
-            n, s = np.asarray(batch.column("words")), np.asarray(batch.column("sentences"))
-            fk = 0.39 * n / s + 11.8 * add(syl) / n - 15.59
-            yield pa.record_batch([*(batch.column(c) for c in ("file_id", "settings_id", "sentences", "words")), pa.array(100 * add(new) / n), pa.array(n / s), pa.array(fk)], names)
+            yield pa.record_batch([*(batch.column(c) for c in ("file_id", "settings_id", "sentences", "words")), pa.array(add(new)), pa.array(add(syl))], names)
 
-    return rows.mapInArrow(run, MEASURES)
+    m = rows.mapInArrow(run, MEASURES).groupBy("file_id").agg(F.max("settings_id").alias("settings_id"), *(F.sum(c).alias(c) for c in ("sentences", "words", "unknown", "syllables")))
+    m = m.where((F.col("words") >= MIN_WORDS) & (F.col("sentences") >= MIN_SENTENCES))
+    length = F.col("words") / F.col("sentences")
+    years = 0.39 * length + 11.8 * F.col("syllables") / F.col("words") - 15.59
+    return m.select("file_id", "settings_id", "sentences", "words", (100 * F.col("unknown") / F.col("words")).alias("unfamiliar"), length.alias("sentence_words"), years.alias("school_years"))
 
 
 def calibrated(m: DataFrame) -> tuple[float, float, float]:

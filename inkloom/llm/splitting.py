@@ -100,8 +100,10 @@ def split_units(units: DataFrame, files: DataFrame, settings: DataFrame) -> Data
     """
     s = settings.where("settings_id is not null").groupBy("settings_id").agg(F.max("max_unit_tokens").alias("lim"), F.max("overlap_tokens").alias("ovl"))
     f = files.where("file_id is not null").groupBy("file_id").agg(F.max("settings_id").alias("settings_id")).join(s, "settings_id", "left").select("file_id", "lim", "ovl")
-    u = units.where("unit_id is not null and state is not null").select("unit_id", "file_id", "state").distinct().join(f, "file_id", "left")
-    over = u.select("unit_id", "state", F.greatest(F.coalesce("lim", F.lit(DEFAULT_LIMIT)), F.lit(1)).alias("lim"), F.greatest(F.coalesce("ovl", F.lit(DEFAULT_OVERLAP)), F.lit(0)).alias("ovl")).where(F.floor(F.length("state") / 4) + 1 > F.col("lim"))
+    tokens = F.floor(F.length("state") / 4) + 1
+    lowest = min(DEFAULT_LIMIT, *(r[0] for r in s.agg(F.min("lim")).collect() if r[0] is not None), DEFAULT_LIMIT)  # one number; smaller states aren't over any limit and don't travel
+    u = units.where("unit_id is not null and state is not null").select("unit_id", "file_id", "state").where(tokens > max(lowest, 1)).join(f, "file_id", "left")
+    over = u.select("unit_id", "state", F.greatest(F.coalesce("lim", F.lit(DEFAULT_LIMIT)), F.lit(1)).alias("lim"), F.greatest(F.coalesce("ovl", F.lit(DEFAULT_OVERLAP)), F.lit(0)).alias("ovl")).where(tokens > F.col("lim")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

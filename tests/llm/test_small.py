@@ -286,6 +286,20 @@ def test_boilerplate(spark):
     assert boilerplate.boilerplate(f, odd).count() == 3
 
 
+def test_long_files_are_cut_in_segments(spark, monkeypatch):
+    from inkloom.llm import common
+
+    f, b = pages(spark)
+    one = {tuple(r) for r in boilerplate.boilerplate(f, b).select("block_id", "removed").collect()}
+    monkeypatch.setattr(common, "SEGMENT", 5)
+    cut = {tuple(r) for r in boilerplate.boilerplate(f, b).select("block_id", "removed").collect()}
+    assert len(cut) == len(one) == 150 and len(cut ^ one) <= 30
+    s = settings(spark, (1, 8.0, None, None))
+    whole = {r["file_id"]: r["words"] for r in readability.grades(f, b, s).collect()}
+    monkeypatch.setattr(common, "SEGMENT", 4096)
+    assert whole == {r["file_id"]: r["words"] for r in readability.grades(f, b, s).collect()}
+
+
 def test_minimum_cut_against_brute_force():
     rnd = random.Random(3)
     for _ in range(300):
