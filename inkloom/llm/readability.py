@@ -34,7 +34,8 @@ DEFAULT_LIMIT = 14.0
 MIN_SENTENCES, MIN_WORDS, MIN_FIT = 3, 30, 200
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
-_STOP = re.compile(r"(\S*?)([.!?]+)([\"'”’»)\]]*)(?=\s+[\"'“‘«(\[]*(\S)|\s*$)")
+_STOP = re.compile(r"([.!?]+)[\"'”’»)\]]*(?:\s+[\"'“‘«(\[]*(?=(\S))|\s*$)")
+_TOKEN = re.compile(r"\S*$")
 _LAST = re.compile(r"(?s).*[.!?]+[\"'”’»)\]]*(?=\s|$)")
 _ODD = re.compile(r"[{}\[\]<>|^~=_\\Ââ�]")
 # Abbreviations of English after which a sentence goes on.
@@ -44,13 +45,14 @@ ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs e.g i.e u.s u.k inc ltd
 def sentence_count(text: str) -> int:
     n = 0
     for m in _STOP.finditer(text):
-        word, marks, _, after = m.groups()
-        if after is None:
-            n += 1
-            continue
-        token = word.lower().lstrip("\"'“‘«([")
-        if after.islower() or marks == "." and (token in ABBREVIATIONS or len(token) == 1 and token.isalpha()):
-            continue
+        marks, after = m.groups()
+        if after is not None:
+            if after.islower():
+                continue
+            if marks == ".":
+                token = _TOKEN.search(text[max(0, m.start() - 12) : m.start()]).group().lower().lstrip("\"'“‘«([")
+                if token in ABBREVIATIONS or len(token) == 1 and token.isalpha():
+                    continue
         n += 1
     return n
 
