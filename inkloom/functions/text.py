@@ -23,9 +23,10 @@ _ABBREVIATED = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 _CUT = "\x01"
 
 #: A sentence ends at a run of marks with white space behind it, unless an abbreviation or a single letter stands before it,
-#: or the mark is one point and a small letter follows. Each boundary can be judged alone, so one pattern finds all.
+#: or the mark is one point and a small letter follows. Each boundary can be judged alone, so one pattern finds all. The look at the
+#: mark comes first, as what stands before it need be looked at nowhere else.
 BOUNDARY = (
-    rf"(?<![.!?])(?<!(?<![\p{{L}}\p{{N}}_.])(?:(?i:{_ABBREVIATED})|\p{{L}}))"
+    rf"(?=[.!?])(?<![.!?])(?<!(?<![\p{{L}}\p{{N}}_.])(?:(?i:{_ABBREVIATED})|\p{{L}}))"
     rf"(?:([.](?![.!?]){_CLOSE}){SPACE}++(?!\p{{Ll}})|((?![.](?![.!?]))[.!?]++{_CLOSE}){SPACE}++)"
 )
 

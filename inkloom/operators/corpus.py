@@ -5,7 +5,7 @@ All child tables carry doc_id and are partitioned by it once; every window and a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,7 @@ class Corpus:
 
     docs: DataFrame
     blocks: DataFrame
+    kept: list[DataFrame] = field(default_factory=list)
     visuals: DataFrame | None = None  # doc_id, line (slide), visuals: pictures and charts of decks
 
     @staticmethod
@@ -76,9 +77,21 @@ class Corpus:
         return Corpus.of(docs, b.select(F.col("file_id").alias("doc_id"), "pos", "text", "kind", F.col("line_no").alias("line"), F.col("col_no").alias("col"), F.col("block_label").alias("label"), F.col("head_level").alias("level"), F.col("bold_lead").alias("bold")))
 
     def persist(self) -> Corpus:
+        """Keeps blocks, and sentences and sections once they are asked for: several rules read each of them."""
         self.blocks = self.blocks.repartition("doc_id").persist()
+        self.kept = [self.blocks]
         return self
 
+    def unpersist(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        if self.kept:
+            self.kept.append(df.persist())
+        return df
+
     @cached_property
     def prose(self) -> DataFrame:
         return self.blocks.where("prose")
@@ -86,7 +99,7 @@ class Corpus:
     @cached_property
     def sentences(self) -> DataFrame:
         """doc_id, pos, sent_no (from 0), text, words, of the prose blocks."""
-        return self.prose.select("doc_id", "pos", "line", "col", "label", "kind", "dump", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence")).withColumn("n", T.word_count("sentence"))
+        return self._keep(self.prose.select("doc_id", "pos", "line", "col", "label", "kind", "dump", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence")).withColumn("n", T.word_count("sentence")))
 
     @cached_property
     def outline(self) -> DataFrame:
@@ -112,7 +125,7 @@ class Corpus:
                 F.coalesce(F.sum((F.col("b.pos") <= F.col("s.own_end")).cast("int")), F.lit(0)).alias("own_blocks"),
             )
         )
-        return body.withColumn("divider", is_divider(F.col("body"), F.col("title")))
+        return self._keep(body.withColumn("divider", is_divider(F.col("body"), F.col("title"))))
 
 
 def is_divider(body: Column, title: Column) -> Column:

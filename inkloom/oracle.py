@@ -145,7 +145,7 @@ _GRADE = f"(0.39 * (w / n) + 11.8 * (y / w) - 15.59)"
 _GRADED = f"g AS (SELECT doc_id, pos, line, col, text, CAST(words AS DOUBLE) AS w, CAST(len({sentences('text')}) AS DOUBLE) AS n, CAST(list_sum(list_transform(regexp_extract_all(text, {q(T.WORD)}), lambda t: {syllables('t')})) AS DOUBLE) AS y FROM b WHERE prose AND words >= 30)"
 _TOKENS = f"t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(L.REGISTER_WORD)})) AS w FROM b WHERE kind = 'paragraph' AND NOT dump)"
 _FIRST = "first AS (SELECT doc_id, min(pos) AS pos, arg_min(line, pos) AS line, arg_min(col, pos) AS col FROM b WHERE @COND@ GROUP BY 1)"
-_PAIRS = "p AS (SELECT * FROM (SELECT doc_id AS pair_id, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS source, text AS rewrite FROM documents WHERE text IS NOT NULL) WHERE source IS NOT NULL)"
+_PAIRS = "p AS (SELECT t.doc_id AS pair_id, s.text AS source, t.text AS rewrite FROM documents t JOIN documents s ON t.doc_id = s.doc_id + 1 WHERE s.text IS NOT NULL AND t.text IS NOT NULL)"
 
 _PART = f"{strip('body')}"
 _HYPHEN = L.PREDICATE_HYPHEN.replace("(?=", "(?:")

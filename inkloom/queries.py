@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkloom.functions import text as T
 from inkloom.operators import scoring, units
@@ -109,7 +108,7 @@ def sentence_split(spark, d):
 def readability(spark, d):
     c = corpus(spark, d)
     g = T.grade(F.size(T.sentences(F.col("text"))), F.col("words"), T.syllable_total(T.words(F.col("text"))))
-    return c.prose.withColumn("g", g).where("g is not null").select("doc_id", F.col("pos").cast("bigint").alias("pos"), _six("g").alias("grade"))
+    return c.prose.where("words >= 30").withColumn("g", g).where("g is not null").select("doc_id", F.col("pos").cast("bigint").alias("pos"), _six("g").alias("grade"))
 
 
 @query
@@ -282,10 +281,10 @@ def share_below(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Each document as the rewrite of the one before it in the same source."""
+    """Each document as the rewrite of the one with the id before its own."""
     t = read(spark, d, "documents").where("text is not null")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t.select(F.col("doc_id").alias("pair_id"), F.lag("text").over(w).alias("source_text"), F.col("text").alias("rewrite")).where("source_text is not null").withColumnRenamed("source_text", "source")
+    before = t.select((F.col("doc_id") + 1).alias("pair_id"), F.col("text").alias("source"))
+    return before.join(t.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("rewrite")), "pair_id")
 
 
 @query

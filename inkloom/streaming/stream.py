@@ -25,7 +25,7 @@ def lint_stream(documents: DataFrame, sink: Callable[[DataFrame, int], None], ch
         corpus, errors = corpus_of(batch)
         run = lint(corpus, settings, errors=errors)
         sink(run.findings, batch_id)
-        corpus.blocks.unpersist()
+        corpus.unpersist()
 
     w = documents.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
