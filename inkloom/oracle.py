@@ -245,4 +245,10 @@ ORACLE_SQL = {
                UNION ALL SELECT doc_id, pos, 3 FROM o WHERE dated <> '' AND NOT regexp_full_match(trim(dated, '() '), '\\d{{4}}-\\d{{2}}-\\d{{2}}') UNION ALL SELECT doc_id, pos, CASE WHEN list_contains({list(L.CHANGE_GROUPS)}, {strip('lower(title)')}) THEN 5 ELSE 4 END FROM gr WHERE own = 0 OR NOT list_contains({list(L.CHANGE_GROUPS)}, {strip('lower(title)')}))
         SELECT {_cols('n')} FROM al JOIN (SELECT doc_id, pos, line, col FROM b) USING (doc_id, pos)""",
     "rif010": f"WITH {D}, m AS (SELECT *, unnest({places('text', _HYPHEN)}) AS place, unnest(regexp_extract_all(text, {q(_HYPHEN)}, 1)) AS hit FROM b WHERE prose AND regexp_matches(text, {q(_HYPHEN)})), x AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE NOT regexp_matches(hit, {q(L.KEEPS_HYPHEN)})) SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_at('place')}, CAST(n AS DOUBLE) AS value FROM x WHERE n >= 2",
+    "slide_sections": f"""WITH {B}, sl AS (SELECT doc_id, line, min(pos) AS own_start, string_agg(text, ' ' ORDER BY pos) FILTER (WHERE kind IN ('heading', 'title')) AS title, sum(CASE WHEN prose THEN words ELSE 0 END) AS prose_words, sum(CAST(kind = 'list_item' AS INT)) AS bullets
+        FROM b WHERE doc_id IN (SELECT doc_id FROM f WHERE format = 'pptx') GROUP BY ALL)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY own_start) AS BIGINT) AS sec_no, 'slide ' || line AS label, coalesce(title, '') AS title, CAST(prose_words AS BIGINT) AS prose_words, CAST(bullets AS BIGINT) AS bullets FROM sl""",
+    "outline": f"""WITH {B}, {_SECTIONS}, own AS (SELECT s.*, (SELECT count(*) FROM b WHERE b.doc_id = s.doc_id AND b.pos BETWEEN s.own_start AND s.own_end AND b.kind NOT IN ('heading', 'title')) AS own, coalesce((SELECT b.label FROM b WHERE b.doc_id = s.doc_id AND b.pos = s.title_pos), '') AS label FROM secs s)
+        SELECT doc_id, CAST(sec_no AS BIGINT) AS k, repeat(' ', CAST(2 * greatest(level, 1) AS INT)) || CASE WHEN label <> '' THEN label || ' ' ELSE '' END || coalesce(title, '(untitled)') || ' [' || own || ' blocks, ' || len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) || ' words]' AS line_text FROM own
+        UNION ALL SELECT doc_id, -1, path || ' (' || coalesce(format, '?') || ': ' || CAST(sum(own) AS BIGINT) || ' blocks, ' || count(*) || ' sections)' FROM own JOIN f USING (doc_id) GROUP BY doc_id, path, format""",
 }
