@@ -111,11 +111,15 @@ UNSPACED = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 _SPREAD = re.compile(r"([぀-ヿ一-鿿฀-๿])")
 
 
+_ASCII_WORDS = re.compile("[a-z0-9]+")
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased words; in scripts that don't write spaces each character counts as a word."""
     text = text.lower()
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).replace("­", "")
-        if UNSPACED.search(text):
-            text = _SPREAD.sub(r" \1 ", text)
+    if text.isascii():
+        return _ASCII_WORDS.findall(text)
+    text = unicodedata.normalize("NFKC", text).replace("­", "")
+    if UNSPACED.search(text):
+        text = _SPREAD.sub(r" \1 ", text)
     return re.findall(r"[^\W_]+[ऀ-ॿัิ-ฺ็-๎]*", text)

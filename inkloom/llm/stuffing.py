@@ -23,6 +23,7 @@ from inkloom.llm.common import FUNCTION_WORDS, parts, table, words_of
 LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>.*?(?:</a>|$)|(?:https?://|www\.)\S+", re.I)
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+|<a\s[^>]*>|</a>", re.I)
 _SENTENCE = re.compile(r"[^.!?。！？।؟…]*[.!?。！？।؟…]+[\"'”’»」』)\]]*(?=\s|$|[^\x00-\xff])")
+_SAID = re.compile(r"(?s).*[.!?。！？।؟…]+[\"'”’»」』)\]]*(?=\s|$|[^\x00-\xff])")
 _HEADING = re.compile(r"\s*#{1,6}\s+\S")
 _LIST = re.compile(r"\s*(?:[-*+]|\d{1,3}[.)])\s+")
 _BULLET = re.compile(r"\s*[★☆»>•·▪►✓✔|]")
@@ -73,14 +74,14 @@ def units(text: str) -> tuple[int, int, int, list[str]]:
                 links += n
                 odd.append(_URL.sub(" ", line))
             continue
-        tags = len(_TAGS.findall(line))
+        tags = len(_TAGS.findall(line)) if "#" in line or "tag/" in line else 0
         if _TAG_LINE.match(line) or tags and tags >= 0.6 * len(line.split()):
             flush()
             links += n
             odd.append(line)
             continue
-        said = sum(len(m.group()) for m in _SENTENCE.finditer(line))
-        if said >= 0.5 * n:
+        m = _SAID.match(line)
+        if m and m.end() >= 0.5 * n:
             flush()
             good += n
             continue
@@ -133,7 +134,7 @@ def counts(documents: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in parts(texts):
-                # a line is a run of neighbours; pairs don't reach over its end
+                # pairs don't reach over the end of a text
                 each = [words_of(_URL.sub(" ", t)) + [""] for t in texts[a:b] if t]
                 flat = [w for ws in each for w in ws]
                 if not flat:
