@@ -4,12 +4,15 @@ Corpus counts of words and of neighbouring pairs are taken over all documents, s
 shuffled. A page's lines are sorted into sentences and into units that can't be sentences (keyword runs, separated
 items, link lines without description, tags). For pages that consist mostly of such units, the mean PMI of their
 neighbours and the share of collocations that recur within the page decide: word salad has a low mean, stuffed pages repeat the same pairs.
+Keywords may also be set as sentences, list entries or words between blanks, in any script; on every page, whatever its lines look
+like, terms that recur again and again within their sentences are sought, and the text of such sentences is weighed (``crammed``).
 Mean PMI is a sum of weighted logarithms of counts, so one join by key and one sum per page give it exactly.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import FUNCTION_WORDS, parts, table, words_of
+from inkloom.llm.common import FUNCTION_WORDS, UNSPACED, parts, table, words_of
 
 LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>.*?(?:</a>|$)|(?:https?://|www\.)\S+", re.I)
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+|<a\s[^>]*>|</a>", re.I)
@@ -32,10 +35,16 @@ _TAG_LINE = re.compile(r"\s*(?:tags?|keywords?|labels?)\s*:", re.I)
 _SEPARATOR = re.compile(r"[,，、/|·»;•]|\s[-–—>]\s")
 _THAI = re.compile(r"[฀-๿]")
 _PLAIN = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
+# Frequent function words of the other spaced scripts.
+_COMMON = _PLAIN | set("है हैं का की के को में से पर और यह वह था थी थे ने एक भी नहीं и в во не на с со что как это по к у из за от до в في من على إلى أن عن مع لا ما هذا هذه كل".split())
 
 MIN_SHARE = 0.5  # of the page's text, headings aside
 SALAD_PMI = 1.5  # natural logarithm; below it neighbours are little likelier than chance
 REPEATED = 0.02  # share of the page's pairs that recur at least three times in it
+MENTIONS = 6  # times that a page must hold a keyword
+DENSITY = 0.04  # share of a keyword in the words of the page, repeated sentences counted once
+FILLED = 0.25  # share of a sentence in an unspaced script that its keywords fill
+OFTEN = 1.6  # mean number of times that sentences with a keyword hold it
 RUN = 5  # lines of titles or keywords in a row that are more than a heading or a signature
 
 
@@ -115,6 +124,83 @@ def units(text: str) -> tuple[int, int, int, list[str]]:
     return good, words, links, odd
 
 
+_PIECE = re.compile(r"[^.!?。！？।؟…\n]+")
+
+
+def _pieces(text: str) -> list[list[str]]:
+    """Words of each sentence, headings and URLs aside; Thai sets no marks, there three runs between blanks are taken together."""
+    out = []
+    for line in text.split("\n"):
+        if _HEADING.match(line):
+            continue
+        for x in _PIECE.findall(_URL.sub(" ", line)):
+            if len(_THAI.findall(x)) > 0.5 * len(x.strip()):
+                runs = x.split()
+                out += [" ".join(runs[i : i + 3]) for i in range(0, len(runs), 3)]
+            else:
+                out.append(x)
+    return [ws for ws in map(words_of, out) if ws]
+
+
+def crammed(text: str) -> tuple[float, list[list[str]]]:
+    """(share of the page's words in sentences that hold its keywords, these sentences).
+
+    A keyword is a word, or a pair of characters of an unspaced script, that its sentences hold several times over, or that fills sentences without function words.
+    A sentence that is repeated counts once when keywords are sought, so that a repeated line makes none.
+    """
+    every = _pieces(text)
+    words = Counter(w for ws in every for w in ws)
+    total = sum(words.values())
+    # no keyword without a frequent word; a pair of characters is no more frequent than either
+    if not any(n >= MENTIONS and (n >= DENSITY * total or not w.isascii() and UNSPACED.match(w)) and w not in _COMMON for w, n in words.items()):
+        return 0.0, []
+    times = Counter(map(tuple, every))
+    size = sum(map(len, times))
+    found: Counter = Counter()
+    again: Counter = Counter()
+    held: Counter = Counter()
+    room: Counter = Counter()
+    plain: Counter = Counter()
+    terms_of = {}
+    for ws, k in times.items():
+        terms = Counter(zip(ws, ws[1:]) if any(UNSPACED.match(w) for w in ws) else ws)
+        terms_of[ws] = terms
+        few = sum(w in _COMMON for w in ws)
+        for x, n in terms.items():
+            found[x] += n
+            again[x] += n * k
+            held[x] += 1
+            room[x] += len(ws)
+            plain[x] += few
+    keywords = {
+        x
+        for x, n in found.items()
+        if held[x] >= 3
+        and again[x] >= MENTIONS
+        and x not in _COMMON
+        and (
+            n >= OFTEN * held[x] and (isinstance(x, tuple) or n >= DENSITY * size and n >= 0.17 * room[x])
+            or isinstance(x, str) and n >= 0.26 * room[x] and n >= 0.1 * size and plain[x] <= 0.25 * room[x]
+        )
+    }
+    stuffed_ = [list(ws) for ws, terms in terms_of.items() if keywords & terms.keys() and _holds(ws, keywords) for _ in range(times[ws])]
+    return sum(map(len, stuffed_)) / total, stuffed_
+
+
+def _holds(ws: tuple[str, ...], keywords: set) -> bool:
+    """Whether words of spaced scripts are keywords, or a good part of the characters of unspaced ones stand in keywords of at least three."""
+    if not any(UNSPACED.match(w) for w in ws):
+        return True
+    filled = run = 0
+    for pair in [*zip(ws, ws[1:]), None]:
+        if pair in keywords:
+            run += 1
+        else:
+            filled += run + 1 if run >= 2 else 0
+            run = 0
+    return filled >= FILLED * len(ws)
+
+
 def _key(hashes: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = hashes * np.uint64(0x9E3779B97F4A7C15)
@@ -153,11 +239,11 @@ def counts(documents: DataFrame) -> DataFrame:
     return documents.where("text is not null").select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-SUSPECT = "doc_id bigint, odd_share double, link_share double, repeated double, pairs bigint, keys array<bigint>, weights array<bigint>"
+SUSPECT = "doc_id bigint, odd_share double, link_share double, crammed boolean, repeated double, pairs bigint, keys array<bigint>, weights array<bigint>"
 
 
 def suspects(documents: DataFrame) -> DataFrame:
-    """Pages of which more than half can't be sentences, with the keys of their neighbouring words: mean PMI is sum(weight * ln n(key)) / pairs."""
+    """Pages of which more than half can't be sentences or is crammed with keywords, with the keys of their neighbouring words: mean PMI is sum(weight * ln n(key)) / pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +252,18 @@ def suspects(documents: DataFrame) -> DataFrame:
             for i, t in zip(ids, texts):
                 good, words, links, odd = units(t)
                 total = good + words + links
-                if not total or words + links <= MIN_SHARE * total:
+                if not total:
+                    continue
+                share, is_crammed = (words + links) / total, False
+                each = [words_of(x) for x in odd] if share > MIN_SHARE else []
+                if links <= MIN_SHARE * total:
+                    most, crams = crammed(t)
+                    if most > MIN_SHARE:
+                        is_crammed = True
+                        if share <= MIN_SHARE:
+                            share, each = most, crams
+                if share <= MIN_SHARE:
                     continue
-                each = [words_of(x) for x in odd]
                 flat = [w for ws in each for w in ws]
                 h = _hash(flat) if flat else np.zeros(0, np.uint64)
                 ends = np.cumsum([len(ws) for ws in each])
@@ -180,31 +275,31 @@ def suspects(documents: DataFrame) -> DataFrame:
                 weights = np.concatenate([times, np.full(2 * len(first), -1), [len(first)]])
                 keys, back = np.unique(keys, return_inverse=True)
                 weights = np.bincount(back, weights).astype(np.int64)
-                rows.append((i, (words + links) / total, links / total, float(times[times >= 3].sum() / max(1, len(first))), len(first), keys.tolist(), weights.tolist()))
+                rows.append((i, share, links / total, is_crammed, float(times[times >= 3].sum() / max(1, len(first))), len(first), keys.tolist(), weights.tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(_SUSPECT, r)) for r in rows], _SCHEMA)
 
     return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, SUSPECT)
 
 
 _SUSPECT = [x.split()[0] for x in SUSPECT.split(", ")]
-_SCHEMA = pa.schema(list(zip(_SUSPECT, [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])))
+_SCHEMA = pa.schema(list(zip(_SUSPECT, [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])))
 
 
 def stuffed(documents: DataFrame) -> DataFrame:
     """(doc_id, odd_share, link_share, repeated, mean_pmi, reason) of pages made of keywords, links or tags.
 
-    reason: `links` (links with at most captions, or tags, are most of the page), `repeated` (stuffed with the same collocations) or `salad` (incoherent words).
+    reason: `links` (links with at most captions, or tags, are most of the page), `repeated` (stuffed with the same collocations, or most of it in sentences crammed with keywords) or `salad` (incoherent words).
     Null ids and null or empty texts give no row; a repeated row of a document counts again in the corpus counts and gives one row; other columns are ignored.
     """
     s = suspects(documents).dropDuplicates(["doc_id"])
-    long = s.select("doc_id", "odd_share", "link_share", "repeated", "pairs", F.explode(F.arrays_zip("keys", "weights")).alias("x"))
+    long = s.select("doc_id", "odd_share", "link_share", "crammed", "repeated", "pairs", F.explode(F.arrays_zip("keys", "weights")).alias("x"))
     scored = (
-        long.select("doc_id", "odd_share", "link_share", "repeated", "pairs", F.col("x.keys").alias("key"), F.col("x.weights").alias("weight"))
+        long.select("doc_id", "odd_share", "link_share", "crammed", "repeated", "pairs", F.col("x.keys").alias("key"), F.col("x.weights").alias("weight"))
         .join(counts(documents), "key")
-        .groupBy("doc_id", "odd_share", "link_share", "repeated", "pairs")
+        .groupBy("doc_id", "odd_share", "link_share", "crammed", "repeated", "pairs")
         .agg((F.sum(F.col("weight") * F.log("n")) / F.greatest("pairs", F.lit(1))).alias("mean_pmi"))
     )
-    reason = F.when(F.col("link_share") > MIN_SHARE, "links").when(F.col("repeated") >= REPEATED, "repeated").when(F.col("mean_pmi") < SALAD_PMI, "salad")
+    reason = F.when(F.col("link_share") > MIN_SHARE, "links").when(F.col("crammed") | (F.col("repeated") >= REPEATED), "repeated").when(F.col("mean_pmi") < SALAD_PMI, "salad")
     return scored.select("doc_id", "odd_share", "link_share", "repeated", F.when(F.col("pairs") > 0, F.col("mean_pmi")).alias("mean_pmi"), reason.alias("reason")).where("reason is not null")
 
 

@@ -182,6 +182,25 @@ def test_stuffed(spark):
     assert stuffing.stuffed(d.limit(0)).count() == 0
 
 
+def test_stuffed_whatever_the_lines_look_like(spark):
+    extra = ["ราคาถูก", "ขาย", "ซื้อ", "ออนไลน์", "ร้าน", "ลดราคา", "ดีที่สุด", "ส่งฟรี"] * 3
+    dull = "cheap red buy sale order online discount top".split()
+    rows = [
+        (1, "cheap shoes! buy shoes! order shoes now. " * 100),
+        (2, " ".join("พรมขนสัตว์" + x if i % 2 else x + "พรมขนสัตว์" for i, x in enumerate(extra))),
+        (3, "\n".join(f"- {x} shoes" for x in dull)),
+        (4, "\n\n".join(f"# Shop\ncheap shoes sale\nbuy shoes {x}\nshoes online {x}" for x in dull[:4])),
+        (5, HONEST + "\n\n" + "Our oak stool shop sells oak stool with best oak stool deals. Looking for oak stool? Oak stool price, oak stool sale! Choose oak stool, because oak stool is top. " * 4),
+        (6, "羊毛地毯批发，羊毛地毯便宜，羊毛地毯就选这里。找羊毛地毯？羊毛地毯价格！羊毛地毯包邮，羊毛地毯最好，羊毛地毯就选这里。" * 4),
+        (20, "My dog is tall. " * 40),
+        (21, "The dog barks. The dog sleeps. The dog eats. " * 5),
+        (22, "\n".join(f"- {x} for the mill" for x in ("wheel", "stone", "floor", "roof", "door", "rope", "cart"))),
+        (23, (HONEST + "\n\n") * 5),
+    ]
+    got = {r["doc_id"]: r["reason"] for r in stuffed_rows(spark.createDataFrame(rows, "doc_id bigint, text string"))}
+    assert got == {i: "repeated" for i in range(1, 7)}
+
+
 def stuffed_rows(d):
     return stuffing.stuffed(d).collect()
 
