@@ -7,10 +7,15 @@ in pairs of a word that ends in a mark with the word behind it. From these, by l
   sentence with a capital;
 * abbreviations: words that carry a mark more often than chance and are followed by something other than a starter more often than
   words with a mark usually are. Short words need less evidence than long ones. Names with a mark inside
-  ("Yahoo! Ltd.") and ordinal numbers ("9. Mai") are found the same way, as words whose mark doesn't end a sentence.
+  ("Yahoo! Ltd.") and ordinal numbers ("9. Mai") are found the same way, as words whose mark doesn't end a sentence;
+* collocations: pairs of a word that ends in a mark and a word that isn't a starter, which stands behind this word more often than behind the marks of all
+  others. They decide where the word alone doesn't, as "9. Mai" where most numbers end sentences. Behind other words than numbers the second word
+  must also be seen within sentences, since fixed notices repeat the same two sentences;
+* openers: words that stand behind the marks of ordinary words and hardly ever within a sentence. Behind a number they begin a sentence, even
+  where most numbers go on, unless the pair is a collocation.
 
 Each mark is then classified by these statistics; quotations, brackets and unspaced scripts have rules of their own.
-Counts are summed in each batch before they are shuffled by (language, words); only the two learned lists are broadcast,
+Counts are summed in each batch before they are shuffled by (language, words); only the four learned lists are broadcast,
 at most MAX_WORDS of each.
 """
 
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from inkloom.llm.common import language, table
 
 MAX_WORDS = 100_000
+LEAST_PAIRS = 5  # times that a collocation must occur
 G2 = 7.88  # 99.5 % point of chi square with one degree of freedom
 _MARKED = re.compile(r"([^\s.!?\"'“”‘’«»„()\[\]]+(?:\.[^\s.!?\"'“”‘’«»„()\[\]]+)*)([.!?]+)(?=\s|$)")
 _WORD = re.compile(r"[^\W\d_]+(?:[ऀ-ॿ]|['’-](?=\w))*[^\W\d_]*")
@@ -79,8 +85,8 @@ def g2(k: Column, n: Column, p: Column) -> Column:
 
 
 class Model:
-    def __init__(self, starters: set[tuple[str, str]], abbreviations: set[tuple[str, str]], silent: set[str] = frozenset()):
-        self.starters, self.abbreviations, self.silent = starters, abbreviations, silent
+    def __init__(self, starters: set[tuple[str, str]], abbreviations: set[tuple[str, str]], silent: set[str] = frozenset(), collocations: set[tuple[str, str, str]] = frozenset(), openers: set[tuple[str, str]] = frozenset()):
+        self.starters, self.abbreviations, self.silent, self.collocations, self.openers = starters, abbreviations, silent, collocations, openers
 
 
 def counts(blocks: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def counts(blocks: DataFrame) -> DataFrame:
 
 
 def learn(blocks: DataFrame) -> Model:
-    """Sentence starters and abbreviations of every language of the corpus."""
+    """Sentence starters, abbreviations and collocations of every language of the corpus."""
     spark = blocks.sparkSession
     c = counts(blocks).persist()
     try:
@@ -133,9 +139,27 @@ def learn(blocks: DataFrame) -> Model:
             .where((F.col("marked") / F.col("any_total") > F.col("marks") / F.col("words")) & (g2(F.col("marked"), F.col("any_total"), F.col("marks") / F.col("words")) >= G2))
         )
         found = {tuple(r) for r in abbreviations.orderBy(F.desc("marked"), "lang", "word").select("lang", "word").limit(MAX_WORDS).collect()}
+        heard = forms.withColumn("after", F.col("word")).join(behind, ["lang", "word"], "left").select("lang", "after", "first", "total", within.alias("within"))
+        behind_all = behind.withColumnRenamed("word", "after")
+        ends_of = types.join(behind.groupBy("lang").agg(F.sum("behind").alias("all_followed")), "lang").select("lang", "word", "followed", "all_followed")
+        others = F.greatest(F.col("behind") - F.col("n"), F.lit(0.5)) / F.greatest(F.col("all_followed") - F.col("followed"), F.lit(1))
+        collocations = (
+            pairs.where((F.col("n") >= LEAST_PAIRS) & F.col("starts").isNull() & ~F.col("after").isin("", "0") & ~F.col("word").rlike("[!?]$"))
+            .join(ends_of, ["lang", "word"])
+            .join(behind_all, ["lang", "after"])
+            .join(heard, ["lang", "after"])
+            .where((F.col("first") <= 0.05 * F.col("total")) & ((F.col("word") == "0") | (F.col("within") >= 0.1 * F.col("total"))))
+            .where((F.col("n") / F.col("followed") > others) & (g2(F.col("n"), F.col("followed"), others) >= G2))
+        )
+        # words behind the marks of ordinary words, hardly ever within a sentence: behind a number they begin a sentence too
+        shortened = spark.createDataFrame(sorted(found) or [("", "")], "lang string, word string")
+        ordinary = c.where("what = 'p' and after not in ('', '0') and word not in ('0', '@') and word not like '%.%'").join(F.broadcast(shortened), ["lang", "word"], "left_anti").groupBy("lang", "after").agg(F.sum("n").alias("ordinary"))
+        openers = ordinary.join(heard, ["lang", "after"]).where((F.col("ordinary") >= LEAST_PAIRS) & (F.col("within") <= 0.1 * F.col("total")) & (F.col("after") != F.lower("after")))
+        opening = {tuple(r) for r in openers.orderBy(F.desc("ordinary"), "lang", "after").select("lang", "after").limit(MAX_WORDS).collect()}
+        together = {tuple(r) for r in collocations.orderBy(F.desc("n"), "lang", "word", "after").select("lang", "word", "after").limit(MAX_WORDS).collect()}
     finally:
         c.unpersist()
-    return Model(set(top), found, silent)
+    return Model(set(top), found, silent, together, opening)
 
 
 def ends(text: str, lang: str, model: Model) -> list[int]:
@@ -208,7 +232,9 @@ def ends(text: str, lang: str, model: Model) -> list[int]:
                     continue  # the number of a list entry
                 if marks == "." and lang in model.silent:
                     continue
-                doubtful = (lang, kind) in model.abbreviations or len(kind) == 1 and kind != "0" or marks == "." and "." in token and len(token) <= 6 and not token[0].isdigit()
+                together = (lang, kind, word) in model.collocations
+                opens = kind == "0" and not together and (lang, word) in model.openers
+                doubtful = together or (lang, kind) in model.abbreviations and not opens or len(kind) == 1 and kind != "0" or marks == "." and "." in token and len(token) <= 6 and not token[0].isdigit()
                 if doubtful and not starts and not (opening and not nxt.isdigit() and nxt in "“«„\"¿¡"):
                     continue
         if marks[0] in ".…" and set(marks) <= {".", "…"} and len(marks) > 1 and word[:1].islower():

@@ -272,6 +272,20 @@ def test_learning(spark):
     assert sentences.sentences(empty, sentences.learn(empty)).count() == 0
 
 
+def test_numbers_are_judged_by_the_word_behind_them(spark):
+    def learned(dates, ends):
+        rows = [f"Der Rat kam am {i % 28 + 1}. Mai in die Stadt und blieb nicht im Haus." for i in range(dates)]
+        rows += [f"Die Mühle wurde verkauft im Jahr {1900 + i}. {w} kam der Rat mit dem Plan." for i, w in zip(range(ends), ["Gestern", "Heute", "Danach", "Dort"] * ends)]
+        rows += [f"Der Rat ist nicht im {x}. {w} kam er mit dem Plan." for w in ("Gestern", "Heute", "Danach", "Dort", "Der", "Der", "Die", "Die") for x in ("Haus", "Dorf", "Tal", "Wald", "Saal", "Hof", "Turm", "Bad")]
+        return sentences.learn(spark.createDataFrame(list(enumerate(rows)), "block_id bigint, text string"))
+
+    date, end = "Der Rat kam am 9. Mai in die Stadt.", ["Sie wurde verkauft im Jahr 2019.", "Gestern kam der Rat."]
+    for dates, ends in ((30, 60), (200, 20)):  # numbers mostly end a sentence, mostly go on
+        m = learned(dates, ends)
+        assert [date[a:b] for a, b in sentences.split(date, m, "de")] == [date]
+        assert [" ".join(end)[a:b] for a, b in sentences.split(" ".join(end), m, "de")] == end
+
+
 def test_language():
     assert [language(t) for t in ("The mill of the town", "Die Mühle der Stadt", "Le moulin de la ville est là", "门关了", "門は閉まった", "ประโยค", "वह आया", "قف", "Дом Wexkel", "", "123")] == ["en", "de", "fr", "zh", "ja", "th", "hi", "ar", "ru", "", ""]
 
