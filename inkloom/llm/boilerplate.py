@@ -6,8 +6,8 @@ separates main body from boilerplate. Nodes whose own costs outweigh all their e
 side of every minimum cut); augmenting paths run on what is left of each page.
 
 The classifier needs no labelled pages: files that aren't web pages hold no boilerplate, so wordings that recur in pages
-but not in other files are boilerplate. It is fitted on a sample of at most SAMPLE_FILES files, and holds
-at most MAX_FEATURES features. Every page of the corpus is then labelled on its own; blocks are shuffled once, by file.
+but not in other files are boilerplate. Features are counted over all files. Wordings whose odds can't
+reach BIAS are left out, as costs below BIAS all act alike; so the model holds at most MAX_FEATURES words and MAX_FEATURES wordings. Every page of the corpus is then labelled on its own; blocks are shuffled once, by file.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import UNSPACED, files_with_blocks, table, unnest
+from inkloom.llm.mixing import durable
 
-SAMPLE_FILES = 30_000
-MAX_FEATURES = 50_000
+MAX_FEATURES = 500_000  # of either kind; bounds the memory of the driver and the tasks
 BIAS = 1.0  # log-odds that subject words gain from teasers to other pages
 LEAST_FILES = 4  # files that a feature must occur in
 
@@ -185,11 +185,9 @@ def label(model: Model, page: list[Block], later: bool = False) -> list[bool]:
     return minimum_cut(unary, edges)
 
 
-def fit(files: DataFrame, blocks: DataFrame, sample_files: int = SAMPLE_FILES) -> Model:
-    """The classifier, from at most about ``sample_files`` files that are chosen by a hash of their id."""
-    there = max(1, files.count())
-    keep = F.pmod(F.xxhash64("file_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_files / there))
-    pages = files_with_blocks(files.where(keep), blocks.where(keep))
+def fit(files: DataFrame, blocks: DataFrame) -> Model:
+    """The classifier, from all files; the counts are summed within each batch before they are shuffled by feature."""
+    pages = files_with_blocks(files, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,17 +217,21 @@ def fit(files: DataFrame, blocks: DataFrame, sample_files: int = SAMPLE_FILES) -
             keys = list(html.keys() | other.keys())
             yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (html, other, follow, after))], ["feature", "html", "other", "follow", "after"])
 
-    rows = (
+    counted = durable(
         pages.mapInArrow(run, "feature string, html bigint, other bigint, follow bigint, after bigint")
         .groupBy("feature")
         .agg(*(F.sum(c).alias(c) for c in ("html", "other", "follow", "after")))
-        .where(F.col("html") + F.col("other") >= LEAST_FILES)
-        .orderBy(F.desc(F.col("html") + F.col("other")), "feature")
-        .limit(MAX_FEATURES + 1)
-        .collect()
+        .where(F.col("html") + F.col("other") >= LEAST_FILES),
+        "features",
     )
-    total = next((r for r in rows if r["feature"] == ""), None)
-    return Model([tuple(r) for r in rows if r["feature"]], total["html"] if total else 0, total["other"] if total else 0)
+    total = counted.where("feature = ''").first()
+    html, other = (total["html"], total["other"]) if total else (0, 0)
+    odds = F.log((F.col("html") + 2) / F.lit(html + 2)) - F.log((F.col("other") + 2) / F.lit(other + 2))
+    wording = F.col("feature").startswith("=")
+    first = [F.desc(F.col("html") + F.col("other")), F.col("feature")]
+    kept = counted.where("feature <> ''")
+    rows = kept.where(wording & (odds >= BIAS - 1e-9)).orderBy(*first).limit(MAX_FEATURES).collect() + kept.where(~wording).orderBy(*first).limit(MAX_FEATURES).collect()
+    return Model([tuple(r) for r in rows], html, other)
 
 
 def boilerplate(files: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -239,7 +241,7 @@ def boilerplate(files: DataFrame, blocks: DataFrame) -> DataFrame:
     end; null kinds and levels are taken as unknown. Without files that aren't pages the classifier is blind and only structure decides. A page is labelled in
     segments of common.SEGMENT blocks, nearly always one; its heading is sought in the first. Other columns are ignored.
     """
-    model = blocks.sparkSession.sparkContext.broadcast(fit(files, blocks))  # at most MAX_FEATURES
+    model = blocks.sparkSession.sparkContext.broadcast(fit(files, blocks))  # at most twice MAX_FEATURES
     pages = files_with_blocks(files.where(F.lower(F.trim("file_format")) == "html"), blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """The training-data operators on small inputs: what they find, and nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import math
 import random
 
 import pytest
@@ -319,6 +320,17 @@ def test_boilerplate(spark):
     assert boilerplate.boilerplate(f, odd).count() == 3
 
 
+def test_features_are_counted_over_all_files(spark):
+    n = 60_000
+    fs = spark.range(n).select(F.col("id").alias("file_id"), F.when(F.col("id") % 2 == 0, "html").otherwise("md").alias("file_format"))
+    # each of ten wordings stands in four pages
+    text = F.when((F.col("id") < 80) & (F.col("id") % 2 == 0), F.concat(F.lit("Corner "), F.element_at(F.array(*(F.lit(f"{c}x") for c in "abcdefghij")), (F.col("id") / 8).cast("int") + 1))).otherwise("plain text")
+    bs = spark.range(n).select(F.col("id").alias("file_id"), F.col("id").alias("block_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("paragraph").alias("kind"), F.lit(0).alias("head_level"), F.lit(None).cast("int").alias("word_count"))
+    m = boilerplate.fit(fs, bs)
+    assert {f for f in m.odds if f.startswith("=corner")} == {f"=corner {c}x" for c in "abcdefghij"}
+    assert m.odds["=corner ax"] == pytest.approx(math.log(6 / 30_002) - math.log(2 / 30_002))
+
+
 def test_long_files_are_cut_in_segments(spark, monkeypatch):
     from inkloom.llm import common
 
