@@ -30,6 +30,7 @@ MAX_PATTERN_BYTES = 16_000_000
 WINDOW_WORDS, WINDOW_CHARS = 4, 6  # words of a pattern; characters of one in unspaced scripts
 M, B = 14, 6  # bytes of the scanned window, and of a block
 OWN = 0.2  # share of a passage that must be found in wording which at most two different passages have
+WHOLE = 0.8  # share of a passage from which on its wording need not be its own: stock sentences alone don't make up a whole passage in its order
 TABLE = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = re.compile(r"([぀-ヿ一-鿿฀-๿])")
@@ -60,7 +61,8 @@ def windows(words: list[bytes]) -> Iterator[tuple[int, int]]:
 class Patterns:
     """The tables of the search: block shifts, buckets by window hash, the patterns' bytes, and the passage places of each pattern."""
 
-    def __init__(self, passages: Iterable[tuple[int, str]]):
+    def __init__(self, passages: Iterable[tuple[int, str]], stock: frozenset[bytes] | None = None):
+        """stock: patterns that more than two different passages have, of all blocks; None: as counted in these passages."""
         places: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         self.items, self.words, self.items_text = [], [], []
         for item_id, passage in passages:
@@ -96,7 +98,7 @@ class Patterns:
         self.place_first = np.searchsorted(at[:, 0], np.arange(len(self.patterns) + 1))
         self.place_item, self.place_word, self.place_len = at[:, 1], at[:, 2], at[:, 3]
         # wording that many passages share is stock wording, which unrelated documents have too
-        self.place_own = np.repeat([len({self.items_text[x[0]] for x in places[p]}) <= 2 for p in self.patterns], np.diff(self.place_first)).astype(bool)
+        self.place_own = np.repeat([len({self.items_text[x[0]] for x in places[p]}) <= 2 if stock is None else p not in stock for p in self.patterns], np.diff(self.place_first)).astype(bool)
 
     def occurrences(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start in buf, pattern) of every occurrence of every pattern."""
@@ -214,6 +216,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFra
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
 
+    # which wording is stock must not depend on how the items are split
+    stock = spark.sparkContext.broadcast(stock_of(items) if blocks > 1 else None)
+
     def scan(k: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # bounded by MAX_PATTERN_BYTES
         sent = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows))
@@ -221,7 +226,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFra
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pats = None
             for batch in batches:
-                pats = pats or Patterns(sent.value)
+                pats = pats or Patterns(sent.value, stock.value)
                 ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
                 for a, b in parts(texts):
                     doc, item, share = search(pats, texts[a:b], least)
@@ -232,6 +237,23 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFra
     return reduce(DataFrame.unionByName, [scan(k) for k in range(blocks)])
 
 
+def stock_of(items: DataFrame) -> frozenset[bytes]:
+    """Patterns that more than two different passages have, over all items; only these are sent, and there are fewer of them than a third of all patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pattern, passage = [], []
+            for text in batch.column("passage").to_pylist():
+                ws = normalised(text).split()
+                own = {b" " + b" ".join(ws[i : i + k]) + b" " for i, k in windows(ws)}
+                pattern += own
+                passage += [b" ".join(ws)] * len(own)
+            yield pa.record_batch([pa.array(pattern, pa.binary()), pa.array(passage, pa.binary())], ["pattern", "passage"])
+
+    long = items.select("passage").distinct().mapInArrow(run, "pattern binary, passage binary").select("pattern", F.xxhash64("passage").alias("passage"))
+    return frozenset(bytes(r[0]) for r in long.groupBy("pattern").agg(F.countDistinct("passage").alias("n")).where("n > 2").select("pattern").collect())
+
+
 def search(pats: Patterns, texts: list[str], least: float) -> tuple[list[int], list[int], list[float]]:
     norm = [normalised(t) for t in texts]
     size = np.array([len(x) + 1 for x in norm], np.int64)
@@ -265,7 +287,7 @@ def search(pats: Patterns, texts: list[str], least: float) -> tuple[list[int], l
         d, i = divmod(p, len(pats.items))
         run = chain(hits)
         share = covered(run) / pats.words[i]
-        if share >= least and covered([h for h in run if h in own[p]]) >= OWN * pats.words[i]:
+        if share >= least and (share >= max(least, WHOLE) or covered([h for h in run if h in own[p]]) >= OWN * pats.words[i]):
             out[0].append(d)
             out[1].append(pats.items[i])
             out[2].append(min(1.0, share))

@@ -60,6 +60,17 @@ def test_leaks(spark):
     assert leaks.leaks(_docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_versions_of_one_passage_are_found_in_any_number_of_blocks(spark, monkeypatch):
+    stem = "The road between Lindor and Ithbor was closed for {} weeks after a clay jar fell on it, and nobody in the old town paid the crowns that were owed to the council"
+    items = spark.createDataFrame([(i, stem.format(30 + i)) for i in range(6)], "item_id bigint, passage string")
+    half = " ".join(stem.split()[14:])  # only wording that all versions share
+    docs = _docs(spark, [(i, "Before. " + stem.format(30 + i) + " After.") for i in range(6)] + [(9, half)])
+    one = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()}
+    assert {(i, i) for i in range(6)} <= one and not any(d == 9 for d, _ in one)
+    monkeypatch.setattr(leaks, "MAX_PATTERN_BYTES", 2000)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()} == one
+
+
 def test_search_against_brute_force():
     rnd = random.Random(4)
     words = [f"w{i:02d}x" for i in range(12)]
