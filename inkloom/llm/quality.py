@@ -26,6 +26,7 @@ from inkloom.llm.mixing import durable
 
 STATS = ("size", "word_length", "longest", "symbols", "digits", "vowels", "ended", "common", "cells", "kind_odds")
 CUTOFF = 29.59  # 99.9 % point of chi square with ten degrees of freedom
+WIDE = 60.0  # distance up to which a block that ends as a sentence is prose; on the largest test tables such blocks stand under 45 or over 90
 _FLOOR = (0.3, 0.4, 0.15, 0.02, 0.04, 0.05, 0.15, 0.08, 0.1, 0.3)  # least standard deviation of each statistic: a constant one must not decide alone
 _LAST_END = re.compile(r"(?s).*(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？।؟۔]+[”’」』）»]*)")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -196,7 +197,7 @@ def natures(blocks: DataFrame) -> DataFrame:
     scored = scored.withColumn("hexed", (F.col("digits") > 0.3) & (F.col("word_length") >= 7.5) & (F.col("cells") == 0) & (strange > 4))
     nature = (
         F.when(F.col("kind") == "heading", "heading")
-        .when((F.col("ended") >= 0.5) & (F.col("words") >= 2) & (F.col("symbols") < 0.06) & (F.col("cells") == 0) & ~((F.col("vowels") < 0.2) & (c["vowels"] > 4)), "prose")
+        .when((F.col("ended") >= 0.5) & (F.col("words") >= 2) & (F.col("symbols") < 0.06) & (F.col("cells") == 0) & ~((F.col("vowels") < 0.2) & (c["vowels"] > 4)) & (F.col("distance") <= WIDE), "prose")
         .when(F.col("distance") <= CUTOFF, "prose")
         .when(garbled & (F.col("kind") != "table") | garbled & (F.col("chars") >= 25), "junk")
         .when((F.col("cells") > 0) | (F.col("kind") == "table"), "table")

@@ -385,6 +385,15 @@ def test_natures(spark):
     assert sum(one["contributions"]) == pytest.approx(one["distance"])
 
 
+def test_junk_that_ends_as_a_sentence(spark):
+    rows = [(i, p, PARA, "paragraph", 0) for i in range(36) for p in range(3)]
+    rows += [(40, p, "." * (90 + p) + " " + "." * 70, "paragraph", 0) for p in range(3)]
+    rows += [(41, p, f"{p}QmFzZTY0aXNhZW5jb2RpbmdvZmJ5dGVz{p}aGVsbG93b3JsZA YWFhYmJiY2NjZGRkZWVlZmZmZ2dnaGhoaWlp{p}oaWlpampqa2trbGxs.", "paragraph", 0) for p in range(3)]
+    f = files(spark, [(i, "md", 1) for i in [*range(36), 40, 41]])
+    got = {r["file_id"]: r["nature"] for r in quality.file_natures(f, blocks(spark, rows)).collect() if r["nature"] != "prose"}
+    assert got == {40: "junk", 41: "junk"}
+
+
 def test_grades(spark):
     hard = "Institutional reconfiguration of methodological responsibilities necessitates epistemological standardization of the heterogeneous infrastructures within contemporary organizational environments. " * 6
     easy = "The cat sat on the mat. It saw a red bird in the old tree. The bird sang to it. " * 4
