@@ -182,6 +182,20 @@ def run_stats(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("doc_id").agg(F.count_if(s == "ok").alias("calls"), F.coalesce(F.sum(F.when(s == "ok", F.col("tokens"))), F.lit(0)).alias("input_tokens"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "context_exceeded").alias("context_exceeded"), F.count_if(s == "error").alias("errors"), F.max(F.when(s == "error", F.col("detail"))).alias("error_detail"), F.max(F.when(s == "context_exceeded", F.col("tokens"))).alias("context_tokens"))
 
 
+def chooser(scorer: Scorer, least: float = 0.5) -> Callable[[int, str], tuple[str, float]]:
+    """Asks a scorer for the type of a text, one question per type; fails where it can't be asked or no type reaches ``least``, or several are as likely."""
+    asked = {t: f"Is this document of the type '{t.replace('_', ' ')}'?" for t in DOC_TYPES if t != "other"}
+
+    def choose(words: int, text: str) -> tuple[str, float]:
+        status, got, detail = attempt(scorer, text, asked)
+        best = sorted(((p, t) for t, p in got.items() if t in asked), reverse=True)
+        if status != "ok" or not best or best[0][0] < least or len(best) > 1 and best[1][0] == best[0][0]:
+            raise ValueError(detail or "no type")
+        return best[0][1], float(best[0][0])
+
+    return choose
+
+
 def classify(docs_text: DataFrame, choose: Callable[[int, str], tuple[str, float]] | None = None) -> DataFrame:
     """(doc_id, choice, confidence) of documents with words, from (doc_id, words, text); a choice that fails is left out."""
     choose = choose or (lambda n, text: (DOC_TYPES[zlib.crc32(text.encode()) % len(DOC_TYPES)], zlib.crc32(text.encode()) % 100 / 100))

@@ -53,15 +53,17 @@ def lint(corpus: Corpus, settings: Settings = Settings(), scorer: scoring.Scorer
     rules = rules_of(settings)
     c = corpus.persist()
     classified = None
+    if scorer is None and settings.model not in (None, "hash"):  # the stand-in doesn't choose types unless it is given
+        scorer = scoring.resolve(settings.model)
     if settings.semantic and settings.classify and scorer is not None:
         text = c.prose.groupBy("doc_id").agg(F.sum("words").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-        classified = scoring.classify(text.join(c.docs.where("doc_type is null"), "doc_id", "left_semi"))
+        classified = scoring.classify(text.join(c.docs.where("doc_type is null"), "doc_id", "left_semi"), None if scorer is scoring.hash_scorer else scoring.chooser(scorer))
     docs = resolve_types(c.docs, settings, classified)
     c.docs = docs
     found = static_findings(c, rules, settings)
     decisions = None
     if any(r.kind == "semantic" for r in rules):
         asked = units.plan(c, rules, settings.min_words)
-        decisions = scoring.decide(asked, rules, scorer or scoring.resolve(settings.model), settings.concurrency)
+        decisions = scoring.decide(asked, rules, scorer or scoring.hash_scorer, settings.concurrency)
         found = found.unionByName(scoring.findings(decisions, c.blocks, rules, settings).select(*FINDING))
     return Lint(docs, gated(found, docs, rules), decisions, errors, rules)

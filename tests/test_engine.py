@@ -222,3 +222,14 @@ def test_stream(spark, tmp_path):
     docs = spark.readStream.schema("doc_id bigint, format string, content binary").parquet(str(tmp_path / "in"))
     lint_stream(docs, lambda f, i: got.extend(r["code"] for r in f.collect()), str(tmp_path / "ck")).awaitTermination(120)
     assert got == ["RIF002"]
+
+
+def _reports_only(state, questions):
+    return {c: 0.9 if c == "report" and "mill" in state else 0.1 for c in questions}
+
+
+def test_the_model_says_what_type_a_document_has(spark, monkeypatch):
+    monkeypatch.setitem(scoring.SCORERS, "fixed", lambda name: _reports_only)
+    for scorer, model in ((_reports_only, None), (None, "fixed:x")):
+        docs = lint(make(spark, "The old mill stands by the river.", "The cat sat on the mat."), Settings(select=("JEV001",), model=model), scorer=scorer).docs.collect()
+        assert sorted((r["doc_type_source"], r["doc_type"]) for r in docs) == [("classified", "report"), ("unresolved", None)]
