@@ -123,3 +123,27 @@ def words_of(text: str) -> list[str]:
     if UNSPACED.search(text):
         text = _SPREAD.sub(r" \1 ", text)
     return re.findall(r"[^\W_]+[ऀ-ॿัิ-ฺ็-๎]*", text)
+
+
+LANGUAGES = ("", *FUNCTION_WORDS, *(lang for lang, _, _ in _RANGES))
+
+
+def language_votes(vocabulary: list[str], code: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Number in LANGUAGES of the language of each document, by the scripts and function words of its words (numbers in ``vocabulary``); English where neither tells."""
+    first = np.array([ord(w[0]) for w in vocabulary], np.int64)
+    kind = np.array([LANGUAGES.index(_LATIN[w]) if w in _LATIN else 0 for w in vocabulary], np.int64)
+    size = np.array([len(w) for w in vocabulary], np.int64)
+    letters = np.where((first >= 97) & (first <= 122), size, 0)
+    for lang, a, b in _RANGES:
+        kind[(first >= a) & (first <= b)] = LANGUAGES.index(lang)
+    script = kind >= len(FUNCTION_WORDS) + 1
+    votes = np.bincount(doc * len(LANGUAGES) + kind[code], np.where(script, size, 1)[code], docs * len(LANGUAGES)).reshape(docs, -1).astype(np.int64)
+    votes[:, 0] = 0
+    cut = len(FUNCTION_WORDS) + 1
+    scripts, total = votes[:, cut:], votes[:, cut:].sum(1)
+    foreign = (total > 0) & (total >= 0.3 * np.bincount(doc, letters[code], docs))
+    top = cut + scripts.argmax(1)
+    ja, zh = LANGUAGES.index("ja"), LANGUAGES.index("zh")
+    top = np.where((top == zh) & (votes[:, ja] * 20 >= votes[:, zh]), ja, top)
+    latin = np.where(votes[:, :cut].any(1), votes[:, :cut].argmax(1), LANGUAGES.index("en"))
+    return np.where(foreign, top, latin).astype(np.int8)

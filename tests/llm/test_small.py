@@ -213,25 +213,61 @@ def test_stuffed_whatever_the_lines_look_like(spark):
     assert got == {i: "repeated" for i in range(1, 7)}
 
 
+#: Honest documents, so that the corpus knows which words are common.
+AROUND = [
+    f"The {a} of the {b} is in the yard for a week, and it was not at the gate when we came to the {c}. You can ask how the {c} got to the {a} on a day in {m}."
+    for a, b, c, m in zip("mill wheel rope cart barn lamp boat well roof path pump vat loom kiln".split(), "farm town port dam hill lake ford quay abbey chapel school inn forge lock".split(), "clerk baker smith miller nurse tailor guard pilot mason monk judge cook scribe fisher".split(), "March June July May April August October spring summer autumn winter December January November".split())
+]
+
+
 def stuffed_rows(d):
-    return stuffing.stuffed(d).collect()
+    around = d.sparkSession.createDataFrame(list(enumerate(AROUND, 1000)), "doc_id bigint, text string")
+    return stuffing.stuffed(d.unionByName(around, allowMissingColumns=True)).collect()
 
 
-def test_mean_pmi_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Pump online pump best pump. Looking for pump? Pump guide, pump guide! Choose pump, because pump from the pump store is best. Looking for pump? Pump best, pump online! Our pump shop sells pump with online pump deals.", True),
+        ("Si busca manguera, aquí hay manguera online. Si busca lámpara, aquí hay lámpara barato. Si busca manguera, aquí hay manguera precio. Si busca lámpara, aquí hay lámpara mejor. Si busca manguera, aquí hay manguera barato.", True),
+        ("找花园水管？花园水管最好！找花园水管？花园水管包邮！花园水管价格，花园水管便宜，花园水管就选这里。花园水管批发，花园水管厂家，花园水管就选这里。", True),
+        ("Why the mill stays · Near Me Pump · How Lin fixed the roof · Pump Sale · Notes on the vat · Pump For Sale · Town library", True),
+        ("The pump was mended on Monday. Nobody had looked at the pump for a year, and the clerk said so twice. A new pump costs more than the mill earns in June, but the old one can be kept for a while if it is oiled. The board will decide about it in the autumn.", False),
+        ("The hirer shall return the hose to the grower on Monday. The hose stays the property of Berdor. The hirer shall return the cart to the clerk after the storm. The cart stays the property of Selwick. The hirer shall return the barn to the smith in early March. The barn stays the property of Linmar.", False),
+        ("El taller abre la compuerta durante la noche. El barco anota tres motivos según Norgar. La vecina cuenta las cajas desde el invierno. El informe de mayo muestra un error sin mucho esfuerzo.", False),
+    ],
+)
+def test_stuffing_set_as_sentences(spark, text, found):
+    got = stuffed_rows(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+    assert [r["doc_id"] for r in got] == [1] * found
+
+
+def test_salad_is_judged_in_sentences_too(spark):
+    rng = random.Random(3)
+    plain = [f"{a} {b} {c} {d}" for a, b, c, d in zip(*(iter([f"w{i}" for i in range(400)]),) * 4)]
+    around = [(i, ". ".join(rng.sample(plain, 20)) + ".") for i in range(300)]
+    words = " ".join(plain).split()
+    salad = ". ".join(" ".join(rng.sample(words, 4)) for _ in range(20)) + "."
+    got = stuffing.stuffed(spark.createDataFrame([*around, (999, salad)], "doc_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["reason"]) for r in got] == [(999, "salad")]
+
+
+def test_mean_pmi_of_every_page_against_brute_force(spark, monkeypatch):
     import math
     from collections import Counter
 
-    texts = ["alpha beta gamma alpha beta delta alpha beta gamma alpha beta delta omega psi chi alpha beta", "beta gamma delta. alpha omega"]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    texts = ["alpha beta gamma alpha beta delta alpha beta gamma alpha beta delta omega psi chi alpha beta", "beta gamma delta. alpha omega", "Alpha beta. Gamma delta alpha."]
     one, two = Counter(), Counter()
     for t in texts:
         ws = words_of(t)
         one.update(ws)
         two.update(zip(ws, ws[1:]))
-    ws = words_of(texts[0])
-    want = sum(math.log(two[p] * sum(one.values()) / one[p[0]] / one[p[1]]) for p in zip(ws, ws[1:])) / (len(ws) - 1)
-    row = next(r for r in stuffing.stuffed(d).collect() if r["doc_id"] == 0)
-    assert row["mean_pmi"] == pytest.approx(want)
+    monkeypatch.setattr(stuffing, "CHUNK", 20)  # one text a chunk
+    got = {r["doc_id"]: r for r in stuffing.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(texts):
+        ws = words_of(t)
+        want = sum(math.log(two[p] * sum(one.values()) / one[p[0]] / one[p[1]]) for p in zip(ws, ws[1:])) / (len(ws) - 1)
+        assert got[i]["mean_pmi"] == pytest.approx(want) and got[i]["pairs"] == len(ws) - 1
 
 
 # ---- 3
