@@ -100,12 +100,18 @@ def language(text: str) -> str:
                 top = max(n, key=n.get)
                 return "ja" if top == "zh" and n["ja"] * 20 >= n["zh"] else top
     votes: dict[str, int] = {}
-    for w in _LATIN.keys() & set(_WORDS.findall(text.lower())):
-        lang = _LATIN[w]
+    if text.isascii():
+        seen = _LATIN_ASCII.keys() & set(text.encode().translate(_LETTERS_ONLY).split())
+        found = [_LATIN_ASCII[w] for w in seen]
+    else:
+        found = [_LATIN[w] for w in _LATIN.keys() & set(_WORDS.findall(text.lower()))]
+    for lang in found:
         votes[lang] = votes.get(lang, 0) + 1
     return max(sorted(votes), key=votes.get) if votes else ""
 
 
+_LATIN_ASCII = {w.encode(): lang for w, lang in _LATIN.items() if w.isascii()}
+_LETTERS_ONLY = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
 _ASCII_LETTERS = re.compile(r"[A-Za-z]")
 UNSPACED = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 _SPREAD = re.compile(r"([぀-ヿ一-鿿฀-๿])")

@@ -15,8 +15,9 @@ in pairs of a word that ends in a mark with the word behind it. From these, by l
   where most numbers go on, unless the pair is a collocation.
 
 Each mark is then classified by these statistics; quotations, brackets and unspaced scripts have rules of their own.
-Counts are summed in each batch before they are shuffled by (language, words); only the four learned lists are broadcast,
-at most MAX_WORDS of each.
+Counts are summed in each batch before they are shuffled by (language, words); only the four learned lists are broadcast. An entry must make up
+at least LEAST_SHARE of what is counted for its list in its language (of block starts, of words with a mark), so a list holds at most 1 / LEAST_SHARE
+entries a language, whatever the corpus, and no language takes another's place.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.common import language, table
 
-MAX_WORDS = 100_000
+LEAST_SHARE = 1e-5  # of the block starts, or the words with a mark, of a language
+NEAR = 64  # characters in front of a mark that can belong to its word
 LEAST_PAIRS = 5  # times that a collocation must occur
 G2 = 7.88  # 99.5 % point of chi square with one degree of freedom
 _MARKED = re.compile(r"([^\s.!?\"'“”‘’«»„()\[\]]+(?:\.[^\s.!?\"'“”‘’«»„()\[\]]+)*)([.!?]+)(?=\s|$)")
@@ -43,6 +45,8 @@ _MARK = re.compile(r"[.!?。！？।؟…｡]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _THAI = re.compile(r"[฀-๿]")
 _CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LETTERS_END = re.compile(r"[^\W_]+\Z")
+_TOKEN_END = re.compile(r"[^\s\"'“”‘’«»„()\[\]]+\Z")
 _THAI_SPACE = re.compile(r"\s+")
 
 
@@ -107,7 +111,7 @@ def learn(blocks: DataFrame) -> Model:
         low = F.lower("word")
         forms = c.where("what <> 'p'").groupBy("lang", F.col("word")).agg(F.sum(F.when(F.col("what") == "w", F.col("n")).otherwise(0)).alias("total"), F.sum(F.when(F.col("what") == "s", F.col("n")).otherwise(0)).alias("first"))
         small = forms.groupBy("lang", low.alias("small")).agg(F.sum(F.when(F.col("word") == low, F.col("total")).otherwise(0)).alias("small_total"), F.sum("total").alias("any_total"))
-        base = forms.groupBy("lang").agg((F.sum("first") / F.sum("total")).alias("p"), F.sum("total").alias("words"))
+        base = forms.groupBy("lang").agg((F.sum("first") / F.sum("total")).alias("p"), F.sum("total").alias("words"), F.sum("first").alias("begun"))
         caseless = F.col("lang").isin("ar", "hi")
         behind = c.where("what = 'p' and after <> ''").groupBy("lang", F.col("after").alias("word")).agg(F.sum("n").alias("behind"))
         within = F.col("total") - F.col("first") - F.coalesce("behind", F.lit(0))
@@ -117,15 +121,16 @@ def learn(blocks: DataFrame) -> Model:
             .join(behind, ["lang", "word"], "left")
             .where((F.col("first") / F.col("total") > F.col("p")) & (g2(F.col("first"), F.col("total"), F.col("p")) >= G2))
             .where(caseless | (F.col("word") != low) & (within <= 0.1 * F.col("total")))
+            .where(F.col("first") >= LEAST_SHARE * F.col("begun"))
         )
-        top = [tuple(r) for r in starters.orderBy(F.desc("first"), "lang", "word").select("lang", "word").limit(MAX_WORDS).collect()]
+        top = sorted(tuple(r) for r in starters.select("lang", "word").collect())  # bounded by LEAST_SHARE, like all lists below
         known = spark.createDataFrame(top or [("", "")], "lang string, after string").withColumn("starts", F.lit(1))
         pairs = c.where("what = 'p'").join(F.broadcast(known), ["lang", "after"], "left")
         types = pairs.groupBy("lang", "word").agg(F.sum("n").alias("marked"), F.sum(F.when(F.col("after") != "", F.col("n")).otherwise(0)).alias("followed"), F.sum(F.when((F.col("after") != "") & F.col("starts").isNull(), F.col("n")).otherwise(0)).alias("going_on"))
         stops = F.when(~F.col("word").rlike("[!?]$"), F.col("followed")).otherwise(0)
         rates = types.groupBy("lang").agg((F.sum("going_on") / F.greatest(F.sum("followed"), F.lit(1))).alias("q"), F.sum("marked").alias("marks"), F.sum(stops).alias("stops"))
         # where a point is never followed by a starter, points only abbreviate
-        silent = {r[0] for r in rates.where((F.col("q") >= 0.98) & (F.col("stops") >= 5)).select("lang").limit(MAX_WORDS).collect()}
+        silent = {r[0] for r in rates.where((F.col("q") >= 0.98) & (F.col("stops") >= 5)).select("lang").collect()}
         bare = F.regexp_replace("word", "[!?]$", "")
         abbreviations = (
             types.where("followed >= 3")
@@ -137,10 +142,12 @@ def learn(blocks: DataFrame) -> Model:
             .where((F.col("going_on") / F.col("followed") >= 0.6) & (F.col("going_on") / F.col("followed") > F.col("q")))
             .where(g2(F.col("going_on"), F.col("followed"), F.col("q")) >= G2 * F.greatest(F.lit(1), F.length("word") - 3))
             .where((F.col("marked") / F.col("any_total") > F.col("marks") / F.col("words")) & (g2(F.col("marked"), F.col("any_total"), F.col("marks") / F.col("words")) >= G2))
+            .where(F.col("marked") >= LEAST_SHARE * F.col("marks"))
         )
-        found = {tuple(r) for r in abbreviations.orderBy(F.desc("marked"), "lang", "word").select("lang", "word").limit(MAX_WORDS).collect()}
+        found = {tuple(r) for r in abbreviations.select("lang", "word").collect()}
         heard = forms.withColumn("after", F.col("word")).join(behind, ["lang", "word"], "left").select("lang", "after", "first", "total", within.alias("within"))
         behind_all = behind.withColumnRenamed("word", "after")
+        marks_of = rates.select("lang", "marks")
         ends_of = types.join(behind.groupBy("lang").agg(F.sum("behind").alias("all_followed")), "lang").select("lang", "word", "followed", "all_followed")
         others = F.greatest(F.col("behind") - F.col("n"), F.lit(0.5)) / F.greatest(F.col("all_followed") - F.col("followed"), F.lit(1))
         collocations = (
@@ -150,13 +157,15 @@ def learn(blocks: DataFrame) -> Model:
             .join(heard, ["lang", "after"])
             .where((F.col("first") <= 0.05 * F.col("total")) & ((F.col("word") == "0") | (F.col("within") >= 0.1 * F.col("total"))))
             .where((F.col("n") / F.col("followed") > others) & (g2(F.col("n"), F.col("followed"), others) >= G2))
+            .join(marks_of, "lang")
+            .where(F.col("n") >= LEAST_SHARE * F.col("marks"))
         )
         # words behind the marks of ordinary words, hardly ever within a sentence: behind a number they begin a sentence too
         shortened = spark.createDataFrame(sorted(found) or [("", "")], "lang string, word string")
         ordinary = c.where("what = 'p' and after not in ('', '0') and word not in ('0', '@') and word not like '%.%'").join(F.broadcast(shortened), ["lang", "word"], "left_anti").groupBy("lang", "after").agg(F.sum("n").alias("ordinary"))
-        openers = ordinary.join(heard, ["lang", "after"]).where((F.col("ordinary") >= LEAST_PAIRS) & (F.col("within") <= 0.1 * F.col("total")) & (F.col("after") != F.lower("after")))
-        opening = {tuple(r) for r in openers.orderBy(F.desc("ordinary"), "lang", "after").select("lang", "after").limit(MAX_WORDS).collect()}
-        together = {tuple(r) for r in collocations.orderBy(F.desc("n"), "lang", "word", "after").select("lang", "word", "after").limit(MAX_WORDS).collect()}
+        openers = ordinary.join(heard, ["lang", "after"]).where((F.col("ordinary") >= LEAST_PAIRS) & (F.col("within") <= 0.1 * F.col("total")) & (F.col("after") != F.lower("after"))).join(marks_of, "lang").where(F.col("ordinary") >= LEAST_SHARE * F.col("marks"))
+        opening = {tuple(r) for r in openers.select("lang", "after").collect()}
+        together = {tuple(r) for r in collocations.select("lang", "word", "after").collect()}
     finally:
         c.unpersist()
     return Model(set(top), found, silent, together, opening)
@@ -167,12 +176,14 @@ def ends(text: str, lang: str, model: Model) -> list[int]:
     if lang == "th":
         out = []
         for m in _THAI_SPACE.finditer(text):
-            before, after = text[: m.start()][-1:], text[m.end() : m.end() + 1]
+            before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
             if before and after and _beside(before) and _beside(after):
                 out.append(m.end())
         return out
     out = []
     size = len(text)
+    lead = size - len(text.lstrip())
+    open_quotes = seen = 0  # French quotes that are open at ``seen``
     for m in _MARK.finditer(text):
         i, marks = m.end(), m.group()
         j = i
@@ -182,7 +193,10 @@ def ends(text: str, lang: str, model: Model) -> list[int]:
         k = j
         while k < size and text[k].isspace():
             k += 1
-        if k > j and k < size and text[k] in "»›" and text[:k].count("«") + text[:k].count("‹") > text[:k].count("»") + text[:k].count("›"):
+        if k > j and k < size and text[k] in "»›":
+            open_quotes += sum(text.count(x, seen, k) for x in "«‹") - sum(text.count(x, seen, k) for x in "»›")
+            seen = k
+        if k > j and k < size and text[k] in "»›" and open_quotes > 0:
             j = k + 1
             k = j
             while k < size and text[k].isspace():
@@ -207,7 +221,7 @@ def ends(text: str, lang: str, model: Model) -> list[int]:
         if nxt in "—–-" and k + 1 < size:
             if quoted or not spaced:
                 continue  # a reporting clause
-            rest = text[k + 1 :].lstrip()
+            rest = text[k + 1 : k + 1 + NEAR].lstrip()
             if rest[:1].islower():
                 continue
         opening = nxt in "\"'“‘«„(¿¡「『（[" or not (nxt.isalnum())
@@ -216,7 +230,7 @@ def ends(text: str, lang: str, model: Model) -> list[int]:
             continue  # a name like iPage may begin a sentence
         if not spaced and not wide:
             # nothing between two sentences: only a known starter tells
-            before = re.search(r"[^\W_]+$", text[: m.start()])
+            before = _LETTERS_END.search(text[max(0, m.start() - NEAR) : m.start()])
             if not (starts and (closed or before and len(before.group()) > 1)) and not (marks[-1] in "!?" and word[:1].isupper() and starts):
                 continue
             out.append(k)
@@ -224,11 +238,11 @@ def ends(text: str, lang: str, model: Model) -> list[int]:
         if lang in ("ar", "hi") and quoted and not (opening and nxt in "\"'“‘«„"):
             continue  # who spoke follows
         if marks == "." or marks[0] in "!?" and len(marks) == 1:
-            before = re.search(r"[^\s\"'“”‘’«»„()\[\]]+$", text[: m.start()])
+            before = _TOKEN_END.search(text[max(0, m.start() - NEAR) : m.start()])
             token = before.group() if before else ""
             if marks == "." and not closed or marks != ".":
                 kind = shape(token) + ("" if marks == "." else marks)
-                if token.isdigit() and not text[: before.start()].strip():
+                if token.isdigit() and m.start() - len(token) == lead:
                     continue  # the number of a list entry
                 if marks == "." and lang in model.silent:
                     continue

@@ -273,6 +273,19 @@ def test_mean_pmi_of_every_page_against_brute_force(spark, monkeypatch):
 # ---- 3
 
 
+def test_time_of_a_block_is_linear_in_its_length(model):
+    import time
+
+    def took(n):
+        text = "« Bonjour ! » dit-il. Dr. Low came at 5 p.m. It rained.The end 3.5 kg... and more. " * n
+        began = time.process_time()
+        assert len(sentences.split(text, model, "en")) > n
+        return time.process_time() - began
+
+    took(100)
+    assert took(12_000) < 20 * took(1_200) + 0.5  # 1 MB against 100 kB
+
+
 @pytest.fixture(scope="module")
 def model():
     starters = {("en", w) for w in ("The", "It", "She")} | {("de", w) for w in ("Die", "Der")} | {("ar", "كل")}
