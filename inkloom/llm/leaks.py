@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import UNSPACED, parts, table
+from inkloom.llm.mixing import durable
 
 MAX_PATTERN_BYTES = 16_000_000
 WINDOW_WORDS, WINDOW_CHARS = 4, 6  # words of a pattern; characters of one in unspaced scripts
 M, B = 14, 6  # bytes of the scanned window, and of a block
-OWN = 0.2  # share of a passage that must be found in wording which at most two different passages have
-WHOLE = 0.8  # share of a passage from which on its wording need not be its own: stock sentences alone don't make up a whole passage in its order
 TABLE = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = re.compile(r"([぀-ヿ一-鿿฀-๿])")
@@ -49,47 +48,37 @@ def normalised(text: str) -> bytes:
 
 
 def windows(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(first word, number of words) of the patterns of a passage; a short passage is one pattern as a whole."""
+    """(first word, number of words) of the patterns of a passage; a passage without room for one is one as a whole."""
+    found = False
     for i in range(len(words)):
         k = WINDOW_CHARS if len(words[i]) > 1 and words[i][0] >= 0xE0 and len(words[i]) <= 3 else WINDOW_WORDS
         while i + k <= len(words) and len(b" ".join(words[i : i + k])) + 2 < M:
             k += 1
         if i + k <= len(words):
+            found = True
             yield i, k
+    if words and not found:
+        yield 0, len(words)
 
 
 class Patterns:
     """The tables of the search: block shifts, buckets by window hash, the patterns' bytes, and the passage places of each pattern."""
 
-    def __init__(self, passages: Iterable[tuple[int, str]], stock: frozenset[bytes] | None = None):
-        """stock: patterns that more than two different passages have, of all blocks; None: as counted in these passages."""
-        places: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
-        self.items, self.words, self.items_text = [], [], []
-        for item_id, passage in passages:
-            ws = normalised(passage).split()
-            if not ws:
-                continue
-            n = len(self.items)
-            found = False
-            for i, k in windows(ws):
-                places[b" " + b" ".join(ws[i : i + k]) + b" "].append((n, i, k))
-                found = True
-            if found:
-                self.items.append(item_id)
-                self.words.append(len(ws))
-                self.items_text.append(b" ".join(ws))
+    def __init__(self, places: dict[bytes, list[tuple[int, int, int]]], m: int = M, b: int = B):
+        """places: pattern -> [(passage, first word, words)]; m: bytes of the scanned window, at most the shortest pattern's; b: bytes of a block."""
+        self.m, self.b = m, b
         self.patterns = sorted(places)
         lengths = np.array([len(p) for p in self.patterns], np.int64)
-        self.lengths, self.longest = lengths, int(lengths.max(initial=M))
+        self.lengths, self.longest = lengths, int(lengths.max(initial=m))
         self.matrix = np.zeros((len(self.patterns), self.longest), np.uint8)
         for k, p in enumerate(self.patterns):
             self.matrix[k, : len(p)] = np.frombuffer(p, np.uint8)
         # shifts: how far a window may move if the block at its end is this one
-        self.shift = np.full(TABLE, M - B + 1, np.uint8)
-        heads = self.matrix[:, :M]
-        for end in range(B - 1, M):
-            np.minimum.at(self.shift, block_hash(heads, end), np.uint8(M - 1 - end))
-        keys = window_key(heads)
+        self.shift = np.full(TABLE, m - b + 1, np.uint8)
+        heads = self.matrix[:, :m]
+        for end in range(b - 1, m):
+            np.minimum.at(self.shift, block_hash(heads, end, b), np.uint8(m - 1 - end))
+        keys = window_key(heads, m)
         order = np.argsort(keys, kind="stable")
         self.keys, self.bucket_first, self.bucket_size = np.unique(keys[order], return_index=True, return_counts=True)
         self.bucket = order
@@ -97,16 +86,14 @@ class Patterns:
         at = np.array(flat, np.int64).reshape(-1, 4)
         self.place_first = np.searchsorted(at[:, 0], np.arange(len(self.patterns) + 1))
         self.place_item, self.place_word, self.place_len = at[:, 1], at[:, 2], at[:, 3]
-        # wording that many passages share is stock wording, which unrelated documents have too
-        self.place_own = np.repeat([len({self.items_text[x[0]] for x in places[p]}) <= 2 if stock is None else p not in stock for p in self.patterns], np.diff(self.place_first)).astype(bool)
 
     def occurrences(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start in buf, pattern) of every occurrence of every pattern."""
-        if len(buf) < M or not self.patterns:
+        if len(buf) < self.m or not self.patterns:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = self._candidates(buf)
-        starts = ends - (M - 1)
-        keys = window_key(buf, starts)
+        starts = ends - (self.m - 1)
+        keys = window_key(buf, self.m, starts)
         slot = np.searchsorted(self.keys, keys)
         slot[slot == len(self.keys)] = 0
         ok = self.keys[slot] == keys
@@ -129,8 +116,8 @@ class Patterns:
 
     def _candidates(self, buf: np.ndarray, lane: int = 1024) -> np.ndarray:
         """Window ends with shift 0. Many places of the buffer are scanned side by side, each skipping by its own shifts."""
-        hashes = block_hashes(buf)  # of the block that ends at i
-        pos = np.arange(M - 1, len(buf), lane)
+        hashes = block_hashes(buf, self.b)  # of the block that ends at i
+        pos = np.arange(self.m - 1, len(buf), lane)
         stop = np.minimum(pos + lane, len(buf))
         out = []
         while len(pos):
@@ -144,29 +131,60 @@ class Patterns:
         return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+class Items:
+    """Passages and their patterns: those of at least M bytes in one search table, shorter ones (of passages of a few short words) in another."""
+
+    def __init__(self, passages: Iterable[tuple[int, str]]):
+        self.ids: list[int] = []
+        self.words: list[int] = []
+        long: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
+        short: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
+        for item_id, passage in passages:
+            ws = normalised(passage).split()
+            for i, k in windows(ws):
+                pattern = b" " + b" ".join(ws[i : i + k]) + b" "
+                (long if len(pattern) >= M else short)[pattern].append((len(self.ids), i, k))
+            if ws:
+                self.ids.append(item_id)
+                self.words.append(len(ws))
+        self.tables = [Patterns(long)] if long else []
+        if short:
+            self.tables.append(Patterns(short, min(map(len, short)), 2))
+
+    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start in buf, passage, first word, words) of every place of every pattern that occurs."""
+        out = [np.zeros((4, 0), np.int64)]
+        for t in self.tables:
+            at, pattern = t.occurrences(buf)
+            n = t.place_first[pattern + 1] - t.place_first[pattern]
+            place = np.repeat(t.place_first[pattern], n) + ranges(n)
+            out.append(np.stack([np.repeat(at, n), t.place_item[place], t.place_word[place], t.place_len[place]]))
+        return tuple(np.concatenate(out, axis=1))
+
+
 def ranges(sizes: np.ndarray) -> np.ndarray:
     total = int(sizes.sum())
     return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def block_hash(rows: np.ndarray, end: int) -> np.ndarray:
+def block_hash(rows: np.ndarray, end: int, b: int) -> np.ndarray:
     h = np.zeros(len(rows), np.uint64)
-    for j in range(end - B + 1, end + 1):
+    for j in range(end - b + 1, end + 1):
         h = h * np.uint64(257) + rows[:, j]
     return (h * _MUL) >> np.uint64(44)
 
 
-def block_hashes(buf: np.ndarray) -> np.ndarray:
+def block_hashes(buf: np.ndarray, b: int) -> np.ndarray:
     h = np.zeros(len(buf), np.uint64)
-    n = len(buf) - B + 1
-    for j in range(B):
-        h[B - 1 :] = h[B - 1 :] * np.uint64(257) + buf[j : j + n]
+    n = len(buf) - b + 1
+    for j in range(b):
+        h[b - 1 :] = h[b - 1 :] * np.uint64(257) + buf[j : j + n]
     return ((h * _MUL) >> np.uint64(44)).astype(np.uint32)
 
 
-def window_key(rows: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+def window_key(rows: np.ndarray, m: int, starts: np.ndarray | None = None) -> np.ndarray:
     h = np.zeros(len(rows) if starts is None else len(starts), np.uint64)
-    for j in range(M):
+    for j in range(m):
         h = h * np.uint64(0x100000001B3) + (rows[:, j] if starts is None else rows[starts + j])
     return h
 
@@ -207,8 +225,8 @@ def covered(run: list[tuple[int, int, int]], bridge: int = 4) -> int:
 def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share): items of which a document carries at least ``least`` of the passage, in its order.
 
-    Null or empty texts and passages match nothing; passages shorter than one pattern (four words or fourteen bytes) can't be searched and match nothing; repeated
-    rows of documents give repeated rows, repeated items one row; equal passages are all reported. Other columns are ignored.
+    Null or empty texts and passages match nothing; a passage that is shorter than a pattern is one pattern as a whole, and is found where it stands whole; repeated
+    rows of documents give repeated rows, repeated items one row; equal and nearly equal passages are all reported. Other columns are ignored.
     """
     items = items.select("item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()[0]
@@ -216,80 +234,57 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFra
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
 
-    # which wording is stock must not depend on how the items are split
-    stock = spark.sparkContext.broadcast(stock_of(items) if blocks > 1 else None)
-
     def scan(k: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # bounded by MAX_PATTERN_BYTES
         sent = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pats = None
+            known = None
             for batch in batches:
-                pats = pats or Patterns(sent.value, stock.value)
+                known = known or Items(sent.value)
                 ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
                 for a, b in parts(texts):
-                    doc, item, share = search(pats, texts[a:b], least)
+                    doc, item, share = search(known, texts[a:b], least)
                     yield pa.record_batch([ids.slice(a, b - a).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "share"])
 
-        return docs.mapInArrow(run, "doc_id bigint, item_id bigint, share double")
+        found = docs.mapInArrow(run, "doc_id bigint, item_id bigint, share double")
+        if blocks > 1:  # one block of patterns at a time is held by the driver and the tasks
+            found = durable(found, "leaks")
+            sent.destroy()
+        return found
 
     return reduce(DataFrame.unionByName, [scan(k) for k in range(blocks)])
 
 
-def stock_of(items: DataFrame) -> frozenset[bytes]:
-    """Patterns that more than two different passages have, over all items; only these are sent, and there are fewer of them than a third of all patterns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pattern, passage = [], []
-            for text in batch.column("passage").to_pylist():
-                ws = normalised(text).split()
-                own = {b" " + b" ".join(ws[i : i + k]) + b" " for i, k in windows(ws)}
-                pattern += own
-                passage += [b" ".join(ws)] * len(own)
-            yield pa.record_batch([pa.array(pattern, pa.binary()), pa.array(passage, pa.binary())], ["pattern", "passage"])
-
-    long = items.select("passage").distinct().mapInArrow(run, "pattern binary, passage binary").select("pattern", F.xxhash64("passage").alias("passage"))
-    return frozenset(bytes(r[0]) for r in long.groupBy("pattern").agg(F.countDistinct("passage").alias("n")).where("n > 2").select("pattern").collect())
-
-
-def search(pats: Patterns, texts: list[str], least: float) -> tuple[list[int], list[int], list[float]]:
+def search(known: Items, texts: list[str], least: float) -> tuple[list[int], list[int], list[float]]:
     norm = [normalised(t) for t in texts]
     size = np.array([len(x) + 1 for x in norm], np.int64)
     first = np.cumsum(size) - size
-    at, pattern = pats.occurrences(np.frombuffer(b"\n".join(norm), np.uint8))
+    at, item, word, k = known.hits(np.frombuffer(b"\n".join(norm), np.uint8))
     if not len(at):
         return [], [], []
     doc = np.searchsorted(first, at, "right") - 1
-    n = pats.place_first[pattern + 1] - pats.place_first[pattern]
-    place = np.repeat(pats.place_first[pattern], n) + ranges(n)
-    doc, at, item, word, k = np.repeat(doc, n), np.repeat(at, n), pats.place_item[place], pats.place_word[place], pats.place_len[place]
-    # an upper bound of what each pair covers, of distinct places, before any order is looked at
-    pair = doc * len(pats.items) + item
-    longest = int(max(pats.words)) + 1
-    key = np.unique(pair * longest + word)
-    pairs, start = key // longest, key % longest
-    step = np.minimum(np.where(pairs[1:] == pairs[:-1], start[1:] - start[:-1], WINDOW_CHARS), WINDOW_CHARS)
+    # an upper bound of what each pair covers, before any order is looked at: the union of its patterns, and half as much again, as a gap
+    # that ``covered`` bridges counts two words at most and follows a pattern of four at least
+    pair = doc * len(known.ids) + item
+    longest = int(max(known.words)) + 1
+    key, one = np.unique(pair * longest + word, return_index=True)
+    pairs, start, reach = key // longest, key % longest, k[one]
+    step = np.append(np.where(pairs[1:] == pairs[:-1], start[1:] - start[:-1], longest), longest)[: len(key)]
     ids, begin = np.unique(pairs, return_index=True)
-    most = np.add.reduceat(np.append(step, WINDOW_CHARS), begin)
-    need = np.array(pats.words)[ids % len(pats.items)]
-    good = ids[most >= 0.7 * least * need]
-    keep = np.isin(pair, good)
+    most = np.add.reduceat(np.minimum(step, reach), begin)
+    need = np.array(known.words)[ids % len(known.ids)]
+    keep = np.isin(pair, ids[1.5 * most >= least * need])
     groups: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    own: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-    for p, t, w, kk, o in zip(pair[keep].tolist(), at[keep].tolist(), word[keep].tolist(), k[keep].tolist(), pats.place_own[place[keep]].tolist()):
+    for p, t, w, kk in zip(pair[keep].tolist(), at[keep].tolist(), word[keep].tolist(), k[keep].tolist()):
         groups[p].append((t, w, kk))
-        if o:
-            own[p].add((t, w, kk))
     out: tuple[list[int], list[int], list[float]] = ([], [], [])
     for p, hits in groups.items():
-        d, i = divmod(p, len(pats.items))
-        run = chain(hits)
-        share = covered(run) / pats.words[i]
-        if share >= least and (share >= max(least, WHOLE) or covered([h for h in run if h in own[p]]) >= OWN * pats.words[i]):
+        d, i = divmod(p, len(known.ids))
+        share = covered(chain(hits)) / known.words[i]
+        if share >= least:
             out[0].append(d)
-            out[1].append(pats.items[i])
+            out[1].append(known.ids[i])
             out[2].append(min(1.0, share))
     return out
 

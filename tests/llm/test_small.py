@@ -30,7 +30,7 @@ def settings(spark, *rows):
 # ---- 6
 
 
-PASSAGES = [(1, "The road between Lindor and Ithbor was closed for 32 weeks after a clay jar fell on it, and nobody paid the 508 crowns."), (2, "在院子尽头的老仓库里有五十四个竹篮和三盏灯笼没有人知道为什么"), (3, None), (4, ""), (5, "too short")]
+PASSAGES = [(1, "The road between Lindor and Ithbor was closed for 32 weeks after a clay jar fell on it, and nobody paid the 508 crowns."), (2, "在院子尽头的老仓库里有五十四个竹篮和三盏灯笼没有人知道为什么"), (3, None), (4, ""), (5, "too brief")]
 
 
 def _docs(spark, rows):
@@ -60,29 +60,38 @@ def test_leaks(spark):
     assert leaks.leaks(_docs(spark, rows), items.limit(0)).count() == 0
 
 
-def test_versions_of_one_passage_are_found_in_any_number_of_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("versions", [3, 10])
+def test_versions_of_one_passage_are_all_found_in_any_number_of_blocks(spark, monkeypatch, versions):
     stem = "The road between Lindor and Ithbor was closed for {} weeks after a clay jar fell on it, and nobody in the old town paid the crowns that were owed to the council"
-    items = spark.createDataFrame([(i, stem.format(30 + i)) for i in range(6)], "item_id bigint, passage string")
-    half = " ".join(stem.split()[14:])  # only wording that all versions share
-    docs = _docs(spark, [(i, "Before. " + stem.format(30 + i) + " After.") for i in range(6)] + [(9, half)])
+    items = spark.createDataFrame([(i, stem.format(30 + i)) for i in range(versions)], "item_id bigint, passage string")
+    rest, less = " ".join(stem.split()[14:]), " ".join(stem.split()[18:])  # wording that all versions share: more than half of them, less than half
+    docs = _docs(spark, [(i, "Before. " + stem.format(30 + i) + " After.") for i in range(versions)] + [(98, rest), (99, less)])
     one = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()}
-    assert {(i, i) for i in range(6)} <= one and not any(d == 9 for d, _ in one)
+    assert one == {(d, i) for d in (*range(versions), 98) for i in range(versions)}
     monkeypatch.setattr(leaks, "MAX_PATTERN_BYTES", 2000)
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()} == one
 
 
+def test_short_passages_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "Paris in 1900"), (2, "Oslo"), (3, "a b"), (4, "一九"), (5, "?!")], "item_id bigint, passage string")
+    docs = _docs(spark, [(1, "It was PARIS, in 1900."), (2, "In Paris in 1901 and Oslo"), (3, "A B, c"), (4, "一 九"), (5, "Osloer ab"), (6, "?!")])
+    assert {(r["doc_id"], r["item_id"], r["share"]) for r in leaks.leaks(docs, items).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)}
+
+
 def test_search_against_brute_force():
     rnd = random.Random(4)
     words = [f"w{i:02d}x" for i in range(12)]
     passages = [(i, " ".join(rnd.choices(words, k=9))) for i in range(40)]
-    pats = leaks.Patterns(passages)
     import numpy as np
 
+    tables = leaks.Items(passages + [(99, "w00x"), (98, "w01x w02x")]).tables
+    assert len(tables) == 2
     for _ in range(20):
         text = leaks.normalised(" ".join(rnd.choices(words, k=400)))
-        at, pattern = pats.occurrences(np.frombuffer(text, np.uint8))
-        want = {(i, k) for k, p in enumerate(pats.patterns) for i in range(len(text)) if text.startswith(p, i)}
-        assert set(zip(at.tolist(), pattern.tolist())) == want
+        for pats in tables:
+            at, pattern = pats.occurrences(np.frombuffer(text, np.uint8))
+            want = {(i, k) for k, p in enumerate(pats.patterns) for i in range(len(text)) if text.startswith(p, i)}
+            assert set(zip(at.tolist(), pattern.tolist())) == want
 
 
 def test_pattern_blocks_change_nothing(spark, monkeypatch):
