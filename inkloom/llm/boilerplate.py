@@ -12,6 +12,7 @@ reach BIAS are left out, as costs below BIAS all act alike; so the model holds a
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, deque
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import UNSPACED, files_with_blocks, table, unnest
+from inkloom.llm import common
+from inkloom.llm.common import CONTEXT, UNSPACED, files_with_blocks, has_long_files, own, table, unnest
 from inkloom.llm.mixing import durable
 
 MAX_FEATURES = 500_000  # of either kind; bounds the memory of the driver and the tasks
 BIAS = 1.0  # log-odds that subject words gain from teasers to other pages
 LEAST_FILES = 4  # files that a feature must occur in
+REACH = CONTEXT // 2  # blocks that can belong to the section of an opener
 
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-ÞА-Я][\w'-]+")
 _LATIN = re.compile(r"[A-Za-z][\w'-]*")
@@ -143,10 +146,24 @@ def minimum_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list
     return [bool(x) for x in side]
 
 
-def label(model: Model, page: list[Block], later: bool = False) -> list[bool]:
-    """True for the blocks of a page, in reading order, that are boilerplate; later: the page's heading stands in an earlier segment."""
+def heading_of(page: list[Block]) -> int | None:
+    """The first block of level 1 that isn't the title element."""
+    return next((i for i, (_, kind, lv) in enumerate(page) if lv == 1 and (kind or "").lower() != "title"), None)
+
+
+def heading_in(page: list[Block], positions: list[int | None], heading: int | None) -> int | None:
+    """Where the file's heading, at position ``heading``, stands in a segment: its place, -1 before it, or its length behind it."""
+    if heading is None:
+        return None
+    if positions[0] is not None and positions[0] > heading:
+        return -1
+    here = heading_of(page)
+    return len(page) if here is None else here
+
+
+def label(model: Model, page: list[Block], main: int | None) -> list[bool]:
+    """True for the blocks of a page, in reading order, that are boilerplate. main: the place of the page's heading, as ``heading_of`` or ``heading_in`` gives it."""
     feats = [features(t, lv) for t, _, lv in page]
-    main = -1 if later else next((i for i, (_, kind, lv) in enumerate(page) if lv == 1 and (kind or "").lower() != "title"), None)
     odds_of = [model.cost(f) for f in feats]
     prose = [is_prose(t) or odds < BIAS and len(t) >= 12 and bool(_END.search(t)) and not _CUT_OFF.search(t) for (t, _, _), odds in zip(page, odds_of)]
     unary, edges = [], {}
@@ -173,7 +190,7 @@ def label(model: Model, page: list[Block], later: bool = False) -> list[bool]:
         # blocks under the opener of a section stand near it in the page's tree
         if level in (1, 2):
             reach = None
-        if reach is not None and not opens and odds < 1.5:
+        if reach is not None and i - reach <= REACH and not opens and odds < 1.5:
             edges[reach, i] = edges.get((reach, i), 0.0) + 4.0
             u *= 0.6
         if opens:
@@ -185,45 +202,45 @@ def label(model: Model, page: list[Block], later: bool = False) -> list[bool]:
     return minimum_cut(unary, edges)
 
 
-def fit(files: DataFrame, blocks: DataFrame) -> Model:
-    """The classifier, from all files; the counts are summed within each batch before they are shuffled by feature."""
-    pages = files_with_blocks(files, blocks)
+COUNTS = ("html", "other", "follow", "after")
+
+
+def fit(files: DataFrame, blocks: DataFrame, long: bool) -> Model:
+    """The classifier, from all files; the counts are summed within each batch before they are shuffled by feature, those of files in several segments by file first."""
+    pages, size = files_with_blocks(files, blocks, long=long), common.SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html: Counter = Counter()
-            other: Counter = Counter()
-            follow: Counter = Counter()
-            after: Counter = Counter()
-            formats = batch.column("file_format").to_pylist()
-            _, cols, groups = unnest(batch)
-            for fmt, part, order in zip(formats, batch.column("segment").to_pylist(), groups):
-                texts = [cols["text"][i] for i in order]
-                feats = [features(t, cols["head_level"][i] or 0) for t, i in zip(texts, order)]
-                seen = {f for fs in feats for f in fs}
+            counts: dict[int | None, tuple[Counter, Counter, Counter, Counter]] = {}
+            formats, segments, many, headings = (batch.column(c).to_pylist() for c in ("file_format", "segment", "segments", "heading"))
+            ids, cols, groups = unnest(batch)
+            for file_id, fmt, part, parts_, heading, order in zip(ids, formats, segments, many, headings, groups):
+                html, other, follow, after = counts.setdefault(file_id if parts_ > 1 else None, (Counter(), Counter(), Counter(), Counter()))
+                page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
+                positions = [cols["pos"][i] for i in order]
+                mine = own(part, positions, size)
+                feats = [features(t, lv) for t, _, lv in page]
+                seen = {f for fs, m in zip(feats, mine) if m for f in fs}
                 seen.add("")
                 (html if fmt == "html" else other).update(seen)
                 if fmt == "html":
                     # whether an article's prose still follows, for blocks behind the page's heading
-                    prose = [is_long(t) for t in texts]
-                    left = sum(prose)
-                    behind = part > 0
-                    for t, fs, p, i in zip(texts, feats, prose, order):
-                        left -= p
-                        if behind and fs[0][0] == "=":
+                    main = heading_in(page, positions, heading)
+                    prose = [i for i, (t, _, _) in enumerate(page) if is_long(t)]
+                    for i, (fs, m) in enumerate(zip(feats, mine)):
+                        if m and main is not None and i > main and fs[0][0] == "=":
+                            k = bisect.bisect_right(prose, i)
                             follow[fs[0]] += 1
-                            after[fs[0]] += left > 0
-                        behind = behind or cols["head_level"][i] == 1
-            keys = list(html.keys() | other.keys())
-            yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (html, other, follow, after))], ["feature", "html", "other", "follow", "after"])
-
-    counted = durable(
-        pages.mapInArrow(run, "feature string, html bigint, other bigint, follow bigint, after bigint")
-        .groupBy("feature")
-        .agg(*(F.sum(c).alias(c) for c in ("html", "other", "follow", "after")))
-        .where(F.col("html") + F.col("other") >= LEAST_FILES),
-        "features",
-    )
+                            after[fs[0]] += k < len(prose) and prose[k] <= i + CONTEXT
+            for file_id, each in counts.items():
+                keys = list(each[0].keys() | each[1].keys())
+                yield pa.record_batch([pa.array([file_id] * len(keys), pa.int64()), pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in each)], ["file_id", "feature", *COUNTS])
+
+    each = pages.mapInArrow(run, "file_id bigint, feature string, html bigint, other bigint, follow bigint, after bigint")
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    if long:  # a feature counts once in a file, however many segments hold it
+        each = each.groupBy("file_id", "feature").agg(*sums).select("feature", *(F.when(F.col("file_id").isNull(), F.col(c)).otherwise(F.least(c, F.lit(1))).alias(c) for c in COUNTS[:2]), *COUNTS[2:])
+    counted = durable(each.groupBy("feature").agg(*sums).where(F.col("html") + F.col("other") >= LEAST_FILES), "features")
     total = counted.where("feature = ''").first()
     html, other = (total["html"], total["other"]) if total else (0, 0)
     odds = F.log((F.col("html") + 2) / F.lit(html + 2)) - F.log((F.col("other") + 2) / F.lit(other + 2))
@@ -238,22 +255,25 @@ def boilerplate(files: DataFrame, blocks: DataFrame) -> DataFrame:
     """(file_id, block_id, pos, removed) for every block of the html files: removed is true outside the main body.
 
     Repeated loads of a block count once; blocks with null text, null file or of an unknown file give no row; of blocks with null pos the order is by block id, at the
-    end; null kinds and levels are taken as unknown. Without files that aren't pages the classifier is blind and only structure decides. A page is labelled in
-    segments of common.SEGMENT blocks, nearly always one; its heading is sought in the first. Other columns are ignored.
+    end; null kinds and levels are taken as unknown. Without files that aren't pages the classifier is blind and only structure decides. Very long pages are labelled in
+    segments (``files_with_blocks``) that know the page's heading and overlap. Other columns are ignored.
     """
-    model = blocks.sparkSession.sparkContext.broadcast(fit(files, blocks))  # at most twice MAX_FEATURES
-    pages = files_with_blocks(files.where(F.lower(F.trim("file_format")) == "html"), blocks)
+    long = has_long_files(blocks)
+    model = blocks.sparkSession.sparkContext.broadcast(fit(files, blocks, long))  # at most twice MAX_FEATURES
+    pages = files_with_blocks(files.where(F.lower(F.trim("file_format")) == "html"), blocks, long=long)
+    size = common.SEGMENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cols, groups = unnest(batch)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for file_id, part, order in zip(ids, batch.column("segment").to_pylist(), groups):
+            for file_id, part, heading, order in zip(ids, batch.column("segment").to_pylist(), batch.column("heading").to_pylist(), groups):
                 page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
-                out[0].extend([file_id] * len(page))
-                out[1].extend(cols["block_id"][i] for i in order)
-                out[2].extend(cols["pos"][i] for i in order)
-                out[3].extend(label(model.value, page, part > 0))
+                positions = [cols["pos"][i] for i in order]
+                for i, removed, mine in zip(order, label(model.value, page, heading_in(page, positions, heading)), own(part, positions, size)):
+                    if mine:
+                        for col, x in zip(out, (file_id, cols["block_id"][i], cols["pos"][i], removed)):
+                            col.append(x)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], ["file_id", "block_id", "pos", "removed"])
 
     return pages.mapInArrow(run, "file_id bigint, block_id bigint, pos int, removed boolean")

@@ -31,28 +31,43 @@ def parts(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
 BLOCK_FIELDS = ("pos", "block_id", "text", "kind", "head_level", "word_count")
 
 
-SEGMENT = 4096  # blocks of a file that are handled together
+SEGMENT, CONTEXT = 4096, 200  # blocks of a file that are handled together, and more of them on either side that are only looked at
+LAST = 2**31 - 1  # stands for a null position
 
 
-def files_with_blocks(files: DataFrame, blocks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per segment of a file that has blocks: its format, the named extra columns of ``files``, and its blocks as a list of structs.
+def has_long_files(blocks: DataFrame) -> bool:
+    """Whether any file has more than a segment."""
+    return (blocks.agg(F.max("pos")).first()[0] or 0) >= SEGMENT
 
-    A segment is a run of SEGMENT positions, so that no task collects more, however large a file is; nearly every file is one segment. Segments, not files, are
+
+def files_with_blocks(files: DataFrame, blocks: DataFrame, extra: tuple[str, ...] = (), long: bool = True) -> DataFrame:
+    """One row per segment of a file that has blocks: its format, the named extra columns of ``files``, its number, how many segments the file has, the position of
+    the file's heading (the first block of level 1 that isn't the title element), and the blocks as a list of structs.
+
+    A segment is a run of SEGMENT positions with CONTEXT more before and behind, so that no task collects more, however large a file is; nearly every file is one segment. What is
+    decided from a block's surroundings looks no further than CONTEXT, so segments give what whole files would. Segments, not files, are
     spread over the tasks. One shuffle of the blocks; repeated loads of a block are left in (``unnest`` drops them).
     A repeated file_id in ``files`` counts once; blocks without a file are dropped, as nothing is known of them; null positions belong to the first segment.
+    long: what ``has_long_files`` says; if there are none, the same comes out of a shorter plan.
     """
     there = blocks.where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
-    segment = F.coalesce(F.floor(F.col("pos") / SEGMENT), F.lit(0)).cast("int")
     f = files.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max(F.lower(F.trim("file_format"))).alias("file_format"), *(F.max(c).alias(c) for c in extra))
-    long = (there.agg(F.max("pos")).first()[0] or 0) >= SEGMENT
-    if long:
-        spans = there.groupBy("file_id").agg(F.min(segment).alias("a"), F.max(segment).alias("z"))
-        f = f.join(spans, "file_id").select("*", F.explode(F.sequence("a", "z")).alias("segment")).drop("a", "z")
-    else:
-        f = f.withColumn("segment", F.lit(0))
-    keys = ["file_id", "segment"] if long else ["file_id"]
-    b = there.select("file_id", *([segment.alias("segment")] if long else []), F.struct(*BLOCK_FIELDS).alias("b")).groupBy(*keys).agg(F.collect_list("b").alias("blocks"))
-    return b.join(f, keys)
+    heading = F.min(F.when((F.col("head_level") == 1) & (F.coalesce(F.lower("kind"), F.lit("")) != "title"), F.coalesce("pos", F.lit(LAST)))).alias("heading")
+    gathered = F.collect_list("b").alias("blocks")
+    if not long:  # every file is one segment: the same with one key less
+        b = there.select("file_id", "head_level", "kind", "pos", F.struct(*BLOCK_FIELDS).alias("b")).groupBy("file_id").agg(gathered, heading)
+        return b.join(f, "file_id").withColumn("segment", F.lit(0)).withColumn("segments", F.lit(1))
+    at = lambda shift: F.coalesce(F.floor((F.col("pos") + shift) / SEGMENT), F.lit(0)).cast("int")
+    spans = there.groupBy("file_id").agg(F.max(at(0)).alias("z"), heading)
+    f = f.join(spans, "file_id").select("*", F.explode(F.sequence(F.lit(0), "z")).alias("segment"), (F.col("z") + 1).alias("segments")).drop("z")
+    seen = F.array_distinct(F.array(at(-CONTEXT), at(0), at(CONTEXT)))
+    b = there.select("file_id", F.explode(seen).alias("segment"), F.struct(*BLOCK_FIELDS).alias("b")).groupBy("file_id", "segment").agg(gathered)
+    return b.join(f, ["file_id", "segment"])
+
+
+def own(segment: int, positions: list[int | None], size: int) -> list[bool]:
+    """Which blocks of a segment of ``size`` are its own, not context."""
+    return [(p or 0) // size == segment for p in positions]
 
 
 def unnest(batch: pa.RecordBatch) -> tuple[list[int], dict[str, list], np.ndarray]:
@@ -153,3 +168,29 @@ def language_votes(vocabulary: list[str], code: np.ndarray, doc: np.ndarray, doc
     top = np.where((top == zh) & (votes[:, ja] * 20 >= votes[:, zh]), ja, top)
     latin = np.where(votes[:, :cut].any(1), votes[:, :cut].argmax(1), LANGUAGES.index("en"))
     return np.where(foreign, top, latin).astype(np.int8)
+
+
+ENDS = frozenset(".!?。！？।؟…")
+_URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+|<a\s[^>\n]*>|</a>", re.I)
+BREAK = "\x02"  # the token of a line's end; "." is that of all end marks
+_ASCII_TOKENS = bytes(10 if i == 10 else 46 if chr(i) in ".!?" else ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
+_TOKENS = re.compile(r"[぀-ヿ一-鿿]|[ก-ะาำเ-ๆ๐-๙][ัิ-ฺ็-๎]*|[^\W_぀-ヿ一-鿿฀-๿]+[ऀ-ॏ]*(?:[^\W_฀-๿]+[ऀ-ॏ]*)*|[.!?。！？।؟…]+|\n")
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-cased words, "." for runs of end marks, and a token for the end of each line; in unspaced scripts each character is a word."""
+    if "://" in text or "www." in text or "<a " in text:
+        text = _URL.sub(" ", text)
+    if text.isascii():
+        return text.encode().replace(b"\x02", b" ").translate(_ASCII_TOKENS).replace(b".", b" . ").replace(b"\n", b" \x02 ").decode().split()
+    text = unicodedata.normalize("NFKC", text.lower()).replace("­", "")
+    return [BREAK if w == "\n" else "." if w[0] in ENDS else w for w in _TOKENS.findall(text)]
+
+
+def numbered(each: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(vocabulary, number in it of each word, number of the text that each word stands in) of texts that are cut into words."""
+    flat = [w for x in each for w in x]
+    number = dict.fromkeys(flat)
+    for i, w in enumerate(number):
+        number[w] = i
+    return list(number), np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), np.repeat(np.arange(len(each)), [len(x) for x in each])

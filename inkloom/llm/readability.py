@@ -6,14 +6,13 @@ because in a corpus of few subjects a long technical word can be frequent and st
 has few distinct words, no more than (mean distinct words) / exp(RARE) words can pass, whatever the corpus: the list is small enough to send.
 
 grade = a * (share of words outside the list, in percent) + b * (words per sentence) + c. The three coefficients put the formula on the scale of school
-years: they are the least-squares fit to the Flesch-Kincaid grade over all graded files of the corpus (DEFAULT where there are too few).
+years: they are the least-squares fit to the Flesch-Kincaid grade over all graded files of the corpus (with DEFAULT as a weak prior).
 
 Blocks are shuffled once, by file; what is kept of each file (its words and counts) is written to the shared folder.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm import boilerplate as bp
-from inkloom.llm.common import files_with_blocks, language, table, unnest
+from inkloom.llm import common
+from inkloom.llm.common import files_with_blocks, has_long_files, language, own, table, unnest
 from inkloom.llm.mixing import durable
 from inkloom.llm.quality import cells_of, kind_of
 
 RARE, LENGTH, PLAIN_LETTERS = -6.2, 1.0, 4
 DEFAULT = (0.43, 0.37, -1.5)
 DEFAULT_LIMIT = 14.0
-MIN_SENTENCES, MIN_WORDS, MIN_FIT = 3, 30, 200
+MIN_SENTENCES, MIN_WORDS = 3, 30
+PRIOR, USUAL = 20, (15.0, 16.0)  # files that DEFAULT counts as; their share of unfamiliar words, and words a sentence
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 _STOP = re.compile(r"([.!?]+)[\"'”’»)\]]*(?:\s+[\"'“‘«(\[]*(?=(\S))|\s*$)")
@@ -68,43 +69,55 @@ def syllables(word: str) -> int:
     return max(1, len(re.findall(r"[aeiouy]+", w[1:] if w[:1] == "y" else w)))
 
 
-PROSE = "file_id bigint, settings_id int, sentences bigint, words bigint, word array<string>, times array<int>"
+PROSE = "file_id bigint, settings_id int, segments int, english boolean, sentences bigint, words bigint, word array<string>, times array<int>"
 
 
 def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The English prose of each segment of a file, as words with counts."""
-    model = blocks.sparkSession.sparkContext.broadcast(bp.fit(files, blocks))  # at most bp.MAX_FEATURES
-    pages = files_with_blocks(files, blocks, ("settings_id",))
+    """The English prose of each segment of a file, as words with counts. Of a file in several segments the language that most of its words are in decides."""
+    long = has_long_files(blocks)
+    model = blocks.sparkSession.sparkContext.broadcast(bp.fit(files, blocks, long))  # at most bp.MAX_FEATURES of either kind
+    pages, size = files_with_blocks(files, blocks, ("settings_id",), long), common.SEGMENT
     names = [x.split()[0] for x in PROSE.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cols, groups = unnest(batch)
-            formats, settings, segments = (batch.column(c).to_pylist() for c in ("file_format", "settings_id", "segment"))
+            formats, settings, segments, many, headings = (batch.column(c).to_pylist() for c in ("file_format", "settings_id", "segment", "segments", "heading"))
             rows = []
-            for file_id, fmt, setting, part, order in zip(ids, formats, settings, segments, groups):
-                kept = [i for i in order if kind_of(cols["kind"][i]) != "heading" and not cols["head_level"][i] and is_running(cols["text"][i])]
-                if not kept or language(" ".join(cols["text"][i] for i in kept)) not in ("en", ""):
+            for file_id, fmt, setting, part, parts_, heading, order in zip(ids, formats, settings, segments, many, headings, groups):
+                positions = [cols["pos"][i] for i in order]
+                mine = {i for i, m in zip(order, own(part, positions, size)) if m}
+                kept = [i for i in order if i in mine and kind_of(cols["kind"][i]) != "heading" and not cols["head_level"][i] and is_running(cols["text"][i])]
+                if not kept:
+                    continue
+                english = language(" ".join(cols["text"][i] for i in kept)) in ("en", "")
+                if not english and parts_ == 1:
                     continue
                 if fmt == "html":
-                    out = dict(zip(order, bp.label(model.value, [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order], part > 0)))
+                    page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
+                    out = dict(zip(order, bp.label(model.value, page, bp.heading_in(page, positions, heading))))
                     kept = [i for i in kept if not out[i]]
                 texts = [cols["text"][i] for i in kept]
                 counts = Counter(w for t in texts for w in _WORD.findall(t.lower()))
                 words, sentences = sum(counts.values()), sum(map(sentence_count, texts))
                 if words:
-                    rows.append((file_id, setting, sentences, words, list(counts), list(counts.values())))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names)
+                    rows.append((file_id, setting, parts_, english, sentences, words, list(counts), list(counts.values())))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
-    return pages.mapInArrow(run, PROSE)
+    rows = durable(pages.mapInArrow(run, PROSE), "prose")
+    if not long:
+        return rows
+    english = rows.groupBy("file_id").agg((2 * F.sum(F.when(F.col("english"), F.col("words")).otherwise(0)) >= F.sum("words")).alias("is_english")).where("is_english")
+    return rows.join(english, "file_id", "left_semi")
 
 
 def familiar(rows: DataFrame) -> set[str]:
-    """The list, from the document frequencies of all files; a further segment of a long file counts as a file."""
-    total = rows.count()
+    """The list, from the document frequencies of all files."""
+    total = rows.where("segments = 1").count() + rows.where("segments > 1").select("file_id").distinct().count()
     letters = F.greatest(F.length("w") - PLAIN_LETTERS, F.lit(0))
-    df = rows.select(F.explode("word").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    held = rows.select("file_id", "segments", F.explode("word").alias("w"))
+    df = held.where("segments = 1").select("w").unionByName(held.where("segments > 1").select("file_id", "w").distinct().select("w")).groupBy("w").agg(F.count("*").alias("df"))
     return {r[0] for r in df.where(F.log(F.col("df") / max(1, total)) >= RARE + LENGTH * letters).select("w").collect()}  # bounded, see the module's text
 
 
@@ -139,17 +152,13 @@ def measures(rows: DataFrame, known: set[str]) -> DataFrame:
 
 
 def calibrated(m: DataFrame) -> tuple[float, float, float]:
-    """Coefficients of the formula: least squares over all files, from nine sums."""
+    """Coefficients of the formula: least squares over all files, from nine sums, with DEFAULT as a prior worth PRIOR files, so that it works alike for any number of files."""
     u, a, y = "unfamiliar", "sentence_words", "school_years"
     r = m.agg(F.count("*"), F.sum(u), F.sum(a), F.sum(F.col(u) * F.col(u)), F.sum(F.col(u) * F.col(a)), F.sum(F.col(a) * F.col(a)), F.sum(F.col(u) * F.col(y)), F.sum(F.col(a) * F.col(y)), F.sum(y)).first()
-    if not r[0] or r[0] < MIN_FIT:
-        return DEFAULT
-    n, su, sa, uu, ua, aa, uy, ay, sy = map(float, r)
-    gram = np.array([[uu, ua, su], [ua, aa, sa], [su, sa, n]])
-    if np.linalg.cond(gram) > 1e10:
-        return DEFAULT
-    out = np.linalg.solve(gram, [uy, ay, sy])
-    return tuple(map(float, out)) if math.isfinite(out.sum()) and out[0] > 0 and out[1] > 0 else DEFAULT
+    n, su, sa, uu, ua, aa, uy, ay, sy = (float(x or 0) for x in r)
+    prior = PRIOR * np.array([[u_ * v for v in (*USUAL, 1.0)] for u_ in (*USUAL, 1.0)]) + PRIOR * np.diag([*(x * x / 4 for x in USUAL), 0.0])
+    gram = np.array([[uu, ua, su], [ua, aa, sa], [su, sa, n]]) + prior
+    return tuple(map(float, np.linalg.solve(gram, np.array([uy, ay, sy]) + prior @ np.array(DEFAULT))))
 
 
 def grades(files: DataFrame, blocks: DataFrame, settings: DataFrame) -> DataFrame:
@@ -158,7 +167,7 @@ def grades(files: DataFrame, blocks: DataFrame, settings: DataFrame) -> DataFram
     Null texts and blocks without a file are left out, a block that is loaded again counts once, a repeated file once; null or missing limits are 14.0. Without a single
     file to grade the result is empty. Other columns are ignored.
     """
-    rows = durable(prose(files, blocks), "prose")
+    rows = prose(files, blocks)
     m = measures(rows, familiar(rows))
     a, b, c = calibrated(m)
     limits = settings.where("settings_id is not null").groupBy("settings_id").agg(F.max("max_reading_grade").alias("reading_limit"))

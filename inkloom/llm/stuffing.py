@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import struct
-import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import LANGUAGES, UNSPACED, language_votes, parts, table
+from inkloom.llm.common import BREAK, ENDS, LANGUAGES, UNSPACED, language_votes, numbered, parts, table, tokens
 from inkloom.llm.mixing import durable
 
 CHUNK = 4_000_000  # characters of the texts that are counted together
@@ -49,7 +48,6 @@ NO_ID = -(1 << 63)  # of documents without one, which count in the corpus
 RUN = 5  # lines of titles or keywords in a row that are more than a heading or a signature
 
 LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>.*?(?:</a>|$)|(?:https?://|www\.)\S+", re.I)
-_URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+|<a\s[^>\n]*>|</a>", re.I)
 _SENTENCE = re.compile(r"[^.!?。！？।؟…]*[.!?。！？।؟…]+[\"'”’»」』)\]]*(?=\s|$|[^\x00-\xff])")
 _SAID = re.compile(r"(?s).*[.!?。！？।؟…]+[\"'”’»」』)\]]*(?=\s|$|[^\x00-\xff])")
 _HEADING = re.compile(r"\s*#{1,6}\s+\S")
@@ -59,25 +57,11 @@ _TAGS = re.compile(r"(?:^|[\s,])(?:#[^\s#,]+|tag/[^\s,]+)")
 _TAG_LINE = re.compile(r"\s*(?:tags?|keywords?|labels?)\s*:", re.I)
 _SEPARATOR = re.compile(r"[,，、/|·»;•]|\s[-–—>]\s")
 _THAI = re.compile(r"[฀-๿]")
-_ENDS = frozenset(".!?。！？।؟…")
-_BREAK = "\x02"  # the token of a line's end; "." is that of all end marks
-_ASCII = bytes(10 if i == 10 else 46 if chr(i) in ".!?" else ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
-_WORDS = re.compile(r"[぀-ヿ一-鿿]|[ก-ะาำเ-ๆ๐-๙][ัิ-ฺ็-๎]*|[^\W_぀-ヿ一-鿿฀-๿]+[ऀ-ॏ]*(?:[^\W_฀-๿]+[ऀ-ॏ]*)*|[.!?。！？।؟…]+|\n")
 
 # forms of lines; of the matter of the first two and the last statistics decide alone
 SAID, ENTRY, LISTED, LINKED, LOOSE, HEADING = range(6)
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words, "." for runs of end marks, and a token for the end of each line; in unspaced scripts each character is a word."""
-    if "://" in text or "www." in text or "<a " in text:
-        text = _URL.sub(" ", text)
-    if text.isascii():
-        return text.encode().replace(b"\x02", b" ").translate(_ASCII).replace(b".", b" . ").replace(b"\n", b" \x02 ").decode().split()
-    text = unicodedata.normalize("NFKC", text.lower()).replace("­", "")
-    return [_BREAK if w == "\n" else "." if w[0] in _ENDS else w for w in _WORDS.findall(text)]
-
-
 def forms(text: str) -> tuple[list[int], list[int]]:
     """(form, characters) of every line of a text."""
     form: list[int] = []
@@ -105,7 +89,7 @@ def forms(text: str) -> tuple[list[int], list[int]]:
             kind = SAID if said >= 6 or said >= 2 and len(rest) > 0.5 * n else LINKED
         elif ("#" in line or "tag/" in line or ":" in line) and (_TAG_LINE.match(line) or len(_TAGS.findall(line)) >= max(1, 0.6 * len(line.split()))):
             kind = LINKED
-        elif line[-1] in _ENDS or (m := _SAID.match(line)) and m.end() >= 0.5 * n:
+        elif line[-1] in ENDS or (m := _SAID.match(line)) and m.end() >= 0.5 * n:
             kind = SAID
         elif _BULLET.match(line):
             kind = LOOSE if line.count(" ") >= 6 or len(line) > 40 and UNSPACED.search(line) else LISTED
@@ -164,18 +148,14 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 def study(ids: list[int], texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(what is kept of a chunk of texts, its keys, their counts, the documents that hold them). Words are numbers of keys; pairs follow them, in the order in which they occur."""
-    each = [[*tokens(t), _BREAK] for t in texts]
+    each = [[*tokens(t), BREAK] for t in texts]
     shape = [forms(t) for t in texts]
-    size = np.array([len(x) for x in each], np.int64)
-    flat = [w for x in each for w in x]
-    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    codes = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
-    vocabulary = list(number)
+    vocabulary, codes, doc = numbered(each)
+    number = {w: vocabulary.index(w) for w in (BREAK, ".") if w in vocabulary}
     is_break, is_mark = (np.zeros(len(vocabulary), bool) for _ in range(2))
-    is_break[number[_BREAK]] = True
+    is_break[number[BREAK]] = True
     if "." in number:
         is_mark[number["."]] = True
-    doc = np.repeat(np.arange(len(texts)), size)
     ends = is_break[codes]
     line = np.cumsum(ends) - ends
     gap = ends | is_mark[codes]

@@ -395,23 +395,25 @@ def test_features_are_counted_over_all_files(spark):
     # each of ten wordings stands in four pages
     text = F.when((F.col("id") < 80) & (F.col("id") % 2 == 0), F.concat(F.lit("Corner "), F.element_at(F.array(*(F.lit(f"{c}x") for c in "abcdefghij")), (F.col("id") / 8).cast("int") + 1))).otherwise("plain text")
     bs = spark.range(n).select(F.col("id").alias("file_id"), F.col("id").alias("block_id"), F.lit(0).alias("pos"), text.alias("text"), F.lit("paragraph").alias("kind"), F.lit(0).alias("head_level"), F.lit(None).cast("int").alias("word_count"))
-    m = boilerplate.fit(fs, bs)
+    m = boilerplate.fit(fs, bs, False)
     assert {f for f in m.odds if f.startswith("=corner")} == {f"=corner {c}x" for c in "abcdefghij"}
     assert m.odds["=corner ax"] == pytest.approx(math.log(6 / 30_002) - math.log(2 / 30_002))
 
 
-def test_long_files_are_cut_in_segments(spark, monkeypatch):
+def test_long_files_give_the_same_in_segments(spark, monkeypatch):
     from inkloom.llm import common
 
+    rnd = random.Random(9)
     f, b = pages(spark)
-    one = {tuple(r) for r in boilerplate.boilerplate(f, b).select("block_id", "removed").collect()}
-    monkeypatch.setattr(common, "SEGMENT", 5)
-    cut = {tuple(r) for r in boilerplate.boilerplate(f, b).select("block_id", "removed").collect()}
-    assert len(cut) == len(one) == 150 and len(cut ^ one) <= 30
+    kinds = [("Home  Shop  Help", "paragraph", 0), ("Related pages", "heading", 2), ("See the mill", "list_item", 0), (PARA, "paragraph", 0), ("Part of it", "heading", 2), ("A subject", "heading", 3), ("x | y", "table_cell", 0), ("Cookies are used here.", "paragraph", 0)]
+    rows = [(i, p, *("Head of page", "heading", 1)) if p == 300 * (i - 901) + 40 else (i, p, *rnd.choice(kinds)) for i in (901, 902, 903) for p in range(1500)]
+    f = f.unionByName(files(spark, [(901, "html", 1), (902, "html", 1), (903, "md", 1)]), allowMissingColumns=True)
+    b = b.unionByName(blocks(spark, rows).withColumn("block_id", F.col("block_id") + 10_000))
     s = settings(spark, (1, 8.0, None, None))
-    whole = {r["file_id"]: r["words"] for r in readability.grades(f, b, s).collect()}
-    monkeypatch.setattr(common, "SEGMENT", 4096)
-    assert whole == {r["file_id"]: r["words"] for r in readability.grades(f, b, s).collect()}
+    look = lambda: ({tuple(r) for r in boilerplate.boilerplate(f, b).select("block_id", "removed").collect()}, {(r["file_id"], r["words"], r["sentences"], round(r["grade"], 9)) for r in readability.grades(f, b, s).collect()})
+    whole = look()
+    monkeypatch.setattr(common, "SEGMENT", 250)
+    assert look() == whole and len(whole[0]) == 3150 and {x for _, x in whole[0]} == {True, False} and any(r[0] > 900 for r in whole[1])
 
 
 def test_minimum_cut_against_brute_force():
