@@ -184,14 +184,32 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([np.asarray(batch.column(s)) for s in STATS], axis=1) if batch.num_rows else np.zeros((0, len(STATS)))
 
 
-def moments(rows: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """Language -> (n, mean, covariance) of STATS."""
+Model = dict[str, tuple[np.ndarray, np.ndarray]]  # language -> mean and inverse covariance; "" stands for languages that weren't seen
+
+
+def _contributions(x: np.ndarray, langs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(differences from the mean of prose, contributions to the squared distance) of each row."""
+    d, parts_ = np.zeros_like(x), np.zeros_like(x)
+    default = model.get("", (np.zeros(len(STATS)), np.eye(len(STATS))))
+    for lang in set(langs):
+        at = langs == lang
+        mean, inv = model.get(lang, default)
+        d[at] = x[at] - mean
+        parts_[at] = d[at] * (d[at] @ inv)
+    return d, parts_
+
+
+def moments(rows: DataFrame, model: Model | None = None) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """Language -> (n, mean, covariance) of STATS, of the rows within CUTOFF of the model if there is one."""
     size = len(STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, x = np.array(batch.column("lang").to_pylist(), object), _matrix(batch)
+            if model is not None:
+                core = _contributions(x, langs, model)[1].sum(1) <= CUTOFF
+                langs, x = langs[core], x[core]
             for lang in set(langs):
                 y = x[langs == lang]
                 sums[lang] = sums.get(lang, 0.0) + np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
@@ -204,8 +222,8 @@ def moments(rows: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
     return {lang: (int(v[0]), v[1 : 1 + size] / v[0], v[1 + size :].reshape(size, size) / v[0] - np.outer(v[1 : 1 + size], v[1 : 1 + size]) / v[0] ** 2) for lang, v in out.items()}
 
 
-def inverses(found: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Language -> (mean, inverse covariance), each mixed with PRIOR blocks of all languages; "" stands for languages that weren't seen."""
+def inverses(found: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> Model:
+    """The model of these moments, each language's mixed with PRIOR blocks of all languages."""
     floor = np.diag(np.square(_FLOOR))
     if not found:
         return {}
@@ -221,21 +239,15 @@ def inverses(found: dict[str, tuple[int, np.ndarray, np.ndarray]]) -> dict[str,
     return out
 
 
-def distances(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def distances(rows: DataFrame, model: Model) -> DataFrame:
     """Adds ``contributions`` (one per statistic), their sum ``distance``, and ``garbled``, what statistics contribute that lie on the side of junk. The model has one entry per language and is sent along."""
-    default = model.get("", (np.zeros(len(STATS)), np.eye(len(STATS))))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, x = np.array(batch.column("lang").to_pylist(), object), _matrix(batch)
-            parts_, garbled = np.zeros_like(x), np.zeros(len(x))
-            for lang in set(langs):
-                at = langs == lang
-                mean, inv = model.get(lang, default)
-                d = x[at] - mean
-                parts_[at] = d * (d @ inv)
-                garbled[at] = (np.maximum(parts_[at], 0) * (d * _BAD > 0)).sum(1)
+            d, parts_ = _contributions(x, langs, model)
+            garbled = (np.maximum(parts_, 0) * (d * _BAD > 0)).sum(1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(parts_.ravel()), len(STATS)).cast(pa.list_(pa.float64()))
             yield pa.record_batch([*(batch.column(n) for n in names), lists, pa.array(parts_.sum(1)), pa.array(garbled)], [*names, "contributions", "distance", "garbled"])
 
@@ -249,12 +261,12 @@ def natures(blocks: DataFrame) -> DataFrame:
     Empty texts are lists of no length. Other columns are ignored.
     """
     raw = durable(measured(blocks), "quality")
-    rows = with_common(raw, common_words(raw))
-    body = rows.where("kind <> 'heading'")
+    rows = durable(with_common(raw, common_words(raw)), "quality-statistics")
+    body = rows.where("kind <> 'heading'").select("lang", *STATS)
     # plainly prose: sentences, or a longer text of a script that doesn't mark them
-    model = inverses(moments(body.where("(ended >= 0.8 and words >= 6 and cells = 0 and symbols < 0.05 and vowels > 0.25) or (lang = 'th' and words >= 20 and kind = 'text')")))
+    model = inverses(moments(rows.where("kind <> 'heading'").where("(ended >= 0.8 and words >= 6 and cells = 0 and symbols < 0.05 and vowels > 0.25) or (lang = 'th' and words >= 20 and kind = 'text')")))
     for _ in range(STEPS):
-        model = inverses(moments(distances(body, model).where(F.col("distance") <= CUTOFF).select("lang", *STATS))) or model
+        model = inverses(moments(body, model)) or model
     nature = F.when(F.col("kind") == "heading", "heading").when(F.col("distance") <= CUTOFF, "prose").when(F.col("garbled") >= JUNK, "junk").when((F.col("contributions")[STATS.index("cells")] >= JUNK) | (F.col("kind") == "table"), "table").otherwise("list")
     return distances(rows, model).withColumn("nature", nature).drop("garbled")
 
