@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import base64
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import parts, table
@@ -45,13 +46,34 @@ def canonical(source: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(source)), r"[\s_-]+", "_")
 
 
+_written: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only where one machine runs everything, as in tests, it may be unset; then it is a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "inkloom")
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir and read again: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "inkloom")  # unset only in local tests
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Written to the shared folder and read again: a cut of the lineage that outlives executors. ``release`` deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what ``durable`` has written in this process; results that are still to be read must have been written before. Returns how many tables there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -135,16 +157,14 @@ def mix(sized: DataFrame, plans: list[dict]) -> DataFrame:
     return sized.select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
 
 
-REPORT = "source_name string, target_weight double, max_repeats int, tokens bigint, mixed_tokens bigint, share double, short boolean"
-
-
 def report(spark: SparkSession, sized: DataFrame, plans: list[dict]) -> DataFrame:
-    """One row per target: tokens there are, tokens in the mix, the share of the whole reached, and whether the target can't be reached."""
+    """One row per target: tokens there are, tokens in the mix, their share of the size that the mix was to have and of the mix as it is, and whether the target can't be reached."""
     got = mix(sized, plans).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     total = plans[0]["total"] if plans else 0
     base = spark.createDataFrame([(x["source_name"], x["source"], float(x["target_weight"]), int(x["max_repeats"]), int(x["tokens"]), bool(x["short"])) for x in plans], "source_name string, source string, target_weight double, max_repeats int, tokens bigint, short boolean")
     mixed = F.coalesce("mixed_tokens", F.lit(0))
-    return base.join(got, "source", "left").select("source_name", "target_weight", "max_repeats", "tokens", mixed.alias("mixed_tokens"), F.round(mixed / F.lit(max(total, 1)), 9).alias("share"), "short")
+    whole = F.greatest(F.sum(mixed).over(Window.partitionBy(F.lit(0))), F.lit(1))  # over one row a target
+    return base.join(got, "source", "left").select("source_name", "target_weight", "max_repeats", "tokens", mixed.alias("mixed_tokens"), F.round(mixed / F.lit(max(total, 1)), 9).alias("share"), F.round(mixed / whole, 9).alias("share_of_mix"), "short")
 
 
 def mixed(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import parts, table
@@ -57,10 +57,10 @@ def place(text: str, start: int, target: int, low: int, high: int) -> tuple[int,
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at end) of the pieces. Consecutive pieces share exactly the overlap, 4 characters a token.
 
-    A piece holds at most 4*limit - 1 characters (limit tokens). The overlap is lowered to under half a piece where it is more.
+    A piece holds at most 4*limit - 1 characters (limit tokens). An overlap of a whole piece or more is lowered to one character less than a piece.
     """
     cap = max(1, 4 * limit - 1)
-    share = max(0, min(4 * overlap, (cap - 1) // 2))
+    share = max(0, min(4 * overlap, cap - 1))
     size = len(text)
     if size <= cap:
         return [(0, size, 5)]
@@ -134,3 +134,18 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 def p5_pieces(spark, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir)
+
+
+def p5_cover(spark, sf_dir: str) -> DataFrame:
+    """What the pieces of each unit are like: the characters that they cover, least and greatest overlap, whether they hold what their offsets say, keep to the limit, and are as many as are needed at least."""
+    w = Window.partitionBy("unit_id").orderBy("piece_no")
+    p = _split(spark, sf_dir).withColumn("shared", F.lag("end_off").over(w) - F.col("start_off"))
+    each = p.groupBy("unit_id").agg(
+        F.min("start_off").alias("first_char"), F.max("end_off").alias("chars"), F.min("shared").alias("least_overlap"), F.max("shared").alias("most_overlap"),
+        F.bool_and(F.length("piece") == F.col("end_off") - F.col("start_off")).alias("as_said"), F.max("piece_tokens").alias("largest"), F.count("*").alias("pieces"),
+    )
+    files, s = table(spark, sf_dir, "files").groupBy("file_id").agg(F.max("settings_id").alias("settings_id")), table(spark, sf_dir, "settings").groupBy("settings_id").agg(F.max("max_unit_tokens").alias("lim"))
+    limits = table(spark, sf_dir, "units").select("unit_id", "file_id").distinct().join(files, "file_id", "left").join(s, "settings_id", "left").groupBy("unit_id").agg(F.greatest(F.coalesce(F.max("lim"), F.lit(DEFAULT_LIMIT)), F.lit(1)).alias("lim"))
+    room = 4 * F.col("lim") - 1
+    needed = F.ceil((F.col("chars") - F.col("least_overlap")) / (room - F.col("least_overlap")))
+    return each.join(limits, "unit_id").select("unit_id", "first_char", "chars", "least_overlap", "most_overlap", "as_said", (F.col("largest") <= F.col("lim")).alias("fits"), (F.col("pieces") >= needed).alias("enough"))

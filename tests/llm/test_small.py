@@ -102,6 +102,25 @@ def test_pattern_blocks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, leaks.leaks(docs, items).collect())) == one and len(one) == 2
 
 
+def test_shared_folder(spark):
+    class Session:
+        class sparkContext:
+            master = "spark://head:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError):
+        mixing.shared_folder(Session)
+    Session.sparkContext.master = "local[2]"
+    assert mixing.shared_folder(Session)
+    mixing.release(spark)
+    path = mixing.durable(spark.range(3), "kept").inputFiles()[0].removeprefix("file:")
+    import os
+
+    assert os.path.exists(path) and mixing.release(spark) == 1 and not os.path.exists(path)
+
+
 # ---- 5
 
 
@@ -113,7 +132,7 @@ def test_pieces(limit, overlap):
         got = splitting.pieces(text, limit, overlap)
         assert got[0][0] == 0 and got[-1][1] == len(text)
         assert all(splitting.tokens_of(e - s) <= limit for s, e, _ in got) or not text
-        share = min(4 * overlap, (4 * limit - 2) // 2)
+        share = min(4 * overlap, 4 * limit - 2)
         assert all(a[1] - b[0] == share and b[1] > a[1] for a, b in zip(got, got[1:]))
 
 
