@@ -1,9 +1,9 @@
 """Problem 1: reading grade of English files, by a familiar-word formula.
 
-Familiar words are those of high document frequency in the corpus's own English prose: a word is on the list if its share of
-files is at least exp(RARE + LENGTH * (letters beyond four)). The longer a word, the more files it must occur in,
-because in a corpus of few subjects a long technical word can be frequent and still hard, and a short plain one rare. As every file
-has few distinct words, no more than (mean distinct words) / exp(RARE) words can pass, whatever the corpus: the list is small enough to send.
+Familiar words are those of high document frequency in plain prose: a word is on the list if it stands in at least a share exp(RARE) of the files that raters
+find easiest (a median level of at most EASY). Document frequency over all files would not do, because in a corpus of few subjects hard words are as frequent
+as plain ones; it only enters as a prior worth PRIOR_EASY files, so that the list is defined for any number of labels, and follows all files where there are none. As every
+file has few distinct words, no more than (mean distinct words) / exp(RARE) words can pass, whatever the corpus: the list is small enough to send.
 
 grade = a * (share of words outside the list, in percent) + b * (words per sentence) + c. The three coefficients put the formula on the scale of school
 years: they are the least-squares fit to the Flesch-Kincaid grade over all graded files of the corpus (with DEFAULT as a weak prior).
@@ -28,8 +28,8 @@ from inkloom.llm.common import files_with_blocks, has_long_files, language, own,
 from inkloom.llm.mixing import durable
 from inkloom.llm.quality import cells_of, kind_of
 
-RARE, LENGTH, PLAIN_LETTERS = -6.2, 1.0, 4
-DEFAULT = (0.43, 0.37, -1.5)
+RARE, EASY, PRIOR_EASY = -3.25, 1.5, 3
+DEFAULT = (0.39, 0.39, -4.0)
 DEFAULT_LIMIT = 14.0
 MIN_SENTENCES, MIN_WORDS = 3, 30
 PRIOR, USUAL = 20, (15.0, 16.0)  # files that DEFAULT counts as; their share of unfamiliar words, and words a sentence
@@ -112,13 +112,23 @@ def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(english, "file_id", "left_semi")
 
 
-def familiar(rows: DataFrame) -> set[str]:
-    """The list, from the document frequencies of all files."""
+def _frequencies(rows: DataFrame) -> tuple[DataFrame, int]:
+    """((w, df), number of files) of English prose; a file in several segments counts once."""
     total = rows.where("segments = 1").count() + rows.where("segments > 1").select("file_id").distinct().count()
-    letters = F.greatest(F.length("w") - PLAIN_LETTERS, F.lit(0))
     held = rows.select("file_id", "segments", F.explode("word").alias("w"))
-    df = held.where("segments = 1").select("w").unionByName(held.where("segments > 1").select("file_id", "w").distinct().select("w")).groupBy("w").agg(F.count("*").alias("df"))
-    return {r[0] for r in df.where(F.log(F.col("df") / max(1, total)) >= RARE + LENGTH * letters).select("w").collect()}  # bounded, see the module's text
+    return held.where("segments = 1").select("w").unionByName(held.where("segments > 1").select("file_id", "w").distinct().select("w")).groupBy("w").agg(F.count("*").alias("df")), total
+
+
+def familiar(rows: DataFrame, labels: DataFrame | None = None) -> set[str]:
+    """The list. labels: (file_id, read_level) from 1, the easiest, of some files, perhaps several for one; nulls don't count."""
+    df, total = _frequencies(rows)
+    share = F.col("df") / max(1, total)
+    if labels is not None:
+        easy = labels.where("file_id is not null and read_level is not null").groupBy("file_id").agg(F.median("read_level").alias("level")).where(F.col("level") <= EASY)
+        plain, n = _frequencies(rows.join(easy, "file_id", "left_semi"))
+        df = df.join(plain.withColumnRenamed("df", "easy"), "w", "left")
+        share = (F.coalesce("easy", F.lit(0)) + PRIOR_EASY * share) / (n + PRIOR_EASY)
+    return {r[0] for r in df.where(F.log(share) >= RARE).select("w").collect()}  # bounded, see the module's text
 
 
 MEASURES = "file_id bigint, settings_id int, sentences bigint, words bigint, unknown double, syllables double"
@@ -161,14 +171,14 @@ def calibrated(m: DataFrame) -> tuple[float, float, float]:
     return tuple(map(float, np.linalg.solve(gram, np.array([uy, ay, sy]) + prior @ np.array(DEFAULT))))
 
 
-def grades(files: DataFrame, blocks: DataFrame, settings: DataFrame) -> DataFrame:
+def grades(files: DataFrame, blocks: DataFrame, settings: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(file_id, grade, reading_limit, over, unfamiliar, sentence_words, sentences, words) of the English files with at least three sentences and thirty words of prose.
 
     Null texts and blocks without a file are left out, a block that is loaded again counts once, a repeated file once; null or missing limits are 14.0. Without a single
-    file to grade the result is empty. Other columns are ignored.
+    file to grade the result is empty; without labels all files say which words are familiar. Other columns are ignored.
     """
     rows = prose(files, blocks)
-    m = measures(rows, familiar(rows))
+    m = measures(rows, familiar(rows, labels))
     a, b, c = calibrated(m)
     limits = settings.where("settings_id is not null").groupBy("settings_id").agg(F.max("max_reading_grade").alias("reading_limit"))
     g = m.join(limits, "settings_id", "left").withColumn("reading_limit", F.coalesce("reading_limit", F.lit(DEFAULT_LIMIT)))
@@ -177,7 +187,7 @@ def grades(files: DataFrame, blocks: DataFrame, settings: DataFrame) -> DataFram
 
 
 def _grades(spark, sf_dir: str) -> DataFrame:
-    return grades(*(table(spark, sf_dir, t) for t in ("files", "blocks", "settings")))
+    return grades(*(table(spark, sf_dir, t) for t in ("files", "blocks", "settings", "labels")))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:

@@ -435,6 +435,15 @@ def test_long_files_give_the_same_in_segments(spark, monkeypatch):
     assert look() == whole and len(whole[0]) == 3150 and {x for _, x in whole[0]} == {True, False} and any(r[0] > 900 for r in whole[1])
 
 
+def test_familiar_words_are_those_of_files_that_raters_find_easy(spark):
+    rows = [(i, 1, 1, True, 5, 50, ["the", "stone", "plain" if i < 100 else "hard"], [1, 1, 1]) for i in range(200)]
+    rows = spark.createDataFrame(rows, readability.PROSE)
+    labels = spark.createDataFrame([(i, lv) for i in range(200) for lv in ((1, 1, 3) if i < 100 else (1, 5, 5))] + [(None, 1), (3, None)], "file_id bigint, read_level int")
+    assert readability.familiar(rows, labels) == {"the", "stone", "plain"}  # "hard" stands in half of all files, but in none of the easy ones
+    assert readability.familiar(rows) == readability.familiar(rows, labels.limit(0)) == {"the", "stone", "plain", "hard"}
+    assert readability.familiar(rows.limit(0), labels) == set()
+
+
 def test_minimum_cut_against_brute_force():
     rnd = random.Random(3)
     for _ in range(300):
