@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm import common
-from inkloom.llm.common import CONTEXT, UNSPACED, files_with_blocks, has_long_files, own, table, unnest
+from inkloom.llm.common import CONTEXT, UNSPACED, ascii_words, files_with_blocks, has_long_files, own, table, unnest
 from inkloom.llm.mixing import durable
 
 MAX_FEATURES = 500_000  # of either kind; bounds the memory of the driver and the tasks
@@ -66,7 +66,7 @@ def features(text: str, level: int) -> list[str]:
         run = "".join(_WORD.findall(_LATIN.sub("", low)))
         out += {run[i : i + 2] for i in range(len(run) - 1)}
     else:
-        out += set(_WORD.findall(low))
+        out += set(ascii_words(text) if text.isascii() else _WORD.findall(low))
     if level:
         out.append(f"#{level}")
     if _NAV.search(text) and not is_prose(text):
@@ -218,11 +218,9 @@ def fit(files: DataFrame, blocks: DataFrame, long: bool) -> Model:
                 html, other, follow, after = counts.setdefault(file_id if parts_ > 1 else None, (Counter(), Counter(), Counter(), Counter()))
                 page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
                 positions = [cols["pos"][i] for i in order]
-                mine = own(part, positions, size)
+                mine = [True] * len(page) if parts_ == 1 else own(part, positions, size)
                 feats = [features(t, lv) for t, _, lv in page]
-                seen = {f for fs, m in zip(feats, mine) if m for f in fs}
-                seen.add("")
-                (html if fmt == "html" else other).update(seen)
+                (html if fmt == "html" else other).update({""}.union(*(fs for fs, m in zip(feats, mine) if m)))
                 if fmt == "html":
                     # whether an article's prose still follows, for blocks behind the page's heading
                     main = heading_in(page, positions, heading)

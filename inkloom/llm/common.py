@@ -127,6 +127,13 @@ def language(text: str) -> str:
 
 _LATIN_ASCII = {w.encode(): lang for w, lang in _LATIN.items() if w.isascii()}
 _LETTERS_ONLY = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
+
+
+def ascii_words(text: str) -> list[str]:
+    """Lower-cased runs of letters of an ASCII text."""
+    return text.encode().translate(_LETTERS_ONLY).decode().split()
+
+
 _ASCII_LETTERS = re.compile(r"[A-Za-z]")
 UNSPACED = re.compile(r"[぀-ヿ一-鿿฀-๿]")
 _SPREAD = re.compile(r"([぀-ヿ一-鿿฀-๿])")

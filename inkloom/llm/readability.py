@@ -87,8 +87,8 @@ def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
             rows = []
             for file_id, fmt, setting, part, parts_, heading, order in zip(ids, formats, settings, segments, many, headings, groups):
                 positions = [cols["pos"][i] for i in order]
-                mine = {i for i, m in zip(order, own(part, positions, size)) if m}
-                kept = [i for i in order if i in mine and kind_of(cols["kind"][i]) != "heading" and not cols["head_level"][i] and is_running(cols["text"][i])]
+                mine = order if parts_ == 1 else [i for i, m in zip(order, own(part, positions, size)) if m]
+                kept = [i for i in mine if kind_of(cols["kind"][i]) != "heading" and not cols["head_level"][i] and is_running(cols["text"][i])]
                 if not kept:
                     continue
                 english = language(" ".join(cols["text"][i] for i in kept)) in ("en", "")
@@ -178,7 +178,7 @@ def grades(files: DataFrame, blocks: DataFrame, settings: DataFrame, labels: Dat
     file to grade the result is empty; without labels all files say which words are familiar. Other columns are ignored.
     """
     rows = prose(files, blocks)
-    m = measures(rows, familiar(rows, labels))
+    m = durable(measures(rows, familiar(rows, labels)), "grades")  # read by the fit and the result
     a, b, c = calibrated(m)
     limits = settings.where("settings_id is not null").groupBy("settings_id").agg(F.max("max_reading_grade").alias("reading_limit"))
     g = m.join(limits, "settings_id", "left").withColumn("reading_limit", F.coalesce("reading_limit", F.lit(DEFAULT_LIMIT)))

@@ -261,9 +261,26 @@ def _beside(c: str) -> bool:
     return not (c.isdigit() or c == "ๆ" or c.isascii() and c.isalpha() or "À" <= c <= "ɏ")
 
 
+def _is_one(text: str) -> bool:
+    """Whether no mark but at the very end could end a sentence."""
+    if not text.isascii() and _THAI.search(text):
+        return False
+    m = _MARK.search(text)
+    if m is None:
+        return True
+    j = m.end()
+    while j < len(text) and text[j] in CLOSERS:
+        j += 1
+    return j == len(text) or len(text) - j < NEAR and text[j:].isspace()
+
+
 def split(text: str, model: Model, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of the sentences, end exclusive, without outer white space."""
-    lang = language(text) or "en" if lang is None else lang
+    if lang is None:
+        if _is_one(text):  # whatever its language
+            a, b = len(text) - len(text.lstrip()), len(text.rstrip())
+            return [(a, b)] if a < b else []
+        lang = language(text) or "en"
     out, start = [], 0
     for at in [*ends(text, lang, model), len(text)]:
         a, b = start, at

@@ -47,7 +47,7 @@ MIN_SHARE = 0.5  # of the page's text, headings aside
 NO_ID = -(1 << 63)  # of documents without one, which count in the corpus
 RUN = 5  # lines of titles or keywords in a row that are more than a heading or a signature
 
-LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>.*?(?:</a>|$)|(?:https?://|www\.)\S+", re.I)
+LINK = re.compile(r"!?\[[^\]\n]{0,1000}\]\([^)\n]{0,2000}\)|<a\s[^>]{0,2000}>.*?(?:</a>|$)|(?:https?://|www\.)\S+", re.I)  # bounded, so that time is linear in a line
 _SENTENCE = re.compile(r"[^.!?。！？।؟…]*[.!?。！？।؟…]+[\"'”’»」』)\]]*(?=\s|$|[^\x00-\xff])")
 _SAID = re.compile(r"(?s).*[.!?。！？।؟…]+[\"'”’»」』)\]]*(?=\s|$|[^\x00-\xff])")
 _HEADING = re.compile(r"\s*#{1,6}\s+\S")
@@ -85,7 +85,8 @@ def forms(text: str) -> tuple[list[int], list[int]]:
             kind = HEADING
         elif "://" in line or "www." in line or "<a " in line:
             rest = LINK.sub(" ", line)
-            said = sum(len(m.group().split()) for m in _SENTENCE.finditer(rest))
+            last = _SAID.match(rest)
+            said = sum(len(m.group().split()) for m in _SENTENCE.finditer(rest, 0, last.end())) if last else 0
             kind = SAID if said >= 6 or said >= 2 and len(rest) > 0.5 * n else LINKED
         elif ("#" in line or "tag/" in line or ":" in line) and (_TAG_LINE.match(line) or len(_TAGS.findall(line)) >= max(1, 0.6 * len(line.split()))):
             kind = LINKED

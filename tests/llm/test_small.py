@@ -270,6 +270,19 @@ def test_stuffing_set_as_sentences(spark, text, found):
     assert [r["doc_id"] for r in got] == [1] * found
 
 
+def test_time_of_a_page_is_linear_in_its_length():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for text in ("see http://x.example and " + "[word " * n, "cheap shoes! buy shoes " * n, "<a " * n, "http://x.example " + "no marks " * n):
+            stuffing.study([1], [text])
+        return time.process_time() - began
+
+    took(100)
+    assert took(40_000) < 30 * took(4_000) + 0.5
+
+
 def test_salad_is_judged_in_sentences_too(spark):
     rng = random.Random(3)
     plain = [f"{a} {b} {c} {d}" for a, b, c, d in zip(*(iter([f"w{i}" for i in range(400)]),) * 4)]
@@ -314,6 +327,14 @@ def test_time_of_a_block_is_linear_in_its_length(model):
     assert took(12_000) < 20 * took(1_200) + 0.5  # 1 MB against 100 kB
 
 
+def test_short_cut_for_single_sentences_changes_nothing(model):
+    rnd = random.Random(8)
+    bits = ["Low", "dr", ".", "!", "?", "…", "。", " ", " ", "\n", "»", "«", '"', "”", ")", "门", "ๆ", "ก", "5", "The end", "है", "।", "3.5"]
+    for _ in range(4000):
+        text = "".join(rnd.choices(bits, k=rnd.randint(0, 7)))
+        assert sentences.split(text, model) == sentences.split(text, model, language(text) or "en"), text
+
+
 @pytest.fixture(scope="module")
 def model():
     starters = {("en", w) for w in ("The", "It", "She")} | {("de", w) for w in ("Die", "Der")} | {("ar", "كل")}
