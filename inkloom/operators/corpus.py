@@ -43,6 +43,7 @@ class Corpus:
     docs: DataFrame
     blocks: DataFrame
     kept: list[DataFrame] = field(default_factory=list)
+    by_document: bool = False  # whether blocks are partitioned by document already
     visuals: DataFrame | None = None  # doc_id, line (slide), visuals: pictures and charts of decks
 
     @staticmethod
@@ -74,11 +75,13 @@ class Corpus:
         """From the tables ``files`` and ``blocks``; a block that was loaded again counts once."""
         docs = files.select(F.col("file_id").alias("doc_id"), "path", F.col("file_format").alias("format"), "doc_type")
         b = blocks.where("file_id is not null").repartition("file_id").dropDuplicates(["file_id", "block_id"])
-        return Corpus.of(docs, b.select(F.col("file_id").alias("doc_id"), "pos", "text", "kind", F.col("line_no").alias("line"), F.col("col_no").alias("col"), F.col("block_label").alias("label"), F.col("head_level").alias("level"), F.col("bold_lead").alias("bold")))
+        c = Corpus.of(docs, b.select(F.col("file_id").alias("doc_id"), "pos", "text", "kind", F.col("line_no").alias("line"), F.col("col_no").alias("col"), F.col("block_label").alias("label"), F.col("head_level").alias("level"), F.col("bold_lead").alias("bold")))
+        c.by_document = True
+        return c
 
     def persist(self) -> Corpus:
         """Keeps blocks, and sentences and sections once they are asked for: several rules read each of them."""
-        self.blocks = self.blocks.repartition("doc_id").persist()
+        self.blocks = (self.blocks if self.by_document else self.blocks.repartition("doc_id")).persist()
         self.kept = [self.blocks]
         return self
 
@@ -113,18 +116,17 @@ class Corpus:
     @cached_property
     def sections(self) -> DataFrame:
         """The outline with title texts, body words, body texts, prose words and whether a section is a divider."""
-        o = self.outline
-        body = (
-            o.alias("s")
-            .join(self.blocks.alias("b"), (F.col("s.doc_id") == F.col("b.doc_id")) & F.col("b.pos").between(F.col("s.own_start"), F.col("s.sub_end")) & ~F.col("b.kind").isin(*HEADING_KINDS), "left")
-            .groupBy(*(F.col(f"s.{c}") for c in o.columns))
-            .agg(
-                F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("b.text") != "", F.struct("b.pos", "b.text")))), lambda x: x["text"]), "\n\n").alias("body"),
-                F.coalesce(F.sum(F.when(F.col("b.prose"), F.col("b.words"))), F.lit(0)).alias("prose_words"),
-                F.coalesce(F.sum((F.col("b.kind") == "list_item").cast("int")), F.lit(0)).alias("bullets"),
-                F.coalesce(F.sum((F.col("b.pos") <= F.col("s.own_end")).cast("int")), F.lit(0)).alias("own_blocks"),
-            )
+        o = self.outline.withColumn("key", F.coalesce("title_pos", F.lit(-1)))
+        b = within_sections(self.blocks).where(~F.col("kind").isin(*HEADING_KINDS)).select("doc_id", "pos", "text", "kind", "prose", "words", F.col("sections")[0].alias("own"), F.explode("sections").alias("key"))
+        held = b.groupBy("doc_id", "key").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n\n").alias("body"),
+            F.sum(F.when(F.col("prose"), F.col("words"))).alias("prose_words"),
+            F.sum((F.col("kind") == "list_item").cast("int")).alias("bullets"),
+            F.sum((F.col("own") == F.col("key")).cast("int")).alias("own_blocks"),
         )
+        body = o.join(held, ["doc_id", "key"], "left").drop("key").withColumn("body", F.coalesce("body", F.lit("")))
+        for c in ("prose_words", "bullets", "own_blocks"):
+            body = body.withColumn(c, F.coalesce(c, F.lit(0)))
         return self._keep(body.withColumn("divider", is_divider(F.col("body"), F.col("title"))))
 
 
@@ -134,37 +136,42 @@ def is_divider(body: Column, title: Column) -> Column:
     return (T.strip(body) == "") | first.rlike(r"(?i)^(?:part|section|chapter|module|act|unit)\s+(?:\d{1,3}|[ivxlc]{1,6})\b")
 
 
-def headings(blocks: DataFrame) -> DataFrame:
-    """Sections of heading documents: the list of a document's headings is small, and each heading's interval and parent follow from it."""
-    row = F.struct("pos", "level", F.col("text").alias("title"), "label", "line", "col", "raw")
-    h = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "heading", row))).alias("h"), F.max("pos").alias("last"), F.min(F.when(~F.col("kind").isin(*HEADING_KINDS), F.col("pos"))).alias("first_body"))
-
-    def section(x: Column, i: Column) -> Column:
-        later = F.filter("h", lambda y: (y["pos"] > x["pos"]))
-        ending = F.filter(later, lambda y: y["level"] <= x["level"])
-        above = F.filter(F.col("h"), lambda y: (y["pos"] < x["pos"]) & (y["level"] < x["level"]))
-        end = F.coalesce(F.get(ending, F.lit(0))["pos"] - 1, F.col("last"))
-        return F.struct(
-            (i + 1).alias("sec_no"), x["level"].alias("level"), x["title"].alias("title"), x["label"].alias("label"), x["line"].alias("line"), x["col"].alias("col"), x["raw"].alias("raw"),
-            x["pos"].alias("title_pos"), (x["pos"] + 1).alias("own_start"), F.coalesce(F.get(later, F.lit(0))["pos"] - 1, F.col("last")).alias("own_end"), end.alias("sub_end"),
-            F.get(above, F.size(above) - 1)["pos"].alias("parent_pos"),
-        )
-
-    lead_end = F.coalesce(F.get("h", F.lit(0))["pos"] - 1, F.col("last"))
-    lead = F.struct(
-        F.lit(0).alias("sec_no"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("title"), F.lit("").alias("label"), F.lit(0).alias("line"), F.lit(1).alias("col"), F.lit(None).cast("string").alias("raw"),
-        F.lit(None).cast("int").alias("title_pos"), F.lit(0).alias("own_start"), lead_end.alias("own_end"), lead_end.alias("sub_end"), F.lit(None).cast("int").alias("parent_pos"),
-    )
-    parts = F.transform("h", section)
-    has_lead = F.col("first_body").isNotNull() & (F.col("first_body") <= lead_end)
-    s = h.select("doc_id", F.explode(F.concat(F.when(has_lead, F.array(lead)).otherwise(F.array().cast("array<" + _section_type() + ">")), parts)).alias("s")).select("doc_id", "s.*")
-    w = Window.partitionBy("doc_id")
-    children = F.size(F.filter(F.collect_list(F.col("parent_pos")).over(w), lambda p: p == F.col("title_pos")))
-    return s.withColumn("children", F.when(F.col("title_pos").isNull(), 0).otherwise(children))
+LEVELS = 10  # levels of headings that are told apart
+
+
+def rank(level: str = "level") -> Column:
+    return F.least(F.greatest(F.coalesce(level, F.lit(0)), F.lit(0)), F.lit(LEVELS - 1))
 
 
-def _section_type() -> str:
-    return "struct<sec_no:int,level:int,title:string,label:string,line:int,col:int,raw:string,title_pos:int,own_start:int,own_end:int,sub_end:int,parent_pos:int>"
+def within_sections(blocks: DataFrame) -> DataFrame:
+    """Adds ``sections``: positions of the headings over each block, innermost first, or -1 before the first heading. At most LEVELS a block, from running windows."""
+    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.array(*(F.last(F.when((F.col("kind") == "heading") & (rank() == k), F.col("pos")), ignorenulls=True).over(so_far) for k in range(LEVELS)))
+    # a heading is closed by a later one of its level or above
+    step = lambda acc, p: F.when(p > F.coalesce(F.get(acc, F.lit(0)), F.lit(-1)), F.concat(F.array(p), acc)).otherwise(acc)
+    stack = F.aggregate("last", F.array().cast("array<int>"), step)
+    return blocks.withColumn("last", last).withColumn("sections", F.when(F.size(stack) > 0, stack).otherwise(F.array(F.lit(-1)))).drop("last")
+
+
+def headings(blocks: DataFrame) -> DataFrame:
+    """Sections of heading documents. Ends and parents are the nearest headings of a level below and above, found by running windows over the headings: linear in their number."""
+    ends = blocks.groupBy("doc_id").agg(F.max("pos").alias("last"), F.min(F.when(~F.col("kind").isin(*HEADING_KINDS), F.col("pos"))).alias("first_body"), F.min(F.when(F.col("kind") == "heading", F.col("pos"))).alias("first_heading"))
+    h = blocks.where("kind = 'heading'").select("doc_id", "pos", "level", "text", "label", "line", "col", "raw", rank().alias("rank"))
+    doc = Window.partitionBy("doc_id")
+    before, after = (doc.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("pos"), F.desc("pos")))
+    nearest = lambda w: F.array(*(F.last(F.when(F.col("rank") <= k, F.col("pos")), ignorenulls=True).over(w) for k in range(LEVELS)))  # noqa: E731 - by level
+    h = h.withColumn("sec_no", F.row_number().over(doc.orderBy("pos"))).withColumn("above", nearest(before)).withColumn("next", F.lag("pos").over(doc.orderBy(F.desc("pos")))).withColumn("closing", nearest(after))
+    s = h.join(ends.select("doc_id", "last"), "doc_id").select(
+        "doc_id", "sec_no", "level", F.col("text").alias("title"), "label", "line", "col", "raw",
+        F.col("pos").alias("title_pos"), (F.col("pos") + 1).alias("own_start"), F.coalesce(F.col("next") - 1, "last").alias("own_end"), F.coalesce(F.get("closing", F.col("rank")) - 1, "last").alias("sub_end"),
+        F.get("above", F.col("rank") - 1).alias("parent_pos"),
+    )
+    held = s.where("parent_pos is not null").groupBy("doc_id", F.col("parent_pos").alias("title_pos")).agg(F.count("*").cast("int").alias("children"))
+    s = s.join(held, ["doc_id", "title_pos"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    lead_end = F.coalesce(F.col("first_heading") - 1, "last")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in s.schema}
+    lead = ends.where(F.col("first_body") <= lead_end).select(*({**nothing, "doc_id": F.col("doc_id"), "sec_no": F.lit(0), "level": F.lit(0), "label": F.lit(""), "line": F.lit(0), "col": F.lit(1), "own_start": F.lit(0), "own_end": lead_end, "sub_end": lead_end, "children": F.lit(0)}[c].alias(c) for c in s.columns))
+    return s.unionByName(lead)
 
 
 def peers(sections: DataFrame, least: int = 4) -> DataFrame:

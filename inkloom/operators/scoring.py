@@ -1,12 +1,14 @@
 """Asking a model, and turning probabilities into findings.
 
-A scorer takes (state, {code: question}) and returns {code: probability}. It runs inside the tasks, over batches, with its own retries; what
-fails is counted and never becomes a finding. ``hash_scorer`` stands in where no model can be reached: it is reproducible, not a judge.
+A scorer takes (state, {code: question}) and returns {code: probability}, or {code: (choice, confidence)} for questions with choices. It runs inside the tasks,
+over batches, with its own retries; what fails is counted and never becomes a finding. Without a model nothing is asked: a run that needs one stops. ``hash_scorer``
+is a stand-in for tests that has to be named; it is reproducible, not a judge.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import urllib.error
@@ -20,35 +22,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.operators.units import MAX_TOKENS
-from inkloom.rules.catalog import DOC_TYPES, Rule, rules_df
+from inkloom.rules.catalog import TYPES, Rule, rules_df
 from inkloom.settings import Settings
 
-Scorer = Callable[[str, Mapping[str, str]], Mapping[str, float]]
+Scorer = Callable[[str, Mapping[str, object]], Mapping[str, object]]
 RETRIED = {408, 409, 429, 500, 502, 503, 504, 529}
 RETRIES, FIRST_DELAY, TIMEOUT = 3, 0.5, 60.0
 _OVERFLOW = re.compile(r"context|too (?:long|large|many tokens)|maximum.*tokens", re.I)
-SCORERS: dict[str, Callable[[str], Scorer]] = {}
 
 
 class ContextExceeded(Exception):
     pass
 
 
-def hash_scorer(state: str, questions: Mapping[str, str]) -> dict[str, float]:
-    """crc32 of code and state, in hundredths."""
-    return {code: zlib.crc32(f"{code}\x00{state}".encode()) % 100 / 100 for code in questions}
+def hash_scorer(state: str, questions: Mapping[str, object]) -> dict[str, object]:
+    """crc32 of code and state, in hundredths; of choices the one that it falls on."""
+    out: dict[str, object] = {}
+    for code, q in questions.items():
+        h = zlib.crc32(f"{code}\x00{state}".encode())
+        choices = _choices(q)
+        out[code] = (list(choices)[h % len(choices)], h % 100 / 100) if choices else h % 100 / 100
+    return out
+
+
+def _choices(question: object) -> Mapping[str, str]:
+    return question.get("choices", {}) if isinstance(question, Mapping) else {}
 
 
 def http_scorer(url: str, model: str, key: str = "") -> Scorer:
-    """A model behind HTTP: posts {model, state, questions: {code: {type, instructions}}}, and reads {code: probability} or {code: {noul: probability}}."""
+    """A model behind HTTP: posts {model, state, questions: {code: {type, instructions}}}, and reads {code: probability}, {code: {noul: probability}} or {code: {choice, confidence}}."""
 
-    def ask(state: str, questions: Mapping[str, str]) -> dict[str, float]:
-        body = json.dumps({"model": model, "state": state, "questions": {c: {"type": "noul", "instructions": {"question": q}} for c, q in questions.items()}}).encode()
+    def told(q: object) -> dict:
+        if _choices(q):
+            return {"type": "choice", "instructions": {k: v for k, v in q.items() if k != "choices"}, "criteria": dict(_choices(q))}
+        return {"type": "noul", "instructions": {"question": q} if isinstance(q, str) else q}
+
+    def answer(a: object) -> object:
+        if isinstance(a, Mapping) and "choice" in a:
+            return a["choice"], float(a["confidence"])
+        return float(a.get("noul", a.get("probability")) if isinstance(a, Mapping) else a)
+
+    def ask(state: str, questions: Mapping[str, object]) -> dict[str, object]:
+        body = json.dumps({"model": model, "state": state, "questions": {c: told(q) for c, q in questions.items()}}).encode()
         request = urllib.request.Request(url, body, {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})})
         with urllib.request.urlopen(request, timeout=TIMEOUT) as response:
             answers = json.load(response)
         answers = answers.get("answers", answers)
-        return {c: float(a.get("noul", a.get("probability")) if isinstance(a, dict) else a) for c, a in answers.items() if c in questions}
+        return {c: answer(a) for c, a in answers.items() if c in questions}
 
     return ask
 
@@ -98,13 +118,33 @@ def listed_scorer(url: str, model: str, key: str = "") -> Scorer:
     return ask
 
 
+URL, KEY = "INKLOOM_MODEL_URL", "INKLOOM_MODEL_KEY"  # environment of the driver
+
+
+def _served(make: Callable[[str, str, str], Scorer]) -> Callable[[str], Scorer]:
+    def by_name(model: str) -> Scorer:
+        if URL not in os.environ:
+            raise ValueError(f"the model {model} needs an address: set {URL}, and {KEY} if it asks for a key; or run with exact rules only (--no-model)")
+        return make(os.environ[URL], model, os.environ.get(KEY, ""))
+
+    return by_name
+
+
+#: What stands before the colon of a model's name -> its scorer. Others may be added.
+SCORERS: dict[str, Callable[[str], Scorer]] = {"keyed": _served(http_scorer), "listed": _served(listed_scorer)}
+
+
 def resolve(name: str | None) -> Scorer:
-    """A scorer by name: registered prefixes before a colon; without a name the stand-in."""
-    if name is None or name == "hash":
+    """A scorer by name, such as ``keyed:NAME`` for questions by key or ``listed:NAME`` for a list of them, or ``hash``, the stand-in. A name without a prefix is keyed; no name is an error."""
+    if not name:
+        raise ValueError("no model is named: name one (--model keyed:NAME or listed:NAME), or run with exact rules only (--no-model)")
+    if name == "hash":
         return hash_scorer
-    prefix, _, rest = name.partition(":")
+    prefix, colon, rest = name.partition(":")
+    if not colon:
+        prefix, rest = "keyed", name
     if prefix not in SCORERS:
-        raise ValueError(f"no scorer for {name}; register one with SCORERS[prefix]")
+        raise ValueError(f"no scorer for {name}; known are {', '.join(sorted(SCORERS))} and hash")
     return SCORERS[prefix](rest)
 
 
@@ -133,7 +173,7 @@ def attempt(scorer: Scorer, state: str, questions: Mapping[str, str], sleep: Cal
 DECISION = "doc_id bigint, unit_scope string, view string, anchor_pos int, sec_no int, snippet string, tokens bigint, status string, detail string, answers map<string,double>"
 
 
-def decide(units: DataFrame, rules: list[Rule], scorer: Scorer = hash_scorer, concurrency: int = 8) -> DataFrame:
+def decide(units: DataFrame, rules: list[Rule], scorer: Scorer, concurrency: int = 8) -> DataFrame:
     """One row per unit with its answers. Units over the token limit are skipped; ``concurrency`` requests are in flight in each task."""
     asked = {r.code: r.question or r.summary for r in rules if r.kind == "semantic"}
 
@@ -182,23 +222,23 @@ def run_stats(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("doc_id").agg(F.count_if(s == "ok").alias("calls"), F.coalesce(F.sum(F.when(s == "ok", F.col("tokens"))), F.lit(0)).alias("input_tokens"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "context_exceeded").alias("context_exceeded"), F.count_if(s == "error").alias("errors"), F.max(F.when(s == "error", F.col("detail"))).alias("error_detail"), F.max(F.when(s == "context_exceeded", F.col("tokens"))).alias("context_tokens"))
 
 
-def chooser(scorer: Scorer, least: float = 0.5) -> Callable[[int, str], tuple[str, float]]:
-    """Asks a scorer for the type of a text, one question per type; fails where it can't be asked or no type reaches ``least``, or several are as likely."""
-    asked = {t: f"Is this document of the type '{t.replace('_', ' ')}'?" for t in DOC_TYPES if t != "other"}
+TYPE_QUESTION = {"question": "Which kind of document is this text as a whole?", "note": "The number of words is given; a short text need not be a message or a note.", "choices": TYPES}
+
+
+def chooser(scorer: Scorer) -> Callable[[int, str], tuple[str, float]]:
+    """Asks a scorer which of the 24 document types a text is; fails where it can't be asked or answers with another."""
 
     def choose(words: int, text: str) -> tuple[str, float]:
-        status, got, detail = attempt(scorer, text, asked)
-        best = sorted(((p, t) for t, p in got.items() if t in asked), reverse=True)
-        if status != "ok" or not best or best[0][0] < least or len(best) > 1 and best[1][0] == best[0][0]:
+        status, got, detail = attempt(scorer, json.dumps({"word_count": words, "text": text}, ensure_ascii=False), {"type": TYPE_QUESTION})
+        if status != "ok" or got.get("type", ("",))[0] not in TYPES:
             raise ValueError(detail or "no type")
-        return best[0][1], float(best[0][0])
+        return got["type"][0], float(got["type"][1])
 
     return choose
 
 
-def classify(docs_text: DataFrame, choose: Callable[[int, str], tuple[str, float]] | None = None) -> DataFrame:
-    """(doc_id, choice, confidence) of documents with words, from (doc_id, words, text); a choice that fails is left out."""
-    choose = choose or (lambda n, text: (DOC_TYPES[zlib.crc32(text.encode()) % len(DOC_TYPES)], zlib.crc32(text.encode()) % 100 / 100))
+def classify(docs_text: DataFrame, choose: Callable[[int, str], tuple[str, float]]) -> DataFrame:
+    """(doc_id, choice, confidence) of documents with words, from (doc_id, words, text); a document whose choice fails is left out. The confidence is recorded, not a limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

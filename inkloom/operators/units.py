@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from inkloom.functions import text as T
 from inkloom.operators.corpus import Corpus, is_divider, slides
-from inkloom.operators.gate import applies
 from inkloom.rules.catalog import Rule
 
 MAX_TOKENS = 24_000
@@ -25,10 +24,15 @@ def floor(fmt: Column, setting: int | None) -> Column:
 
 
 def codes(rules: list[Rule], scope: str, view: str, fragments: bool = False) -> Column:
-    """The codes that are asked of a unit of this scope and view, in catalog order, given the column doc_type."""
+    """The codes that are asked of a unit of this scope and view, in catalog order, given the column doc_type: one look into a table of the types that any rule names."""
     some = [r for r in rules if r.kind == "semantic" and r.scope == scope and r.view == view and (r.fragments or not fragments)]
-    lits = [F.when(applies(F.col("doc_type"), F.array(*map(F.lit, r.applies_to)).cast("array<string>"), F.array(*map(F.lit, r.skip_for)).cast("array<string>")), F.lit(r.code)) for r in some]
-    return F.array_compact(F.array(*lits)) if lits else F.array().cast("array<string>")
+    lists = lambda keep: F.array(*(F.lit(r.code) for r in some if keep(r))).cast("array<string>")
+    named = sorted({t for r in some for t in (*r.applies_to, *r.skip_for)})
+    every, others = lists(lambda r: True), lists(lambda r: not r.applies_to)
+    if not named:
+        return every
+    by_type = F.create_map(*(x for t in named for x in (F.lit(t), lists(lambda r: t not in r.skip_for and (not r.applies_to or t in r.applies_to)))))  # noqa: B023
+    return F.when(F.col("doc_type").isNull(), every).otherwise(F.coalesce(by_type[F.col("doc_type")], others))
 
 
 def opening(body: Column, n: int = OPENING_WORDS) -> Column:

@@ -49,21 +49,25 @@ def static_findings(c: Corpus, rules: list[Rule], settings: Settings) -> DataFra
 
 
 def lint(corpus: Corpus, settings: Settings = Settings(), scorer: scoring.Scorer | None = None, errors: DataFrame | None = None) -> Lint:
-    """All findings of a corpus. Blocks are partitioned by document once and kept, since every rule reads them."""
+    """All findings of a corpus. Blocks are partitioned by document once and kept, since every rule reads them.
+
+    Semantic rules need a scorer, given or named in the settings; without one the run stops with a ValueError before anything is read.
+    """
     rules = rules_of(settings)
+    asks = any(r.kind == "semantic" for r in rules)
+    if scorer is None and (asks or settings.semantic and settings.classify and settings.model):
+        scorer = scoring.resolve(settings.model)
     c = corpus.persist()
     classified = None
-    if scorer is None and settings.model not in (None, "hash"):  # the stand-in doesn't choose types unless it is given
-        scorer = scoring.resolve(settings.model)
     if settings.semantic and settings.classify and scorer is not None:
         text = c.prose.groupBy("doc_id").agg(F.sum("words").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-        classified = scoring.classify(text.join(c.docs.where("doc_type is null"), "doc_id", "left_semi"), None if scorer is scoring.hash_scorer else scoring.chooser(scorer))
+        classified = scoring.classify(text.join(c.docs.where("doc_type is null"), "doc_id", "left_semi"), scoring.chooser(scorer))
     docs = resolve_types(c.docs, settings, classified)
     c.docs = docs
     found = static_findings(c, rules, settings)
     decisions = None
-    if any(r.kind == "semantic" for r in rules):
+    if asks:
         asked = units.plan(c, rules, settings.min_words)
-        decisions = scoring.decide(asked, rules, scorer or scoring.hash_scorer, settings.concurrency)
+        decisions = scoring.decide(asked, rules, scorer, settings.concurrency).persist()  # findings, statistics and reports read them; the model is asked once
         found = found.unionByName(scoring.findings(decisions, c.blocks, rules, settings).select(*FINDING))
     return Lint(docs, gated(found, docs, rules), decisions, errors, rules)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from inkloom.operators.corpus import location
 from inkloom.plans.lint import Lint
 
+CONTROL = "The 9:14 train to Lindor leaves from platform 3 and takes 25 minutes."  # shows no trait
 PRICES = {"default": 0.042e-6, "openai": 0.10e-6}  # dollars a token, as published for the two services
 
 
@@ -85,10 +86,20 @@ def by_label(findings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def probe(scorer, rules) -> list[tuple[str, str, float]]:
-    """Each semantic rule on its own summary as an example, and on a control: (code, which, probability)."""
+    """Each semantic rule on the passages that show its trait, and on a control: (code, which, probability)."""
     out = []
     for r in rules:
         if r.kind == "semantic":
-            for which, text in (("example", r.summary), ("control", "The train leaves at nine.")):
+            for which, text in (*(("example", x) for x in r.shows), ("control", CONTROL)):
                 out.append((r.code, which, scorer(text, {r.code: r.question})[r.code]))
     return out
+
+
+def rules_tables(rules) -> list[str]:
+    """The catalog as Markdown: a table of the exact rules and one of the semantic rules."""
+    out = []
+    for kind, title in (("static", "Exact rules"), ("semantic", "Questions to a model")):
+        out += [f"### {title}", "", "| Code | Name | On | Scope | What it finds |", "|-|-|-|-|-|"]
+        out += [f"| {r.code} | {r.name} | {'yes' if r.default else 'no'} | {r.scope if r.view == 'text' else r.view} | {r.summary.replace('|', chr(92) + '|')} |" for r in sorted(rules, key=lambda r: r.code) if r.kind == kind]
+        out.append("")
+    return out

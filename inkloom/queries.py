@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +17,11 @@ from inkloom.operators.custom import custom_findings, custom_rule
 from inkloom.operators.gate import applicable, resolve_types
 from inkloom.plans import report
 from inkloom.plans.lint import lint, static_findings
-from inkloom.rules.catalog import active, catalog, rules_df
+from inkloom.rules.catalog import TYPES, active, catalog, rules_df
 from inkloom.rules.static import CHECKS, titled
 from inkloom.settings import Settings
 from inkloom.sources.documents import blocks_of, corpus_of
-from inkloom.streaming.stream import lint_stream, long_sentences, windowed_counts
+from inkloom.streaming.stream import drain, lint_stream, long_sentences, windowed_counts
 
 QUERIES = {}
 #: How the rules without hits on the tables are exercised as well: a marker sentence in every n-th paragraph. The SQL does the same.
@@ -80,7 +82,17 @@ def bolded(spark: SparkSession, d: str) -> Corpus:
     return _retexted(spark, d, F.when(F.col("pos") % 2 == 0, F.concat(F.lit("**"), "text", F.lit("**"))))
 
 
-SOURCES = {"CLR007": closing, "CLR010": bolded, "RIF005": numbered, "RIF008": versioned, **dict.fromkeys(("CLR004", "CLR013", "CLR014", "CLR015", "RIF001", "RIF004", "RIF010"), decorated)}
+def even(spark: SparkSession, d: str) -> Corpus:
+    """The corpus with sections of much the same size: all paragraphs are nearly as long."""
+    return _retexted(spark, d, F.when(F.col("kind") == "paragraph", F.concat(F.repeat(F.lit("even words "), 100 + F.col("pos") % 5), F.lit("end."))))
+
+
+def capitalised(spark: SparkSession, d: str) -> Corpus:
+    """The corpus with every fifth heading in title case."""
+    return _retexted(spark, d, F.when((F.col("kind") == "heading") & ((F.col("file_id") + F.col("pos")) % 5 == 0), "Understanding The Impact Of Modern Technology"))
+
+
+SOURCES = {"RIF002": capitalised, "CLR007": closing, "CLR008": even, "CLR010": bolded, "RIF005": numbered, "RIF008": versioned, **dict.fromkeys(("CLR004", "CLR013", "CLR014", "CLR015", "RIF001", "RIF004", "RIF010"), decorated)}
 
 
 def _six(c: Column | str) -> Column:
@@ -254,27 +266,55 @@ def plan_sections(spark, d):
     return u.select("doc_id", "unit_scope", F.col("sec_no").cast("bigint").alias("sec_no"), "state", F.array_join("codes", ",").alias("codes"))
 
 
+def length_scorer(state: str, questions) -> dict[str, float]:
+    """A stand-in that SQL can follow: hundredths from the length of the state and the number of the rule."""
+    return {code: (len(state) * 31 + 7 * int(code[3:]) + 13) % 100 / 100 for code in questions}
+
+
 @query
 def score_findings(spark, d):
+    """Paragraphs and list entries asked by all default rules of blocks, with a stand-in for the model: findings by rule."""
     c = corpus(spark, d).persist()
-    rules = active(catalog())
-    got = scoring.decide(units.plan(c, rules), rules)
+    rules = [r for r in active(catalog()) if r.scope == "block"]
+    got = scoring.decide(units.plan(c, rules), rules, length_scorer)
     return scoring.findings(got, c.blocks, rules, Settings()).groupBy("code").agg(F.count("*").alias("findings"))
 
 
+@query
+def model_answers(spark, d):
+    """Every answer of the stand-in, as a debug view shows them."""
+    c = corpus(spark, d)
+    rules = [r for r in active(catalog()) if r.scope == "block"]
+    a = scoring.answers(scoring.decide(units.plan(c, rules), rules, length_scorer))
+    return a.select("doc_id", F.col("anchor_pos").cast("bigint").alias("pos"), "code", F.round("probability", 2).alias("probability"))
+
+
 @query
 def run_stats(spark, d):
+    """Calls and tokens of each document."""
     c = corpus(spark, d)
-    rules = active(catalog())
-    return scoring.run_stats(scoring.decide(units.plan(c, rules), rules))
+    rules = [r for r in active(catalog()) if r.scope == "block"]
+    s = scoring.run_stats(scoring.decide(units.plan(c, rules), rules, length_scorer))
+    return s.select("doc_id", "calls", "input_tokens", "skipped", "context_exceeded", "errors")
 
 
 @query
 def share_below(spark, d):
-    """Blocks of which few pass a threshold, by an integer stand-in for probabilities."""
-    b = corpus(spark, d).prose.where("words >= 8 and not dump").withColumn("p", ((F.col("doc_id") * 31 + F.col("pos") * 17 + 13) % 100) / 100)
-    s = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("p") >= 0.95).cast("int")).alias("hits"))
-    return s.where("n >= 8 and hits / n <= 0.1").select("doc_id", "n", "hits")
+    """Documents few of whose paragraphs show the trait of the rule that is about shares, with a stand-in for the model."""
+    c = corpus(spark, d).persist()
+    rules = [r for r in catalog() if r.share_below is not None]
+    s = Settings(thresholds={r.code: 0.95 for r in rules})
+    return scoring.findings(scoring.decide(units.plan(c, rules), rules, length_scorer), c.blocks, rules, s).select("doc_id", "code", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query
+def classified_types(spark, d):
+    """Types that a stand-in chooses for the documents without one, and which source each document's type has."""
+    c = corpus(spark, d)
+    text = c.prose.groupBy("doc_id").agg(F.sum("words").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    names = list(TYPES)
+    chosen = scoring.classify(text.join(c.docs.where("doc_type is null"), "doc_id", "left_semi"), lambda n, t: (names[(len(t) + n) % len(names)], 0.5))
+    return resolve_types(c.docs, Settings(), chosen).groupBy(F.coalesce("doc_type", F.lit("")).alias("doc_type"), "doc_type_source").agg(F.count("*").alias("documents"))
 
 
 # ---- compare
@@ -289,7 +329,10 @@ def _pairs(spark, d) -> DataFrame:
 
 @query
 def compare_features(spark, d):
-    return features(_pairs(spark, d), "source").where(~F.col("kind").isin("number", "name")).groupBy("pair_id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
+    """Claims of both sides by kind."""
+    p = _pairs(spark, d)
+    each = reduce(DataFrame.unionByName, [features(p, side).withColumn("side", F.lit(side)) for side in ("source", "rewrite")])
+    return each.groupBy("pair_id", "side", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
 
 
 @query
@@ -361,6 +404,12 @@ def bench_by_label(spark, d):
     return report.by_label(_default_findings(spark, d), labels)
 
 
+@query
+def gated_findings(spark, d):
+    """The whole way from the tables to the findings of the default exact rules that apply to their documents."""
+    return lint(corpus(spark, d), Settings(semantic=False)).findings.groupBy("code").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"))
+
+
 @query
 def report_json(spark, d):
     run = lint(corpus(spark, d), Settings(semantic=False))
@@ -370,16 +419,29 @@ def report_json(spark, d):
 # ---- streaming
 
 
+def _arriving(spark, d) -> DataFrame:
+    """The documents as a stream of files."""
+    return spark.readStream.schema(read(spark, d, "documents").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/documents.parque[t]")
+
+
+def _folder(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}" if root else tempfile.mkdtemp()  # unset only in local tests
+
+
 @query
 def stream_long_sentences(spark, d):
-    """Sentences over 30 words, by the function that also runs on streams."""
-    return long_sentences(read(spark, d, "documents").where("text is not null"), 30).select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), F.col("words").cast("bigint").alias("words"))
+    """Sentences over 30 words, by a stream that keeps no state."""
+    s = long_sentences(_arriving(spark, d).where("text is not null"), 30)
+    return drain(s.select("doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), F.col("words").cast("bigint").alias("words")), _folder(spark))
 
 
 @query
 def stream_windows(spark, d):
-    t = read(spark, d, "documents").where("text is not null and added_at is not null")
-    return windowed_counts(t).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), F.coalesce("source", F.lit("")).alias("source"), "documents", "words")
+    """Documents and words by day of arrival and source, by a stream that keeps its windows until they are past the watermark."""
+    t = _arriving(spark, d).where("text is not null and added_at is not null")
+    w = windowed_counts(t).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), F.coalesce("source", F.lit("")).alias("source"), "documents", "words")
+    return drain(w, _folder(spark), "complete")
 
 
 __all__ = ["QUERIES", "lint_stream", "titled"]

@@ -21,32 +21,41 @@ _SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in map(str.split, BLOCK.split(", ")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(doc_id, path, format, content) of the files under a path; doc_id is a hash of the path; files of other formats have a null format."""
+    """(doc_id, path, format, content, error, web) of the files under a path; doc_id is a hash of the path; files of other formats have a null format."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     formats = F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv))
-    return r.load(path).select(F.xxhash64("path").alias("doc_id"), "path", formats[suffix].alias("format"), "content")
+    return r.load(path).select(F.xxhash64("path").alias("doc_id"), "path", formats[suffix].alias("format"), "content", F.lit(None).cast("string").alias("error"), F.lit(False).alias("web"))
 
 
 def blocks_of(documents: DataFrame, main_content: bool = False) -> DataFrame:
-    """Blocks of documents (doc_id, format, content). A document that can't be read gives one row with its error and no text."""
+    """Blocks of documents (doc_id, format, content). A document that can't be read, or comes with an error, gives one row with its error and no text.
+
+    Of web pages (``web``), and of all HTML if ``main_content`` is true, only the main content is kept.
+    """
+    have = set(documents.columns)
+    failed = F.col("error") if "error" in have else F.lit(None).cast("string")
+    web = F.coalesce("web", F.lit(False)) if "web" in have else F.lit(False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, fmt, content in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "format", "content"))):
-                if content is None:
+            for doc_id, fmt, content, error, page in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "format", "content", "failed", "page"))):
+                if error is not None:
+                    rows.append({"doc_id": doc_id, "pos": 0, "line": 0, "col": 1, "level": 0, "bold": False, "error": error[:300]})
+                if content is None or error is not None:
                     continue
                 try:
-                    for pos, b in enumerate(parse(content, fmt, main_content)):
+                    for pos, b in enumerate(parse(content, fmt, page)):
                         rows.append({"doc_id": doc_id, "pos": pos, **b, "error": None})
                 except Exception as e:  # noqa: BLE001 - one document must not end the job
                     rows.append({"doc_id": doc_id, "pos": 0, "line": 0, "col": 1, "level": 0, "bold": False, "error": f"{type(e).__name__}: {e}"[:300]})
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    return documents.where("doc_id is not null").select("doc_id", "format", "content").mapInArrow(run, BLOCK)
+    page = F.lit(True) if main_content else web
+    return documents.where("doc_id is not null").select("doc_id", "format", "content", failed.alias("failed"), page.alias("page")).mapInArrow(run, BLOCK)
 
 
 def visuals(documents: DataFrame) -> DataFrame:
@@ -107,17 +116,20 @@ def fetch(url: str) -> str:
 
 
 def read_urls(spark: SparkSession, urls: list[str], partitions: int = 8) -> DataFrame:
-    """(doc_id, path, format, content) of web pages, fetched inside tasks; a page that can't be fetched has a null content."""
+    """(doc_id, path, format, content, error, web) of web pages, fetched inside tasks; a page that can't be fetched has a null content and an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, errors = [], []
             for u in pdf["path"]:
+                content, error = None, None
                 try:
-                    out.append(fetch(u).encode())
-                except (OSError, ValueError):
-                    out.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "content": out})
-
-    got = spark.createDataFrame([(u,) for u in urls], "path string").repartition(partitions).mapInPandas(run, "path string, content binary")
-    return got.select(F.xxhash64("path").alias("doc_id"), "path", F.lit("html").alias("format"), "content")
+                    content = fetch(u).encode()
+                except Exception as e:  # noqa: BLE001 - one page must not end the job
+                    error = f"{type(e).__name__}: {e}"
+                out.append(content)
+                errors.append(error)
+            yield pd.DataFrame({"path": pdf["path"], "content": out, "error": errors})
+
+    got = spark.createDataFrame([(u,) for u in urls], "path string").repartition(partitions).mapInPandas(run, "path string, content binary, error string")
+    return got.select(F.xxhash64("path").alias("doc_id"), "path", F.lit("html").alias("format"), "content", "error", F.lit(True).alias("web"))

@@ -11,17 +11,13 @@ import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
+import regex
+
+from inkloom.functions.text import INLINE_MARKUP
+
 FORMATS = {".md": "md", ".markdown": "md", ".txt": "txt", ".text": "txt", ".html": "html", ".htm": "html", ".docx": "docx", ".pptx": "pptx"}
 
-_INLINE = (
-    (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"\[([^\]]+)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"\[([^\]]+)\]\[[^\]]*\]"), r"\1"),
-    (re.compile(r"`([^`]*)`"), r"\1"),
-    (re.compile(r"(\*\*|__)(.+?)\1"), r"\2"),
-    (re.compile(r"(?<!\w)(\*|_)(?!\s)(.+?)(?<!\s)\1(?!\w)"), r"\2"),
-    (re.compile(r"<[^>]+>"), ""),
-)  # fixed values, the same as functions.text.INLINE_MARKUP
+_INLINE = [(regex.compile(pattern), keep.replace("$", "\\")) for pattern, keep in INLINE_MARKUP]
 
 
 def strip_inline(text: str) -> str:
@@ -54,6 +50,11 @@ _ROW = re.compile(r"^\s*\|.*\|\s*$")
 _BOLD = re.compile(r"^\s*(?:\*\*|__)")
 
 
+def unquoted(line: str) -> str:
+    """A line without its marks of quotation, however deep."""
+    return line.strip().lstrip("> ").strip()
+
+
 class _Markdown:
     """One pass over the lines. Each step consumes the lines of one construct and says where the next begins."""
 
@@ -104,9 +105,9 @@ class _Markdown:
         raw = self.lines[i:j]
         under = raw[-1].strip()
         if len(raw) >= 2 and under and set(under) in ({"="}, {"-"}):
-            self.out.append(block(strip_inline(" ".join(x.strip() for x in raw[:-1])), "heading", i + 1, level=1 if under[0] == "=" else 2, raw="\n".join(raw[:-1])))
+            self.out.append(block(strip_inline(" ".join(map(unquoted, raw[:-1]))), "heading", i + 1, level=1 if under[0] == "=" else 2, raw="\n".join(raw[:-1])))
         else:
-            text = " ".join(re.sub(r"^\s*>\s?", "", x).strip() for x in raw)
+            text = " ".join(map(unquoted, raw))
             self.out.append(block(strip_inline(text), "paragraph", i + 1, raw="\n".join(raw)))
         return j
 
@@ -129,19 +130,20 @@ class _Node:
     def __init__(self, tag: str, attrs: dict, line: int, parent):
         self.tag, self.attrs, self.line, self.parent, self.children = tag, attrs, line, parent, []
 
+    def walk(self, into=lambda node: True):
+        """Nodes and strings below, in the order of the page; pages may be nested deeper than calls."""
+        todo = list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            yield c
+            if isinstance(c, _Node) and into(c):
+                todo.extend(reversed(c.children))
+
     def nodes(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.nodes()
+        return (c for c in self.walk() if isinstance(c, _Node))
 
     def strings(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                if c.tag not in DROPPED:
-                    yield from c.strings()
-            elif c.strip():
-                yield c
+        return (c for c in self.walk(lambda n: n.tag not in DROPPED) if not isinstance(c, _Node) and c.strip())
 
     def text(self) -> str:
         return re.sub(r"\s+", " ", " ".join(s.strip() for s in self.strings())).strip()
@@ -175,10 +177,8 @@ class _Tree(HTMLParser):
 
 
 def _drop(root: _Node, test) -> None:
-    root.children = [c for c in root.children if not (isinstance(c, _Node) and test(c))]
-    for c in root.children:
-        if isinstance(c, _Node):
-            _drop(c, test)
+    for n in [root, *root.nodes()]:
+        n.children = [c for c in n.children if not (isinstance(c, _Node) and test(c))]
 
 
 def _main(root: _Node) -> tuple[_Node, _Node | None]:
@@ -208,7 +208,12 @@ def parse_html(text: str, main_content: bool = False) -> list[dict]:
     h1 = None
     if main_content:
         root, h1 = _main(root)
-    nodes = [n for n in root.nodes() if n.tag in LEAVES and not any(c.tag in LEAVES for c in n.nodes())]
+    leaves = [n for n in root.nodes() if n.tag in LEAVES]
+    outer = set()  # that hold others
+    for n in leaves:
+        while (n := n.parent) is not None and n not in outer:
+            outer.add(n)
+    nodes = [n for n in leaves if n not in outer]
     if main_content:
         nodes = [n for n in nodes if n.tag != "title"]
         if h1 is not None and h1 not in nodes:

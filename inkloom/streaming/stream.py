@@ -31,6 +31,18 @@ def lint_stream(documents: DataFrame, sink: Callable[[DataFrame, int], None], ch
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def drain(results: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that has arrived so far, as a table under ``folder``. Appended rows are written once, by batch; complete results replace those of the batch before."""
+    out = f"{folder.rstrip('/')}/out"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id if mode == 'append' else 0}")
+
+    query = results.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder.rstrip('/')}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return results.sparkSession.read.parquet(out).drop("batch")
+
+
 def long_sentences(documents: DataFrame, limit: int = 45) -> DataFrame:
     """Stateless: sentences over the limit, straight from (doc_id, text) rows, batch or stream."""
     s = documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_no", "sentence"))

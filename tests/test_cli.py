@@ -16,6 +16,36 @@ def test_rules_and_usage(capsys):
     assert cli.main(["--list-rules"]) == 0 and capsys.readouterr().out.count("\n") == 107
     assert cli.main(["--explain", "CLR001"]) == 0 and "long-sentence" in capsys.readouterr().out
     assert cli.main(["--explain", "NOPE"]) == 2 and cli.main([]) == 2
+    capsys.readouterr()
+    assert cli.main(["--explain", "jev006"]) == 0
+    out = capsys.readouterr().out
+    assert "Asked:" in out and "In conclusion, the ferry" in out and "p >= 0.7" in out
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+
+
+def test_no_model_no_findings(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.delenv(scoring.URL, raising=False)
+    f = tmp_path / "a.md"
+    f.write_text("The pump was fixed on Monday and the road is open again for all cars.")
+    assert cli.main([str(f)]) == 2 and cli.main([str(f), "--model", "keyed:judge"]) == 2
+    said = capsys.readouterr()
+    assert "--no-model" in said.err and said.out == ""
+
+
+def test_each_file_has_the_configuration_nearest_to_it(spark, tmp_path, capsys):
+    text = words(40) + "."
+    for name, limit in (("a", 30), ("a/b", 60), ("c", None)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.md").write_text(text)
+        if limit:
+            (tmp_path / name / "inkloom.toml").write_text(f"max-sentence-words = {limit}\nselect = ['CLR001']\n")
+    (tmp_path / "inkloom.toml").write_text("max-sentence-words = 35\nselect = ['CLR001']\n")
+    assert cli.main([str(tmp_path)]) == 1
+    out = capsys.readouterr().out
+    assert "a/x.md:1:1: CLR001" in out and "c/x.md:1:1: CLR001" in out and "a/b/x.md" not in out
+    assert cli.main([str(tmp_path / "a/b/x.md"), str(tmp_path / "none.md"), "-q"]) == 2 and "no such file" in capsys.readouterr().err
+    assert cli.main([str(tmp_path), "--config", str(tmp_path / "a/b/inkloom.toml"), "-q"]) == 0
 
 
 def test_lint(spark, tmp_path, capsys):

@@ -9,12 +9,12 @@ import pytest
 
 from inkloom.operators import scoring, units
 from inkloom.operators.compare import compare, ordered, rendered
-from inkloom.operators.corpus import peers
+from inkloom.operators.corpus import Corpus, peers
 from inkloom.plans import report
 from inkloom.plans.lint import Lint, lint
 from inkloom.rules.catalog import Rule, catalog
 from inkloom.settings import Settings, find_config, load_settings
-from inkloom.sources.documents import blocks_of, corpus_of, fetch, is_url, read_files
+from inkloom.sources.documents import blocks_of, corpus_of, fetch, is_url, read_files, read_urls
 from inkloom.sources.parsers import parse_docx, parse_html, parse_md, parse_pptx, parse_txt, visuals_of
 from inkloom.streaming.stream import lint_stream
 from tests.test_rules import make, words
@@ -27,6 +27,7 @@ def brief(blocks):
 def test_markdown():
     text = "---\na: b\n---\n# Head #\n\nA *b*\nc.\n\n```\ncode\n```\n- x\n  y\n- **z** w\n| a | b |\n<p>html</p>\nSet\n===\n\n> quoted\n> line\n\n---\n"
     assert brief(parse_md(text)) == [("heading", "Head", 4), ("paragraph", "A b c.", 6), ("list_item", "x y", 12), ("list_item", "z w", 14), ("heading", "Set", 17), ("paragraph", "quoted line", 20), ("paragraph", "---", 23)]
+    assert [b["text"] for b in parse_md(">> twice\n> > quoted\n\n> Set\n> so\n===")] == ["twice quoted", "Set so"]
     assert parse_md("- **z** w")[0]["bold"] and parse_md("```\nnever closed\n# x") == [] and parse_md("---\nnever closed") == []
 
 
@@ -45,6 +46,8 @@ def test_html():
     main = parse_html(PAGE, main_content=True)
     assert [b["text"][:7] for b in main] == ["Head", "Bold le", "Another"] and main[1]["bold"] and main[0]["label"] == "block 1"
     assert parse_html("<p>a<b>unclosed<p>b</p>") and parse_html("") == []
+    deep = "<div>" * 50_000 + "<blockquote>" * 3_000 + "<p>down here</p>"
+    assert [b["text"] for b in parse_html(deep)] == ["down here"] == [b["text"] for b in parse_html(deep, main_content=True)]
 
 
 def _zip(files):
@@ -199,7 +202,10 @@ def test_reports(spark):
     assert report.exit_code(clean) == 0 and report.summary(clean) == "All checks passed"
     labels = spark.createDataFrame([(0, "a")], "doc_id bigint, label string")
     assert report.by_label(run.findings, labels).count() == 2
-    assert len(report.probe(scoring.hash_scorer, catalog())) == 164
+    tables = report.rules_tables(catalog())
+    assert sum(x.startswith("| CLR") or x.startswith("| RIF") for x in tables) == 25 and sum(x.startswith("| JEV") for x in tables) == 82
+    probed = report.probe(lambda s, q: {c: float(s != report.CONTROL) for c in q}, catalog())
+    assert len({c for c, _, _ in probed}) == 82 and len(probed) > 164 and all((p == 1) == (which == "example") for _, which, p in probed)
 
 
 def test_settings(tmp_path):
@@ -225,11 +231,131 @@ def test_stream(spark, tmp_path):
 
 
 def _reports_only(state, questions):
-    return {c: 0.9 if c == "report" and "mill" in state else 0.1 for c in questions}
+    return {c: (("report" if "mill" in state else "novel"), 0.3) if isinstance(q, dict) else 0.1 for c, q in questions.items()}
 
 
 def test_the_model_says_what_type_a_document_has(spark, monkeypatch):
     monkeypatch.setitem(scoring.SCORERS, "fixed", lambda name: _reports_only)
     for scorer, model in ((_reports_only, None), (None, "fixed:x")):
         docs = lint(make(spark, "The old mill stands by the river.", "The cat sat on the mat."), Settings(select=("JEV001",), model=model), scorer=scorer).docs.collect()
-        assert sorted((r["doc_type_source"], r["doc_type"]) for r in docs) == [("classified", "report"), ("unresolved", None)]
+        assert sorted((r["doc_type_source"], r["doc_type"], r["doc_type_confidence"]) for r in docs) == [("classified", "report", 0.3), ("unresolved", None, None)]
+
+
+def test_types_decide_which_rules_are_asked(spark):
+    """JEV610 is only for reports and memos, and a report that the model recognises is asked about it."""
+
+    def model(state, questions):
+        return {c: ("report" if "mill" in state else "poem", 0.9) if isinstance(q, dict) else 0.9 for c, q in questions.items()}
+
+    texts = ("The old mill by the river was mended in the spring of last year.", "The cat sat on the mat and looked at the wide and empty sea.")
+    got = lint(make(spark, *texts), Settings(select=("JEV610", "JEV650")), scorer=model).findings.collect()
+    assert sorted((r["doc_id"], r["code"]) for r in got) == [(0, "JEV610"), (1, "JEV650")]
+
+
+def test_nothing_is_asked_without_a_model(spark, monkeypatch):
+    monkeypatch.delenv(scoring.URL, raising=False)
+    c = make(spark, "The pump was fixed on Monday and the road is open again for all cars.")
+    for model in (None, "keyed:judge", "judge", "unknown:x"):
+        with pytest.raises(ValueError):
+            lint(c, Settings(model=model))
+    assert lint(c, Settings(semantic=False)).findings.count() == 0
+    assert lint(c, Settings(select=("CLR",))).findings.count() == 0
+    assert lint(c, Settings(select=("JEV001",), model="hash", classify=False)).decisions.count() == 1
+
+
+def test_every_semantic_rule_has_a_question_of_its_own():
+    rules = [r for r in catalog() if r.kind == "semantic"]
+    assert len(rules) == 82 == len({r.question for r in rules})
+    assert all(r.question.split("\n")[0].endswith("?") and r.why and r.shows for r in rules)
+
+
+class _Served:
+    """A server of pages and decisions."""
+
+    def __init__(self):
+        import http.server
+        import threading
+
+        served = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                ok = self.path == "/page"
+                body = PAGE.encode() if ok else b"{}"
+                self.send_response(404 if self.path == "/gone" else 200)
+                self.send_header("Content-Type", "text/html; charset=utf-8" if ok or self.path == "/gone" else "application/json")
+                self.end_headers()
+                self.wfile.write(body)
+
+            def do_POST(self):
+                asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                served.asked.append((self.headers.get("Authorization"), asked))
+                if isinstance(asked["questions"], dict):
+                    reply = {"answers": {c: {"type": "choice", "choice": "memo", "confidence": 0.4} if q["type"] == "choice" else {"type": "noul", "noul": 0.95} for c, q in asked["questions"].items()}}
+                else:
+                    reply = {"answers": [{"type": "choice", "name": q["name"], "choice": "memo", "confidence": 0.4} if q["type"] == "choice" else {"type": "predicate", "name": q["name"], "probability": 0.95} for q in asked["questions"]]}
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps(reply).encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.asked = []
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_address[1]}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+@pytest.fixture(scope="module")
+def served():
+    s = _Served()
+    yield s
+    s.server.shutdown()
+
+
+@pytest.mark.parametrize("model", ["keyed:judge", "judge", "listed:judge"])
+def test_models_behind_an_address(spark, served, monkeypatch, model):
+    monkeypatch.setenv(scoring.URL, served.url)
+    monkeypatch.setenv(scoring.KEY, "secret")
+    served.asked.clear()
+    run = lint(make(spark, "The old mill by the river was mended in the spring of last year."), Settings(select=("JEV001", "JEV610"), model=model))
+    assert sorted(r["code"] for r in run.findings.collect()) == ["JEV001", "JEV610"]
+    assert [r["doc_type"] for r in run.docs.collect()] == ["memo"]
+    assert all(key == "Bearer secret" and body["model"] == "judge" for key, body in served.asked)
+    assert "would cost the reader no information?" in json.dumps([body for _, body in served.asked])
+
+
+def test_pages_that_fail_are_errors_and_only_web_pages_lose_their_frame(spark, served, tmp_path):
+    urls = [f"{served.url}/{x}" for x in ("page", "gone", "data")]
+    local = tmp_path / "local.html"
+    local.write_text(PAGE)
+    c, errors = corpus_of(read_urls(spark, urls).unionByName(read_files(spark, str(local))))
+    assert c.blocks.where("text = 'Home'").count() == 1  # of the local file
+    assert c.blocks.where("text = 'Head'").count() == 2
+    assert sorted(r["error"].split(":")[0] for r in errors.collect()) == ["HTTPError", "ValueError"]
+    run = lint(c, Settings(semantic=False), errors=errors)
+    assert report.exit_code(run) == 2
+
+
+def test_sections_of_a_long_document(spark):
+    """Ends, parents, bodies and numbers of children against a plain reading."""
+    import random
+
+    rnd = random.Random(5)
+    kinds = [(rnd.random() < 0.3, rnd.randint(1, 4)) for _ in range(400)]
+    rows = [(1, i, f"H{i}" if head else f"body {i}", "heading" if head else rnd.choice(("paragraph", "list_item")), lv if head else 0) for i, (head, lv) in enumerate(kinds)]
+    docs = spark.createDataFrame([(1, "a", "md", None)], "doc_id bigint, path string, format string, doc_type string")
+    c = Corpus.of(docs, spark.createDataFrame(rows, "doc_id bigint, pos int, text string, kind string, level int"))
+    got = {r["title_pos"]: r for r in c.sections.collect()}
+    heads = [i for i, (head, _) in enumerate(kinds) if head]
+    assert set(got) == {*heads, *([None] if heads[0] > 0 else [])}
+    for n, i in enumerate(heads):
+        r = got[i]
+        end = next((j for j in heads if j > i and kinds[j][1] <= kinds[i][1]), len(kinds)) - 1
+        own = (heads[n + 1] if n + 1 < len(heads) else len(kinds)) - 1
+        parent = next((j for j in reversed(heads[:n]) if kinds[j][1] < kinds[i][1]), None)
+        bodies = [t for _, p, t, k, _ in rows if i < p <= end and k != "heading"]
+        assert (r["sec_no"], r["own_end"], r["sub_end"], r["parent_pos"]) == (n + 1, own, end, parent)
+        assert r["body"] == "\n\n".join(bodies) and r["prose_words"] == 2 * len(bodies) and r["own_blocks"] == own - i
+        assert r["children"] == sum(next((j for j in reversed([h for h in heads if h < x]) if kinds[j][1] < kinds[x][1]), None) == i for x in heads)

@@ -31,7 +31,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["word_stats", "sentence_split", "readability", "clr003", "clr015", "rif001", "rif006", "sections", "compare_features", "rule_applies", "txt_blocks"])
+@pytest.mark.parametrize("name", ["word_stats", "sentence_split", "readability", "clr003", "clr015", "rif001", "rif006", "sections", "compare_features", "compare_changes", "score_findings", "plan_units", "rule_applies", "txt_blocks"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
