@@ -178,7 +178,7 @@ def language_votes(vocabulary: list[str], code: np.ndarray, doc: np.ndarray, doc
 
 
 ENDS = frozenset(".!?。！？।؟…")
-_URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+|<a\s[^>\n]*>|</a>", re.I)
+_URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+|<a\s[^>\n]{0,2000}>|</a>", re.I)
 BREAK = "\x02"  # the token of a line's end; "." is that of all end marks
 _ASCII_TOKENS = bytes(10 if i == 10 else 46 if chr(i) in ".!?" else ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
 _TOKENS = re.compile(r"[぀-ヿ一-鿿]|[ก-ะาำเ-ๆ๐-๙][ัิ-ฺ็-๎]*|[^\W_぀-ヿ一-鿿฀-๿]+[ऀ-ॏ]*(?:[^\W_฀-๿]+[ऀ-ॏ]*)*|[.!?。！？।؟…]+|\n")
