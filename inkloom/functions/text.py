@@ -102,6 +102,12 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+", " ")
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first n words by white space, one blank between them; looks at no more of the text."""
+    word = SPACE.replace("[", "[^", 1)
+    return squeeze(F.regexp_extract(c, rf"^{SPACE}*+({word}++(?:{SPACE}++{word}++){{0,{n - 1}}})", 1))
+
+
 def snippet(c: Column, offset: Column | None = None, width: int = 90) -> Column:
     """Up to ``width`` characters from thirty before the offset (counted from 0), squeezed, with marks where something is left out."""
     at = F.lit(0) if offset is None else offset

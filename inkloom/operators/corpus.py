@@ -115,19 +115,20 @@ class Corpus:
 
     @cached_property
     def sections(self) -> DataFrame:
-        """The outline with title texts, body words, body texts, prose words and whether a section is a divider."""
+        """The outline with title texts, body words, body texts, prose words and whether a section is a divider, which is told by how its body opens: who doesn't read bodies doesn't pay for them."""
         o = self.outline.withColumn("key", F.coalesce("title_pos", F.lit(-1)))
-        b = within_sections(self.blocks).where(~F.col("kind").isin(*HEADING_KINDS)).select("doc_id", "pos", "text", "kind", "prose", "words", F.col("sections")[0].alias("own"), F.explode("sections").alias("key"))
+        b = within_sections(self.blocks).where(~F.col("kind").isin(*HEADING_KINDS)).select("doc_id", "pos", "text", "kind", "prose", "words", "opens", F.col("sections")[0].alias("own"), F.explode("sections").alias("key"))
         held = b.groupBy("doc_id", "key").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n\n").alias("body"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("opens").isNotNull(), F.struct("pos", "opens")))), lambda x: x["opens"]), " ").alias("opens"),
             F.sum(F.when(F.col("prose"), F.col("words"))).alias("prose_words"),
             F.sum((F.col("kind") == "list_item").cast("int")).alias("bullets"),
             F.sum((F.col("own") == F.col("key")).cast("int")).alias("own_blocks"),
         )
-        body = o.join(held, ["doc_id", "key"], "left").drop("key").withColumn("body", F.coalesce("body", F.lit("")))
+        body = o.join(held, ["doc_id", "key"], "left").drop("key").withColumn("body", F.coalesce("body", F.lit(""))).withColumn("opens", F.coalesce("opens", F.lit("")))
         for c in ("prose_words", "bullets", "own_blocks"):
             body = body.withColumn(c, F.coalesce(c, F.lit(0)))
-        return self._keep(body.withColumn("divider", is_divider(F.col("body"), F.col("title"))))
+        return self._keep(body.withColumn("divider", is_divider(F.col("opens"), F.col("title"))).drop("opens"))
 
 
 def is_divider(body: Column, title: Column) -> Column:
@@ -144,13 +145,20 @@ def rank(level: str = "level") -> Column:
 
 
 def within_sections(blocks: DataFrame) -> DataFrame:
-    """Adds ``sections``: positions of the headings over each block, innermost first, or -1 before the first heading. At most LEVELS a block, from running windows."""
+    """Adds ``sections``: positions of the headings over each block, innermost first, or -1 before the first heading. At most LEVELS a block, from running windows.
+
+    Adds ``opens`` as well: the first three words of the first three blocks with any behind each heading, null for other blocks. They hold the first three words of every section.
+    """
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.array(*(F.last(F.when((F.col("kind") == "heading") & (rank() == k), F.col("pos")), ignorenulls=True).over(so_far) for k in range(LEVELS)))
+    first = F.when(~F.col("kind").isin(*HEADING_KINDS), T.first_words(F.col("text"), 3))
+    b = blocks.withColumn("opens", F.when(first != "", first)).withColumn("last", last).withColumn("seen", F.count("opens").over(so_far))
+    before = F.coalesce(F.last(F.when(F.col("kind") == "heading", F.col("seen")), ignorenulls=True).over(so_far), F.lit(0))
+    b = b.withColumn("before", before).withColumn("opens", F.when(F.col("seen") - F.col("before") <= 3, F.col("opens"))).drop("seen", "before")
     # a heading is closed by a later one of its level or above
     step = lambda acc, p: F.when(p > F.coalesce(F.get(acc, F.lit(0)), F.lit(-1)), F.concat(F.array(p), acc)).otherwise(acc)
     stack = F.aggregate("last", F.array().cast("array<int>"), step)
-    return blocks.withColumn("last", last).withColumn("sections", F.when(F.size(stack) > 0, stack).otherwise(F.array(F.lit(-1)))).drop("last")
+    return b.withColumn("sections", F.when(F.size(stack) > 0, stack).otherwise(F.array(F.lit(-1)))).drop("last")
 
 
 def headings(blocks: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ def conclusion_closers(c: Corpus, **_) -> DataFrame:
 @rule("CLR008")
 def uniform_section_size(c: Corpus, **_) -> DataFrame:
     p = peers(titled(c).withColumn("title_pos", F.col("pos")))
-    s = p.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("prose_words").alias("total"), F.min("prose_words").alias("lo"), F.max("prose_words").alias("hi"), (F.stddev_pop("prose_words") / F.avg("prose_words")).alias("cv"), F.min_by(F.struct("pos", "line", "col", "label", F.col("title").alias("text")), "pos").alias("b"))
+    s = p.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("prose_words").alias("total"), F.min("prose_words").alias("lo"), F.max("prose_words").alias("hi"), F.try_divide(F.stddev_pop("prose_words"), F.avg("prose_words")).alias("cv"), F.min_by(F.struct("pos", "line", "col", "label", F.col("title").alias("text")), "pos").alias("b"))
     return finding(s.where("total >= 500 and lo > 0 and cv < 0.30").select("doc_id", "k", "lo", "hi", "cv", "b.*"), "CLR008", F.format_string("%d sections of %d-%d words (variation %.2f)", "k", "lo", "hi", "cv"), F.col("cv"))
 
 

@@ -125,6 +125,23 @@ def test_peers_and_dividers(spark):
     assert {r["title"] for r in c.sections.where("divider").collect()} == {"Divider", "Next"}
 
 
+def test_dividers_need_no_bodies(spark):
+    """What a section opens with decides, however it is spread over blocks and parts below; asking for it gathers no bodies."""
+    heads = {
+        "Part": ["Part", "3 begins"], "Parts": ["Part one", "3"], "Blank": [" \u00a0", "\u2003\n"], "Late": ["\u00a0", "\u3000chapter\u00a0\u2003iv: x"], "Word": ["Unit 12b"],
+        "Sub": ["# Below", "module", "7"], "Split": ["act", "# Below", "5 now"], "Far": ["act", " ", "# Below", "", "we"], "List": ["Act 1234"], "None": [],
+    }
+    rows = []
+    for title, texts in heads.items():
+        rows.append((title, "heading", 1))
+        rows += [(t.lstrip("# "), "heading", 2) if t.startswith("#") else (t, "paragraph", 0) for t in texts]
+    docs = spark.createDataFrame([(1, "a", "md", None)], "doc_id bigint, path string, format string, doc_type string")
+    c = Corpus.of(docs, spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id bigint, pos int, text string, kind string, level int"))
+    assert {r["title"] for r in c.sections.where("divider and level = 1").collect()} == {"Part", "Blank", "Late", "Sub", "Split", "None"}
+    told = c.sections.select("title", "divider", "prose_words")._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS body" not in told and " AS body" in c.sections._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_plan(spark):
     rules = [Rule("X1", "x", "semantic", True, "block", "text", "s", 0.5), Rule("X2", "x", "semantic", True, "block", "text", "s", 0.5, fragments=True), Rule("X3", "x", "semantic", True, "title", "text", "s", 0.5), Rule("X4", "x", "semantic", True, "section", "text", "s", 0.5), Rule("X5", "x", "semantic", True, "document", "outline", "s", 0.5), Rule("X6", "x", "semantic", True, "document", "structure", "s", 0.5), Rule("X7", "x", "semantic", True, "sentence", "text", "s", 0.5), Rule("X8", "x", "semantic", True, "document", "text", "s", 0.5)]
     c = make(spark, f"# First title\n\n{words(20)}.\n\n# Second title\n\n{words(9)}.\n\n# Third title\n\n{words(5)}.")

@@ -124,3 +124,9 @@ def test_custom_rules(spark):
     for bad in ({"phrases": ["x"]}, {"code": "RIF001", "phrases": ["x"]}, {"code": "A1", "type": "regex", "pattern": "("}, {"code": "A1", "type": "x"}, {"code": "A1", "phrases": ["x"], "blocks": "some"}, {"code": "A1"}):
         with pytest.raises(ValueError):
             rules_of(Settings(rules=(bad,)))
+
+
+def test_sections_without_words(spark):
+    """Four sections in a script without ASCII words have no variation; those beside them are still found."""
+    bare = "# 題\n\n" + "\n\n".join(f"## 部分 {x}\n\n- 水車的閘門" for x in "甲乙丙丁")
+    assert [r["doc_id"] for r in CHECKS["CLR008"](make(spark, bare, CASES["CLR008"][0])).collect()] == [1]
