@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm import common
-from inkloom.llm.common import CONTEXT, UNSPACED, ascii_words, files_with_blocks, has_long_files, own, table, unnest
+from inkloom.llm.common import CONTEXT, UNSPACED, files_with_blocks, has_long_files, letter_words, own, table, unnest
 from inkloom.llm.mixing import durable
 
 MAX_FEATURES = 500_000  # of either kind; bounds the memory of the driver and the tasks
@@ -31,49 +31,70 @@ BIAS = 1.0  # log-odds that subject words gain from teasers to other pages
 LEAST_FILES = 4  # files that a feature must occur in
 REACH = CONTEXT // 2  # blocks that can belong to the section of an opener
 
-_NAME = re.compile(r"(?<=\S )[A-ZÀ-ÞА-Я][\w'-]+")
+_NAME = re.compile(r"[A-ZÀ-ÞА-Я](?<=\S .)[\w'-]+")  # behind a word and a blank; the letter is looked for first
 _LATIN = re.compile(r"[A-Za-z][\w'-]*")
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+[ऀ-ॿ]*")
-_END = re.compile(r"[.!?。！？।؟]+[\"'”’»」』)\]]*\s*$")
-_CUT_OFF = re.compile(r"(?:…|\.\.\.)\s*$")
+_MARKED = re.compile(r"[ऀ-ॿ]")
+_CLOSING, _ENDS, _DOTS = "\"'”’»」』)]", tuple(".!?。！？।؟"), ("…", "...")
+_BLANKS = bytes(32 if chr(i).isspace() else 46 for i in range(256))
 _NAV = re.compile(r"\S(?:\s[·|>»]\s|\s{2,})\S")
 
 Block = tuple  # (text, kind, head_level)
 
 
+def is_unspaced(text: str) -> bool:
+    return not text.isascii() and UNSPACED.search(text) is not None
+
+
+def is_ended(text: str) -> bool:
+    """It ends as a sentence, and isn't cut off."""
+    text = text.rstrip()
+    return text.rstrip(_CLOSING).endswith(_ENDS) and not text.endswith(_DOTS)
+
+
 def is_prose(text: str) -> bool:
     """Whether a block reads as a sentence or more: it ends as one and is long enough."""
-    if not _END.search(text) or _CUT_OFF.search(text):
-        return False
-    return len(text) >= 40 or len(text) >= 12 and bool(UNSPACED.search(text))
+    return len(text) >= 12 and is_ended(text) and (len(text) >= 40 or is_unspaced(text))
 
 
 def is_long(text: str) -> bool:
     """Prose of a length that teasers and notices don't have."""
-    return is_prose(text) and (len(text) >= 150 or len(text) >= 45 and bool(UNSPACED.search(text)))
-
-
-def features(text: str, level: int) -> list[str]:
-    """What the classifier sees: the wording with names and digits blanked, its words, the heading level, and navigation marks."""
-    low = text.lower()
-    unspaced = not text.isascii() and UNSPACED.search(text)
-    out = []
-    if len(text) <= 80:
-        whole = _LATIN.sub("N", text) if unspaced else _NAME.sub("N", text).lower()
-        out.append("=" + _DIGIT.sub("0", whole))
-    if unspaced:
-        run = "".join(_WORD.findall(_LATIN.sub("", low)))
-        out += {run[i : i + 2] for i in range(len(run) - 1)}
-    else:
-        out += set(ascii_words(text) if text.isascii() else _WORD.findall(low))
-    if level:
-        out.append(f"#{level}")
-    if _NAV.search(text) and not is_prose(text):
-        out.append("#nav")
+    return len(text) >= 45 and is_ended(text) and (len(text) >= 150 or is_unspaced(text))
+
+
+def wording_of(text: str) -> str:
+    """A short block with names and digits blanked; '' for others."""
+    if len(text) > 80:
+        return ""
+    return "=" + _DIGIT.sub("0", _LATIN.sub("N", text) if is_unspaced(text) else _NAME.sub("N", text).lower())
+
+
+def words_in(texts: list[str]) -> set[str]:
+    """The words of blocks; pairs of characters of those in scripts that don't write spaces."""
+    out: set[str] = set()
+    for text in texts:
+        if is_unspaced(text):
+            run = "".join(_WORD.findall(_LATIN.sub("", text.lower())))
+            out.update(map("".join, zip(run, run[1:])))
+        elif not text.isascii():
+            out.update(_WORD.findall(text.lower()) if _MARKED.search(text) else letter_words(text))
+    out.update(letter_words("\n".join([t for t in texts if t.isascii()])))
     return out
 
 
+def is_navigation(text: str) -> bool:
+    """Marks or gaps between its parts, and not prose."""
+    if text.isascii() and "|" not in text and ">" not in text and b"  " not in text.encode().translate(_BLANKS):
+        return False
+    return _NAV.search(text) is not None and not is_prose(text)
+
+
+def marks_of(text: str, level: int) -> list[str]:
+    """What the classifier sees besides words: the heading level, and navigation marks."""
+    return [*([f"#{level}"] if level else []), *(["#nav"] if is_navigation(text) else [])]
+
+
 class Model:
     """Log-odds of features between web pages and other files, and how much prose follows a wording."""
 
@@ -81,13 +102,13 @@ class Model:
         self.odds = {f: math.log((h + 2) / (pages + 2)) - math.log((n + 2) / (others + 2)) for f, h, n, *_ in rows}
         self.openers = {f for f, _, _, k, prose in rows if f[0] == "=" and k >= LEAST_FILES and prose <= 0.45 * k and self.odds[f] > 2.0}
 
-    def cost(self, feats: list[str]) -> float:
-        """Positive: speaks for boilerplate."""
-        known = sorted((self.odds[f] for f in feats if f[0] not in "=#" and f in self.odds), reverse=True)
+    def cost(self, words: set[str], marks: list[str]) -> float:
+        """Positive: speaks for boilerplate. marks: the wording, and what ``marks_of`` gives."""
+        odds = self.odds
+        known = sorted([odds[w] for w in words if w in odds], reverse=True)
         # notices are short: in a long text the odd word proves nothing
         top = known[: max(2, len(known) // 3)] if len(known) <= 14 else known
-        marks = [self.odds[f] for f in feats if f[0] in "=#" and f in self.odds]
-        return max([sum(top) / len(top) - 0.3 if top else 0.0, *marks])
+        return max([sum(top) / len(top) - 0.3 if top else 0.0, *(odds[m] for m in marks if m in odds)])
 
 
 def minimum_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -163,9 +184,9 @@ def heading_in(page: list[Block], positions: list[int | None], heading: int | No
 
 def label(model: Model, page: list[Block], main: int | None) -> list[bool]:
     """True for the blocks of a page, in reading order, that are boilerplate. main: the place of the page's heading, as ``heading_of`` or ``heading_in`` gives it."""
-    feats = [features(t, lv) for t, _, lv in page]
-    odds_of = [model.cost(f) for f in feats]
-    prose = [is_prose(t) or odds < BIAS and len(t) >= 12 and bool(_END.search(t)) and not _CUT_OFF.search(t) for (t, _, _), odds in zip(page, odds_of)]
+    wordings = [wording_of(t) for t, _, _ in page]
+    odds_of = [model.cost(words_in([t]), [w, *marks_of(t, lv)]) for (t, _, lv), w in zip(page, wordings)]
+    prose = [is_prose(t) or odds < BIAS and len(t) >= 12 and is_ended(t) for (t, _, _), odds in zip(page, odds_of)]
     unary, edges = [], {}
     reach: int | None = None
     for i, (text, kind, level) in enumerate(page):
@@ -184,7 +205,7 @@ def label(model: Model, page: list[Block], main: int | None) -> list[bool]:
             u = min(u, 0.0) - 2.5
         elif odds < BIAS:
             u -= 0.5
-        opens = main is not None and i > main and feats[i][0] in model.openers
+        opens = main is not None and i > main and wordings[i] in model.openers
         if opens:
             u += 6.0
         # blocks under the opener of a section stand near it in the page's tree
@@ -214,25 +235,28 @@ def fit(files: DataFrame, blocks: DataFrame, long: bool) -> Model:
             counts: dict[int | None, tuple[Counter, Counter, Counter, Counter]] = {}
             formats, segments, many, headings = (batch.column(c).to_pylist() for c in ("file_format", "segment", "segments", "heading"))
             ids, cols, groups = unnest(batch)
-            for file_id, fmt, part, parts_, heading, order in zip(ids, formats, segments, many, headings, groups):
+            for file_id, fmt, part, parts_, heading, at in zip(ids, formats, segments, many, headings, groups):
                 html, other, follow, after = counts.setdefault(file_id if parts_ > 1 else None, (Counter(), Counter(), Counter(), Counter()))
-                page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
-                positions = [cols["pos"][i] for i in order]
-                mine = [True] * len(page) if parts_ == 1 else own(part, positions, size)
-                feats = [features(t, lv) for t, _, lv in page]
-                (html if fmt == "html" else other).update({""}.union(*(fs for fs, m in zip(feats, mine) if m)))
+                texts, levels, positions = cols["text"][at], cols["head_level"][at], cols["pos"][at]
+                mine = [True] * len(texts) if parts_ == 1 else own(part, positions, size)
+                wordings = [wording_of(t) if m else "" for t, m in zip(texts, mine)]
+                seen = words_in(texts if parts_ == 1 else [t for t, m in zip(texts, mine) if m])
+                seen.update(wordings, [f"#{lv}" for lv, m in zip(levels, mine) if m and lv], [""])
+                if any(m and is_navigation(t) for t, m in zip(texts, mine)):
+                    seen.add("#nav")
+                (html if fmt == "html" else other).update(seen)
                 if fmt == "html":
                     # whether an article's prose still follows, for blocks behind the page's heading
-                    main = heading_in(page, positions, heading)
-                    prose = [i for i, (t, _, _) in enumerate(page) if is_long(t)]
-                    for i, (fs, m) in enumerate(zip(feats, mine)):
-                        if m and main is not None and i > main and fs[0][0] == "=":
+                    main = heading_in(list(zip(texts, cols["kind"][at], levels)), positions, heading)
+                    prose = [i for i, t in enumerate(texts) if is_long(t)]
+                    for i, w in enumerate(wordings):
+                        if w and main is not None and i > main:
                             k = bisect.bisect_right(prose, i)
-                            follow[fs[0]] += 1
-                            after[fs[0]] += k < len(prose) and prose[k] <= i + CONTEXT
+                            follow[w] += 1
+                            after[w] += k < len(prose) and prose[k] <= i + CONTEXT
             for file_id, each in counts.items():
                 keys = list(each[0].keys() | each[1].keys())
-                yield pa.record_batch([pa.array([file_id] * len(keys), pa.int64()), pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in each)], ["file_id", "feature", *COUNTS])
+                yield pa.record_batch([pa.array([file_id] * len(keys), pa.int64()), pa.array(keys, pa.string()), *(pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in each)], ["file_id", "feature", *COUNTS])
 
     each = pages.mapInArrow(run, "file_id bigint, feature string, html bigint, other bigint, follow bigint, after bigint")
     sums = [F.sum(c).alias(c) for c in COUNTS]
@@ -263,14 +287,14 @@ def boilerplate(files: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, cols, groups = unnest(batch)
+            ids, cols, groups = unnest(batch, ("pos", "block_id", "text", "kind", "head_level"))
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for file_id, part, heading, order in zip(ids, batch.column("segment").to_pylist(), batch.column("heading").to_pylist(), groups):
-                page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
-                positions = [cols["pos"][i] for i in order]
-                for i, removed, mine in zip(order, label(model.value, page, heading_in(page, positions, heading)), own(part, positions, size)):
+            for file_id, part, heading, at in zip(ids, batch.column("segment").to_pylist(), batch.column("heading").to_pylist(), groups):
+                positions = cols["pos"][at]
+                page = list(zip(cols["text"][at], cols["kind"][at], cols["head_level"][at]))
+                for block_id, pos, removed, mine in zip(cols["block_id"][at], positions, label(model.value, page, heading_in(page, positions, heading)), own(part, positions, size)):
                     if mine:
-                        for col, x in zip(out, (file_id, cols["block_id"][i], cols["pos"][i], removed)):
+                        for col, x in zip(out, (file_id, block_id, pos, removed)):
                             col.append(x)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], ["file_id", "block_id", "pos", "removed"])
 

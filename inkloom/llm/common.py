@@ -28,7 +28,7 @@ def parts(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-BLOCK_FIELDS = ("pos", "block_id", "text", "kind", "head_level", "word_count")
+BLOCK_FIELDS = ("pos", "block_id", "text", "kind", "head_level")
 
 
 SEGMENT, CONTEXT = 4096, 200  # blocks of a file that are handled together, and more of them on either side that are only looked at
@@ -70,14 +70,19 @@ def own(segment: int, positions: list[int | None], size: int) -> list[bool]:
     return [(p or 0) // size == segment for p in positions]
 
 
-def unnest(batch: pa.RecordBatch) -> tuple[list[int], dict[str, list], np.ndarray]:
-    """File ids, the columns of all blocks, and for each file the order of its distinct blocks by position: (files, columns, [index arrays])."""
+def listed(column: pa.Array) -> list:
+    """to_pylist, which makes a scalar of each value, in one step where nothing is null."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def unnest(batch: pa.RecordBatch, fields: tuple[str, ...] = ("pos", "text", "kind", "head_level")) -> tuple[list[int], dict[str, list], list[slice]]:
+    """File ids, the named columns of the distinct blocks, file by file and by position, and where each file's blocks stand in them."""
     lists = batch.column("blocks")
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
     flat = lists.flatten()
-    cols = {n: flat.field(n) for n in BLOCK_FIELDS}
+    cols = {n: flat.field(n) for n in {"pos", "block_id", *fields}}
     owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
     ids = cols["block_id"].fill_null(-1).to_numpy(zero_copy_only=False)
     pos = cols["pos"].fill_null(2**31 - 1).to_numpy(zero_copy_only=False)
@@ -86,7 +91,8 @@ def unnest(batch: pa.RecordBatch) -> tuple[list[int], dict[str, list], np.ndarra
         o, i = owner[order], ids[order]
         order = order[np.concatenate([[True], (o[1:] != o[:-1]) | (i[1:] != i[:-1]) | (i[1:] == -1)])]
     bounds = np.searchsorted(owner[order], np.arange(len(lists) + 1))
-    return batch.column("file_id").to_pylist(), {n: c.to_pylist() for n, c in cols.items()}, [order[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    taken = pa.array(order)
+    return batch.column("file_id").to_pylist(), {n: listed(cols[n].take(taken)) for n in fields}, list(map(slice, bounds[:-1].tolist(), bounds[1:].tolist()))
 
 
 # Frequent function words that tell the Latin-script languages of the corpus apart.
@@ -104,7 +110,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 def language(text: str) -> str:
     """ISO code of the language of a text by script, and by function words within Latin script; '' where neither tells."""
-    if not text.isascii():
+    words = western_words(text)
+    if words is None:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         points = points[points > 0xFF]
         if len(points):
@@ -114,24 +121,31 @@ def language(text: str) -> str:
             if total and total >= 0.3 * len(_ASCII_LETTERS.findall(text)):
                 top = max(n, key=n.get)
                 return "ja" if top == "zh" and n["ja"] * 20 >= n["zh"] else top
+        words = _WORDS.findall(text.lower())
     votes: dict[str, int] = {}
-    if text.isascii():
-        seen = _LATIN_ASCII.keys() & set(text.encode().translate(_LETTERS_ONLY).split())
-        found = [_LATIN_ASCII[w] for w in seen]
-    else:
-        found = [_LATIN[w] for w in _LATIN.keys() & set(_WORDS.findall(text.lower()))]
-    for lang in found:
+    for lang in [_LATIN[w] for w in _LATIN.keys() & set(words)]:
         votes[lang] = votes.get(lang, 0) + 1
     return max(sorted(votes), key=votes.get) if votes else ""
 
 
-_LATIN_ASCII = {w.encode(): lang for w, lang in _LATIN.items() if w.isascii()}
 _LETTERS_ONLY = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalpha() else 32 for i in range(256))
+_CP1252_ONLY = bytes(i if _WORDS.match(bytes([i]).decode("cp1252", "replace")) else 32 for i in range(256))
+
+
+def western_words(text: str) -> list[str] | None:
+    """Lower-cased runs of letters, found on bytes, of a text that is ASCII but for the accents and quotes of western languages; None for others."""
+    if text.isascii():
+        return text.encode().translate(_LETTERS_ONLY).decode().split()
+    try:
+        return text.lower().encode("cp1252").translate(_CP1252_ONLY).decode("cp1252").split()
+    except UnicodeEncodeError:
+        return None
 
 
-def ascii_words(text: str) -> list[str]:
-    """Lower-cased runs of letters of an ASCII text."""
-    return text.encode().translate(_LETTERS_ONLY).decode().split()
+def letter_words(text: str) -> list[str]:
+    """Lower-cased runs of letters."""
+    words = western_words(text)
+    return _WORDS.findall(text.lower()) if words is None else words
 
 
 _ASCII_LETTERS = re.compile(r"[A-Za-z]")

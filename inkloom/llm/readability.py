@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from inkloom.llm import boilerplate as bp
 from inkloom.llm import common
-from inkloom.llm.common import files_with_blocks, has_long_files, language, own, table, unnest
+from inkloom.llm.common import files_with_blocks, has_long_files, language, listed, own, table, unnest
 from inkloom.llm.mixing import durable
 from inkloom.llm.quality import cells_of, kind_of
 
@@ -36,9 +36,10 @@ PRIOR, USUAL = 20, (15.0, 16.0)  # files that DEFAULT counts as; their share of
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 _STOP = re.compile(r"([.!?]+)[\"'”’»)\]]*(?:\s+[\"'“‘«(\[]*(?=(\S))|\s*$)")
-_TOKEN = re.compile(r"\S*$")
 _LAST = re.compile(r"(?s).*[.!?]+[\"'”’»)\]]*(?=\s|$)")
 _ODD = re.compile(r"[{}\[\]<>|^~=_\\Ââ�]")
+_ODD_BYTES = bytes(i for i in range(128) if _ODD.match(chr(i)))
+_WORD_BYTES = bytes(i if _WORD.match("a" + chr(i)).end() == 2 else 32 for i in range(128)) + bytes(i if i == 0x92 else 32 for i in range(128, 256))  # 0x92: ’ in cp1252
 # Abbreviations of English after which a sentence goes on.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs e.g i.e u.s u.k inc ltd co corp no fig approx dept est vol al p pp cf sept rd".split())
 
@@ -51,7 +52,8 @@ def sentence_count(text: str) -> int:
             if after.islower():
                 continue
             if marks == ".":
-                token = _TOKEN.search(text[max(0, m.start() - 12) : m.start()]).group().lower().lstrip("\"'“‘«([")
+                before = text[max(0, m.start() - 12) : m.start()].removesuffix("\n")
+                token = before.split()[-1].lower().lstrip("\"'“‘«([") if before and not before[-1].isspace() else ""
                 if token in ABBREVIATIONS or len(token) == 1 and token.isalpha():
                     continue
         n += 1
@@ -60,8 +62,27 @@ def sentence_count(text: str) -> int:
 
 def is_running(text: str) -> bool:
     """Sentences, and not a row of cells or a dump."""
-    m = _LAST.match(text)
-    return m is not None and m.end() >= 0.5 * len(text) and len(_ODD.findall(text)) <= 0.05 * len(text) and cells_of(text) == 1 and " " in text.strip()
+    whole = text.strip()
+    if " " not in whole:
+        return False
+    if len(whole) * 2 < len(text) or not whole.rstrip("\"'”’»)]").endswith((".", "!", "?")):  # else it ends as a sentence
+        m = _LAST.match(text)
+        if m is None or m.end() < 0.5 * len(text):
+            return False
+    odd = len(text) - len(text.encode().translate(None, _ODD_BYTES)) if text.isascii() else len(_ODD.findall(text))
+    return odd <= 0.05 * len(text) and cells_of(text) == 1
+
+
+def word_counts(text: str) -> Counter:
+    """Occurrences of what _WORD matches in the lower-cased text, found on bytes: letters, apostrophes and hyphens, from the first letter on."""
+    plain = text.isascii()
+    raw = (text if plain else text.lower()).encode("ascii" if plain else "cp1252", "replace").translate(_WORD_BYTES).lower()
+    counts = Counter(raw.decode("cp1252").split())
+    for w in [w for w in counts if not w[0].isalpha()]:
+        n, bare = counts.pop(w), w.lstrip("'’-")
+        if bare:
+            counts[bare] += n
+    return counts
 
 
 def syllables(word: str) -> int:
@@ -85,21 +106,21 @@ def prose(files: DataFrame, blocks: DataFrame) -> DataFrame:
             ids, cols, groups = unnest(batch)
             formats, settings, segments, many, headings = (batch.column(c).to_pylist() for c in ("file_format", "settings_id", "segment", "segments", "heading"))
             rows = []
-            for file_id, fmt, setting, part, parts_, heading, order in zip(ids, formats, settings, segments, many, headings, groups):
-                positions = [cols["pos"][i] for i in order]
-                mine = order if parts_ == 1 else [i for i, m in zip(order, own(part, positions, size)) if m]
-                kept = [i for i in mine if kind_of(cols["kind"][i]) != "heading" and not cols["head_level"][i] and is_running(cols["text"][i])]
+            for file_id, fmt, setting, part, parts_, heading, at in zip(ids, formats, settings, segments, many, headings, groups):
+                positions = cols["pos"][at]
+                page = list(zip(cols["text"][at], cols["kind"][at], cols["head_level"][at]))
+                mine = [True] * len(page) if parts_ == 1 else own(part, positions, size)
+                kept = [i for i, (t, kind, lv) in enumerate(page) if mine[i] and not lv and kind_of(kind) != "heading" and is_running(t)]
                 if not kept:
                     continue
-                english = language(" ".join(cols["text"][i] for i in kept)) in ("en", "")
+                english = language(" ".join([page[i][0] for i in kept])) in ("en", "")
                 if not english and parts_ == 1:
                     continue
                 if fmt == "html":
-                    page = [(cols["text"][i], cols["kind"][i], cols["head_level"][i] or 0) for i in order]
-                    out = dict(zip(order, bp.label(model.value, page, bp.heading_in(page, positions, heading))))
+                    out = bp.label(model.value, page, bp.heading_in(page, positions, heading))
                     kept = [i for i in kept if not out[i]]
-                texts = [cols["text"][i] for i in kept]
-                counts = Counter(w for t in texts for w in _WORD.findall(t.lower()))
+                texts = [page[i][0] for i in kept]
+                counts = word_counts("\n".join(texts))
                 words, sentences = sum(counts.values()), sum(map(sentence_count, texts))
                 if words:
                     rows.append((file_id, setting, parts_, english, sentences, words, list(counts), list(counts.values())))
@@ -144,13 +165,14 @@ def measures(rows: DataFrame, known: set[str]) -> DataFrame:
         for batch in batches:
             lists, times = batch.column("word"), np.asarray(batch.column("times").flatten())
             offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            words = lists.flatten().to_pylist()
-            new = np.array([w not in sent.value for w in words], np.float64)
+            coded = lists.flatten().dictionary_encode()
+            words, code = listed(coded.dictionary), np.asarray(coded.indices)
             for w in set(words) - spoken.keys():
                 if len(spoken) > 200_000:
                     spoken.clear()
                 spoken[w] = syllables(w)
-            syl = np.array([spoken.get(w) or syllables(w) for w in words], np.float64)
+            new = np.array([w not in sent.value for w in words], np.float64)[code]
+            syl = np.array([spoken.get(w) or syllables(w) for w in words], np.float64)[code]
             add = lambda v: np.add.reduceat(v * times, offsets[:-1]) if len(v) else np.zeros(0)
             yield pa.record_batch([*(batch.column(c) for c in ("file_id", "settings_id", "sentences", "words")), pa.array(add(new)), pa.array(add(syl))], names)
 

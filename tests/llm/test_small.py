@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -514,3 +516,35 @@ def test_grades(spark):
     assert set(got) == {*range(30), 50} and got[50]["over"] and not any(got[i]["over"] for i in range(30))
     assert got[50]["reading_limit"] == 14.0 and got[1]["reading_limit"] == 8.0
     assert readability.grades(f, b.limit(0), s).count() == 0
+
+
+def test_blocks_without_words_behind_the_heading(spark):
+    f, b = pages(spark)
+    rows = [(1, 500 + i, "1 234 " * 20 if i else "." * 90, "paragraph", 0) for i in range(3)]
+    more = b.unionByName(blocks(spark, rows).withColumn("block_id", F.col("block_id") + 10_000))
+    got = {r["block_id"]: r["removed"] for r in boilerplate.boilerplate(f, more).collect()}
+    assert {10_001, 10_002, 10_003} <= set(got)
+    s = settings(spark, (1, 8.0, None, None))
+    assert {r["file_id"] for r in readability.grades(f, more, s).collect()} == {r["file_id"] for r in readability.grades(f, b, s).collect()}
+
+
+def test_blocks_are_gathered_without_columns_that_nothing_reads(spark):
+    from inkloom.llm import common
+
+    held = common.files_with_blocks(*pages(spark)).schema["blocks"].dataType.elementType.names
+    assert set(held) == {"pos", "block_id", "text", "kind", "head_level"}
+
+
+def test_words_found_on_bytes_are_those_of_the_patterns():
+    from inkloom.llm import common
+
+    rnd = random.Random(7)
+    odd = [*" \t\n\x1c\x85\xa0.!?…·|>»\"'”’-_{\\²ªßİKſΣéÿœ\x81\x92\ud800и", "  ", "...", "the", "für", "Don't", "don’t", "-x", "'tis", "a--b", "Dr.", "मिल", "日本", "And so", "Shop"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(odd) + " " * (rnd.random() < 0.4) for _ in range(rnd.randint(0, 30)))
+        assert readability.word_counts(t) == Counter(readability._WORD.findall(t.lower())), t
+        assert common.letter_words(t) == re.findall(r"[^\W\d_]+", t.lower()), t
+        assert boilerplate.is_ended(t) == bool(re.search(r"[.!?。！？।؟]+[\"'”’»」』)\]]*\s*$", t) and not re.search(r"(?:…|\.\.\.)\s*$", t)), t
+        assert boilerplate.is_navigation(t) == bool(boilerplate._NAV.search(t) and not boilerplate.is_prose(t)), t
+        last = re.match(r"(?s).*[.!?]+[\"'”’»)\]]*(?=\s|$)", t)
+        assert readability.is_running(t) == (last is not None and last.end() >= 0.5 * len(t) and len(readability._ODD.findall(t)) <= 0.05 * len(t) and quality.cells_of(t) == 1 and " " in t.strip()), t
